@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, cws, decontam, langid, linededup, packing, simhash, toxicity
+from . import cotrain, cws, decontam, langid, linededup, packing, recompress, simhash, suffix, toxicity
 from .common import table
 
 
@@ -21,10 +21,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.dedup_lines(docs)
@@ -55,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_suffix_dedup,
         op3_cotraining,
+        op4_recompression_dedup,
         op5_line_dedup,
         op6_toxicity,
         op7_language_id,
