@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", size: int = SIZE, key: str
     later = spread.join(first, ["a", "b"]).where(place > F.col("first"))
     gone = later.groupBy("id", "t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
     gone = scratch.keep(gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone")), "gone")
-    joined = docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_t")), "left")
+    # A merge join at every size: the plan, and what it needs, do not change where the marks outgrow a broadcast.
+    joined = docs.join(gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_t")), "left")
     ready = _once(joined, F.split(body, "\n", -1), "_lines")
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at("_lines", i + 1)), "\n")
