@@ -18,7 +18,10 @@ either side gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,22 +128,26 @@ class Index:
         return seen
 
 
+def _blocks(benchmark: DataFrame, block_words: int):
+    """The items, as lists of about ``block_words`` words at most; one list at least."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    words = F.size(F.split(F.coalesce("text", F.lit("")), "\\s+"))
+    total = items.agg(F.sum(words)).first()[0] or 0
+    blocks = 1 if total <= block_words else -(-2 * total // block_words)
+    spot = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for b in range(blocks):
+        yield [tuple(r) for r in items.where(spot == b).orderBy("item_id", "text").collect()]
+
+
 SCHEMA = "doc_id long, item_id long, first_word long, matched_words long, compared_words long, best_identity double"
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, **settings) -> DataFrame:
     """One row for each document and item that overlap."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    sized = items.withColumn("w", F.size(F.split(F.coalesce("text", F.lit("")), "\\s+")))
-    total = sized.agg(F.sum("w")).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_words)) if total > block_words else 1
-    spot = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for b in range(blocks):
-        part = [tuple(r) for r in items.where(spot == b).orderBy("item_id", "text").collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-        found = rows.mapInArrow(_finder(shared, settings), SCHEMA)
+    for part in _blocks(benchmark, block_words):
+        found = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(part), settings), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -162,7 +169,19 @@ def _finder(shared, settings):
     return run
 
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that no benchmark item overlaps; rows with a null doc_id are judged with the null id as a key."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, **settings) -> DataFrame:
+    """The rows of docs whose text no benchmark item overlaps; a filter for each block of the benchmark, no shuffle."""
+    for part in _blocks(benchmark, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+        docs = docs.where(~_overlapped(shared, settings)(F.col("text").cast("string")))
+    return docs
+
+
+def _overlapped(shared, settings):
+    @F.pandas_udf("boolean")
+    def any_overlap(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(shared.value, **settings)
+        for part in texts:
+            yield pd.Series([bool(index.find(t)) for t in part], dtype=bool)
+
+    return any_overlap

@@ -136,6 +136,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", di
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component. Rows with a null doc_id stay."""
     named = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(named, "doc_id", "left_semi").select(docs.columns).unionByName(
+    return docs.where("doc_id is not null").join(named.hint("merge"), "doc_id", "left_semi").select(docs.columns).unionByName(
         docs.where("doc_id is null")
     )
