@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Scratch
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 KEY_BYTES = 6
 BUCKET_KEYS = 512_000
 CROWDED = 16

@@ -39,7 +39,7 @@ from .exchange import Block, Repeats, Windows, answer_windows, answers, read_anc
 
 WINDOW = 20
 ROUNDS = 5
-PART = 1 << 20
+PART = 1 << 18
 FAR = 1 << 40
 """Stands for words beyond a document's end, on which a symbol at the end depends."""
 
@@ -55,7 +55,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(1 << 19, 1 << (n - 1).bit_length())
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)

@@ -35,8 +35,8 @@ from .exchange import Block, Repeats, Windows, answer_windows, answers, bits, by
 
 LENGTH = 100
 ANCHOR = 24
-PART = 1 << 20
-SORTED = 200_000
+PART = 1 << 18
+SORTED = 100_000
 """Windows that are put in suffix order together; the windows of one anchor always are."""
 
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
