@@ -30,7 +30,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import U64
+from .common import U64, mix64
 from .exchange import Block, Repeats, Windows, answer_windows, answers, bits, by_bucket, read_anchors, squeeze, unbits, unsqueeze
 
 LENGTH = 100
@@ -83,7 +83,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(s)) - 1
-    return h[p[first]], s[first], s[last]
+    # The least hashes are small numbers; mixed again they spread over all buckets.
+    return mix64(h[p[first]]), s[first], s[last]
 
 
 def longest_previous(order: list[int], common: list[int]) -> list[int]:
