@@ -39,3 +39,14 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._idiomill_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where none is set and the session is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
+        folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="idiomill-")
+        shared_folder.own = folder
+    return folder.rstrip("/")
