@@ -7,8 +7,8 @@ t = floor(ln w / r + b) the term's value is ln c - r (t - b) - r, and the sample
 pair (k, t) with the least value. Two texts share a sample with a probability equal to
 their generalised Jaccard similarity, sum of min over sum of max of the weights.
 
-The variates come from one 64-bit hash: 16 bits select r and 16 bits select b by
-quantile tables, 20 bits select c. A sample is stored as 16 bits, so unrelated samples
+The variates come from one 64-bit hash: 16 bits select r by a table of quantiles, 16 bits
+are b, and 20 bits select c by a table. A sample is stored as 16 bits, so unrelated samples
 collide once in 65,536.
 
 Defined results: null texts count as empty; texts without a word have the all-zero
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import GOLDEN, U64, mix64
+from .common import GOLDEN, MIX_A, MIX_B, U64, mix64
 
 SAMPLES = 64
 SLICE = 4096
 """Terms whose variates are in memory at once: SLICE x SAMPLES values for each array."""
-TARGET_BYTES = 16 << 20
+TARGET_BYTES = 4 << 20
 """Text bytes of one range of documents."""
 
 
@@ -47,26 +47,37 @@ class Sampler:
 
         self.r = table(16).astype(np.float32)
         self.ln_c = np.log(table(20)).astype(np.float32)
-        self.b = ((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
         self.salt = mix64((np.arange(1, samples + 1, dtype=np.uint64)) * GOLDEN)
         self.samples = samples
 
+    def _bits(self, terms: np.ndarray) -> np.ndarray:
+        z = terms[:, None] ^ self.salt[None, :]
+        t = z >> U64(30)
+        for multiplier, shift in ((MIX_A, 27), (MIX_B, 31)):
+            z ^= t
+            z *= multiplier
+            np.right_shift(z, U64(shift), out=t)
+        z ^= t
+        return z
+
     def variates(self, terms: np.ndarray):
-        z = mix64(terms[:, None] ^ self.salt[None, :])
-        r = self.r[(z & U64(0xFFFF)).astype(np.int32)]
-        b = self.b[((z >> U64(16)) & U64(0xFFFF)).astype(np.int32)]
-        return r, b, self.ln_c[(z >> U64(44)).astype(np.int32)]
-
-    @staticmethod
-    def values(r, b, ln_c, weights):
-        """The value and t of each term and sample."""
-        value, t = ln_c - r * (1 - b), np.zeros(r.shape, np.int32)
-        if (more := np.flatnonzero(weights > 1)).size:
-            rm, bm = r[more], b[more]
-            tm = np.floor(np.log(weights[more]).astype(np.float32)[:, None] / rm + bm)
-            value[more] = ln_c[more] - rm * (tm - bm) - rm
-            t[more] = tm
-        return value, t
+        """r, b and ln c for each term and sample."""
+        z = self._bits(terms)
+        halves = z.view(np.uint16).reshape(*z.shape, 4)
+        b = halves[..., 1].astype(np.float32)
+        b += np.float32(0.5)
+        b *= np.float32(1 / 65536)
+        return self.r.take(halves[..., 0]), b, self.ln_c.take((z >> U64(44)).astype(np.int32))
+
+    def values(self, terms: np.ndarray) -> np.ndarray:
+        """The value of each term and sample at weight 1, where t is 0; small slices stay in the processor's cache."""
+        out = np.empty((len(terms), self.samples), np.float32)
+        for a in range(0, len(terms), 256):
+            r, b, ln_c = self.variates(terms[a : a + 256])
+            np.subtract(np.float32(1), b, out=b)
+            b *= r
+            np.subtract(ln_c, b, out=out[a : a + 256])
+        return out
 
     def codes(self, term: np.ndarray, t: np.ndarray) -> np.ndarray:
         """16 bits for each sample's (term, t)."""
@@ -81,13 +92,22 @@ class Sampler:
         term, at = np.zeros(self.samples, np.uint64), np.zeros(self.samples, np.int32)
         for a in range(0, len(terms), SLICE):
             part = slice(a, a + SLICE)
-            got = tuple(x[shared[part]] for x in self.pool) if shared is not None else self.variates(terms[part])
-            value, t = self.values(*got, weights[part])
+            value = self.values(terms[part]) if shared is None else self.pool[shared[part]]
+            # Most terms occur once, where t is 0 and the value needs no more arithmetic.
+            more = np.flatnonzero(weights[part] > 1)
+            if more.size:
+                r, b, ln_c = self.variates(terms[part][more])
+                t = np.floor(np.log(weights[part][more]).astype(np.float32)[:, None] / r + b)
+                value[more] = ln_c - r * (t - b) - r
             low = value.argmin(axis=0)
             v = value[low, lanes]
             new = v < best
             best[new] = v[new]
-            term[new], at[new] = terms[part][low[new]], t[low[new], lanes[new]]
+            term[new], at[new] = terms[part][low[new]], 0
+            if more.size:
+                k = np.minimum(np.searchsorted(more, low), len(more) - 1)
+                often = new & (more[k] == low)
+                at[often] = t[k[often], lanes[often]].astype(np.int32)
         return self.codes(term, at)
 
 
@@ -147,7 +167,7 @@ def _signed(rows):
     bags = [(terms_of(t.encode()), terms_of(e.encode()) if e is not None else None) for _, t, e in rows]
     small = [b for two in bags for b in two if b is not None and len(b[0]) <= SLICE]
     terms = np.unique(np.concatenate([b[0] for b in small])) if small else np.empty(0, np.uint64)
-    s.pool = s.variates(terms) if len(terms) else None
+    s.pool = s.values(terms) if len(terms) else None
     for (i, text, edited), two in zip(rows, bags, strict=True):
         signs = [
             None if b is None else s.sign(*b, np.searchsorted(terms, b[0]) if len(b[0]) <= SLICE else None) for b in two
