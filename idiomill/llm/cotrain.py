@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, crc_bucket, mix64
-from .toxicity import logistic
+from .toxicity import logistic, sample_of
 
 MAX_LABELLED = 8000
 MAX_POOL = 4000
@@ -169,15 +169,14 @@ def _matrix(rows, name):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
-    named = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("label"))
-    sizes = docs.agg(F.count("*")).first()[0], named.count()
-    spin = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
     base = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    part = base.where(spin < int(min(1.0, max_labelled / max(sizes[1], 1)) * (1 << 20)))
-    known = _features(part.join(named, F.col("doc_id") == F.col("_id")).drop("_id")).collect()
-    rest = max(sizes[0] - sizes[1], 1)
-    pool = base.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < int(min(1.0, max_pool / rest) * (1 << 20)))
-    pool = pool.join(named.select("_id"), F.col("doc_id") == F.col("_id"), "left_anti").withColumn("label", F.lit(None).cast("double"))
+    known = sample_of(base, labels, "quality", max_labelled).withColumn("label", F.col("label").cast("double"))
+    known = _features(known.select("text", "source", "lang", "n_chars", "label")).collect()
+    named = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"))
+    rest = max(docs.count() - named.count(), 1)
+    spin = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20))
+    pool = base.where(spin < int(min(1.0, max_pool / rest) * (1 << 20))).dropDuplicates(["doc_id"])
+    pool = pool.join(named, F.col("doc_id") == F.col("_id"), "left_anti").withColumn("label", F.lit(None).cast("double"))
     free = _features(pool).collect()
     known.sort(key=lambda r: (r.content, r.metadata))
     xs = [_matrix(known, v) if known else np.zeros((0, 1)) for v in ("content", "metadata")]

@@ -13,8 +13,8 @@ come from training rows only, at most MAX_TRAIN of them, chosen by a hash; every
 scored whole.
 
 Defined results: null, empty and wordless texts have the score of a text without a
-match; without both labels in the training rows every score is the share of toxic rows
-(0 if there is none); rows of labels that repeat a doc_id count once each.
+match; without both labels in the training rows every score is near 0, or near 1 if all
+are toxic; a doc_id that labels repeats counts once, with its largest label.
 """
 
 from __future__ import annotations
@@ -190,14 +190,24 @@ def _exceptions(weights):
     return run
 
 
-def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Lexicon:
-    """A lexicon of rows (text, label 0 or 1), of a bounded sample chosen by a hash."""
-    spark = train.sparkSession
+def sample_of(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
+    """(text columns of docs, label) of at most about ``most`` labelled documents, chosen by a hash of doc_id.
+
+    The labels are sampled first. The sample's size is bounded by ``most``, so it is
+    broadcast and no text is shuffled but its own. A doc_id counts once, with its largest
+    label.
+    """
+    named = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(column).cast("int").alias("label"))
+    share = int(min(1.0, most / max(named.count(), 1)) * (1 << 20))
+    few = named.where(F.pmod(F.xxhash64("_id", F.lit(column)), F.lit(1 << 20)) < share)
+    return docs.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lexicon:
+    """A lexicon of documents (doc_id, text) and their labels (doc_id, toxic)."""
+    spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    train = train.where("label in (0, 1)").select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
-    n = train.count()
-    part = train.where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 20)) < int(min(1.0, max_train / max(n, 1)) * (1 << 20)))
-    sample = scratch.keep(part, "sample")
+    sample = scratch.keep(sample_of(docs, labels, "toxic", max_train).select("text", "label"), "sample")
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -254,8 +264,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     """(doc_id, held_out, score, predicted) of every document; a fifth of the documents is held out of training."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     held = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
-    named = labels.where(~held & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label"))
-    train = rows.where(~held).join(named, F.col("doc_id") == F.col("_id")).select("text", "label")
-    lexicon = fit(train, max_train)
+    lexicon = fit(rows.where(~held), labels.where(~held), max_train)
     scored = score(rows.withColumn("held_out", held), lexicon)
     return scored.select("doc_id", "held_out", "score", "predicted")
