@@ -28,7 +28,7 @@ from .toxicity import logistic, sample_of
 MAX_LABELLED = 8000
 MAX_POOL = 4000
 ROUNDS = 4
-CONFIDENT = 0.95
+CONFIDENT = 0.9
 PER_ROUND = 200
 TRIGRAMS = 64
 META = 64
@@ -86,7 +86,7 @@ class View:
 
     def fit(self, x, y):
         self.mean, self.dev = x.mean(axis=0), x.std(axis=0) + 1e-6
-        self.w = logistic((x - self.mean) / self.dev, y, ridge=3.0)
+        self.w = logistic((x - self.mean) / self.dev, y, ridge=1.0)
         self.slope = (0.0, 1.0)
         return self
 
