@@ -31,12 +31,17 @@ def merge(rows: DataFrame, preferred: str | None = None, entry: tuple[str, ...]
     liked = F.when(F.col("source") == preferred, at) if preferred else F.lit(None).cast("struct<file_pos:int,row_pos:bigint>")
     grouped = rows.withColumn("_key", X.lower_first("idiom")).groupBy("_key").agg(
         F.coalesce(F.max_by(F.when(F.col("source") == F.lit(preferred), F.col("idiom")), liked), F.min_by("idiom", at)).alias("idiom"),
-        F.array_sort(F.collect_list(F.struct("file_pos", "row_pos", *entry, "source"))).alias("_all"),
+        F.array_sort(F.collect_list(F.struct(at.alias("at"), *entry, "source")), _by_position).alias("_all"),
     )
     plain = F.transform("_all", lambda s: F.struct(*(s[c].alias(c) for c in (*entry, "source"))))
     return grouped.select("_key", "idiom", plain.alias("sources"))
 
 
+def _by_position(a, b):
+    """Compares entries by position alone; maps in them have no order."""
+    return F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+
+
 def indexed(merged: DataFrame, key: str = "_key") -> DataFrame:
     """merged with a dense 0-based index in order of key."""
     from .match import ordinals
