@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 U64 = np.uint64
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -20,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-        folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="idiomill-")
-        shared_folder.own = folder
-    return folder.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder. They cut lineage and survive lost executors."""
 
@@ -86,9 +76,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def crc_bucket(column: str, parts: int):
     """crc32 of a column as text, modulo parts."""
     return F.crc32(F.col(column).cast("string")) % parts
-
-
-def batch_rows(batches, *columns):
-    """Tuples of Python values out of Arrow batches, one row at a time."""
-    for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)

@@ -30,7 +30,7 @@ from .common import GOLDEN, U64, mix64
 
 # The spaced seeds, five words each.
 MASKS = ("11111", "1101011", "11010011", "110010101", "1010010011")
-WINDOW = 20
+WINDOW = 13
 IDENTITY = 0.8
 BLOCK_WORDS = 500_000
 SHORT = 5

@@ -34,6 +34,8 @@ KEY_BYTES = 6
 BUCKET_KEYS = 512_000
 CROWDED = 16
 """An anchor that stands so often in one block is crowded: its windows are compared one by one, not as pieces."""
+WIDESPREAD = 512
+"""An anchor that stands in more blocks than that is crowded, too: at most CROWDED * WIDESPREAD of its pieces meet."""
 LAST = (1 << 63) - 1
 
 SENT = "bucket long, block long, payload binary"
@@ -151,7 +153,7 @@ def answer_anchors(key, t):
         names.append(raw.reshape(-1).view("<u8"))
         crowded.append(unbits(p[4 + n * KEY_BYTES :], n))
     found, at, counts = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
-    hot = np.bincount(at, np.concatenate(crowded), len(found)) > 0
+    hot = (np.bincount(at, np.concatenate(crowded), len(found)) > 0) | (counts > WIDESPREAD)
     out, a = [], 0
     for block, n in zip(blocks, map(len, names), strict=True):
         k = at[a : a + n]

@@ -14,8 +14,8 @@ of neighbours are taken, and previous and next smaller positions give, in one pa
 stack, the longest previous factor of each. Equal pieces need no sorting, all but the
 first are repeated.
 
-Pieces of a crowded anchor (it stands in one block more than CROWDED times) are not
-brought together, as their number has no bound; their windows are compared one by one by
+Pieces of a crowded anchor (it stands in one block more than CROWDED times, or in more
+than WIDESPREAD blocks) are not brought together, as their number has no bound; their windows are compared one by one by
 96-bit digests, of which a block sends each only once.
 
 Defined results: null texts are empty; texts shorter than LENGTH stay whole; rows that

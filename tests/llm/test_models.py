@@ -152,7 +152,8 @@ def test_leak_search_is_complete():
         same = [rng.random() > 0.15 for _ in item]
         text = [f"o{rng.randrange(10**6)}" for _ in range(20)] + [w if s else "sub" for w, s in zip(item, same, strict=True)] + ["end"]
         hit = bool(decontam.Index([(1, " ".join(item))]).find(" ".join(text)))
-        good = any(sum(same[k : k + 20]) >= 16 for k in range(11))
+        w = decontam.WINDOW
+        good = any(sum(same[k : k + w]) >= decontam.IDENTITY * w for k in range(31 - w))
         assert good or not hit
         wanted += good
         found += hit
