@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import ranges
 
 NESTED = 64
 """Phrase lists up to this size are joined by contains."""
@@ -138,19 +139,8 @@ def matching_docs(docs: DataFrame, pats: DataFrame, language: str = "en", strate
 
 
 def ordinals(docs: DataFrame, key: str = "doc_id", skip: int = 0, limit: int = 0, name: str = "doc_index") -> DataFrame:
-    """docs from the skip-th on (limit of them, all for 0) with dense 0-based ordinals in order of key.
-
-    Ranges of key are counted first and each range numbers its own rows, so no single
-    task sees all rows.
-    """
-    parts = docs.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"), F.min(key).alias("__min"))
-    before = Window.orderBy(F.col("__min").asc_nulls_first(), "__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("__part").orderBy(key)
-    numbered = parts.withColumn("__rn", F.row_number().over(own)).join(F.broadcast(offsets), "__part")
-    out = numbered.withColumn(name, (F.col("__before") + F.col("__rn") - 1).cast("long")).drop("__part", "__rn", "__before")
-    out = out.where(F.col(name) >= skip)
+    """docs from the skip-th on (limit of them, all for 0) with dense 0-based ordinals in order of key."""
+    out = ranges.ordinals(docs, key, name).where(F.col(name) >= skip)
     return out.where(F.col(name) < skip + limit) if limit else out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from idiomill.functions import jsonx
 from idiomill.functions import text as X
-from idiomill.operators import clusters, entities, instruct, lexicon, match, models, stats, vectors, wikitext
+from idiomill.operators import clusters, entities, instruct, lexicon, match, models, ranges, stats, vectors, wikitext
 from idiomill.plans import pipelines
 from idiomill.sources import readers, writers
 from idiomill.streaming import filter as stream
@@ -129,6 +129,22 @@ def test_ordinals_are_dense(spark):
     assert [r.doc_index for r in got] == list(range(1000))
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "struct"])
+def test_ranges_agree(spark, kind):
+    """Many ranges give the positions of one."""
+    key = {"long": F.col("k"), "string": F.md5(F.col("k").cast("string")), "struct": F.struct(F.col("k") % 7, F.lit("x"), F.col("k"))}[kind]
+    rows = spark.range(5000).select((F.col("id") * 37 % 5000).alias("k")).withColumn("key", key).repartition(5)
+    got = ranges.ordinals(rows, "key", "n", rows=300)
+    want = [r.k for r in rows.orderBy("key").collect()]
+    assert [r.k for r in got.orderBy("n").collect()] == want and sorted(r.n for r in got.collect()) == list(range(5000))
+
+
+def test_running_sums_over_ranges(spark):
+    rows = spark.range(1000).select(F.col("id").alias("idx"), (F.col("id") % 3).alias("n")).repartition(3)
+    got = ranges.running(rows, "idx", "n", "s", rows=90).orderBy("idx").collect()
+    assert [r.s for r in got] == [sum(j % 3 for j in range(i)) for i in range(1000)]
+
+
 def test_merge_prefers_pages(spark):
     def source(*idioms):
         return spark.createDataFrame([(i, "d", k) for k, i in enumerate(idioms)], "idiom string, definition string, row_pos long")
