@@ -169,3 +169,19 @@ def first_wins(rows: DataFrame, *key: str, order: str = "pos") -> DataFrame:
     """One row for each key, the first in order."""
     w = Window.partitionBy(*key).orderBy(order)
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+ANALYST = "You compare what two languages express with the same thing. Answer with JSON."
+
+
+def analysis_prompt(entity_en, entity_zh, idioms_en, idioms_zh) -> Column:
+    """Messages that ask how two clusters differ. Idioms are arrays of (idiom, figurative_meanings), entities arrays of names."""
+
+    def block(head, names, idioms):
+        lines = F.transform(idioms, lambda i: F.concat(F.lit("- "), i["idiom"], F.lit(": "), X.join_list(i["figurative_meanings"], 3)))
+        return F.concat(F.lit(f"{head}: "), F.array_join(names, ", "), F.lit("\n"), F.array_join(lines, "\n"))
+
+    wanted = ", ".join((*jsonx.LISTS, "cultural_explanation", "summary"))
+    text = F.concat(block("English", entity_en, idioms_en), F.lit("\n\n"), block("Chinese", entity_zh, idioms_zh), F.lit(f"\n\nReturn an object with {wanted}."))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(message("system", F.lit(ANALYST)), message("user", text))

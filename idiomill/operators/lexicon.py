@@ -142,3 +142,10 @@ def extracted_meanings(merged: DataFrame) -> DataFrame:
             ),
         ).alias("meanings"),
     )
+
+
+def extracted_definitions(merged: DataFrame, sources: tuple[str, ...] = ("source1", "source2", "source3", "source4")) -> DataFrame:
+    """(idiom, meanings) of rows whose sources are arrays of (definition, example, source_input) or null: each definition that is there."""
+    none = "array<struct<definition:string,example:array<string>,source_input:string>>"
+    flat = F.concat(*(F.coalesce(F.col(s), F.array().cast(none)) for s in sources))
+    return merged.select("idiom", F.filter(flat, lambda e: X.non_empty(e["definition"]).isNotNull()).alias("meanings"))

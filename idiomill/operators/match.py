@@ -257,3 +257,22 @@ def occurrence_counts(docs: DataFrame, phrases: DataFrame, min_count: int = 0, k
     found = phrase_occurrences(docs, phrases, key, column).groupBy("idiom").agg(F.count("*").alias("count"))
     every = phrases.select(F.col(column).alias("idiom")).where("idiom <> ''").distinct()
     return every.join(found, "idiom", "left").select("idiom", F.coalesce("count", F.lit(0)).cast("long").alias("count")).where(F.col("count") >= min_count)
+
+
+def occurrence_report(docs: DataFrame | None, phrases: DataFrame, language: str, min_count: int = 1, languages: tuple[str, ...] = ("en",)) -> DataFrame:
+    """(lang, status, idiom, count): frequent phrases; one row that says so where a language has no index or documents are missing."""
+    spark = phrases.sparkSession
+    if language not in languages:
+        return spark.createDataFrame([(language, "skipped", None, None)], "lang string, status string, idiom string, count long")
+    if docs is None:
+        return spark.createDataFrame([(language, "missing", None, None)], "lang string, status string, idiom string, count long")
+    return occurrence_counts(docs, phrases, min_count).select(F.lit(language).alias("lang"), F.lit("ok").alias("status"), "idiom", "count")
+
+
+def merged_reports(reports: DataFrame) -> DataFrame:
+    """Partial index reports of one dataset (lang, dataset, doc_indices, totals) put together, indices in order of the runs' offsets."""
+    runs = F.array_sort(F.collect_list(F.struct("skip_docs", "doc_indices")))
+    return reports.groupBy("lang", "dataset").agg(
+        F.sum("total_processed").alias("total_processed"), F.sum("total_matched").alias("total_matched"),
+        F.flatten(F.transform(runs, lambda r: r["doc_indices"])).alias("doc_indices"),
+    )

@@ -243,3 +243,20 @@ def as_source(parsed: DataFrame) -> DataFrame:
     """Definitions as the array of maps that merged sources have."""
     entry = lambda d: F.create_map(d["pos"], F.struct(d["explanation"].alias("explanation"), d["usage"].alias("usage"), d["example"].alias("example")))
     return parsed.withColumn("definition", F.transform("definition", entry))
+
+
+def heading_parents(lines: DataFrame, levels: int = 6) -> DataFrame:
+    """lines (page, line_no, level; 0 for text) with parent: the number of the nearest earlier heading of a smaller level.
+
+    Text belongs to the nearest heading. A heading closes all deeper ones, so the nearest
+    smaller one is the latest heading among the smaller levels.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col("level") == k, F.col("line_no"))).over(w) for k in range(1, levels + 1)]
+    parent = None
+    for k in range(levels, 0, -1):
+        known = F.greatest(*last[: k - 1], F.lit(None).cast("long")) if k > 2 else (last[0] if k == 2 else F.lit(None).cast("long"))
+        parent = F.when(F.col("level") == k, known) if parent is None else parent.when(F.col("level") == k, known)
+    return lines.withColumn("parent", parent.otherwise(F.greatest(*last, F.lit(None).cast("long"))))

@@ -146,6 +146,37 @@ def ngram_counts_frequent(spark, d):
     return match.occurrence_counts(table(spark, d, "documents"), proxies.phrases(spark, d), 5).orderBy(F.desc("count"), "idiom").limit(10)
 
 
+@query(f"""WITH {PHRASES}, tok AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS t FROM documents),
+want AS (SELECT DISTINCT idiom, list_filter(string_split_regex(lower(idiom), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS w FROM phr),
+pos AS (SELECT doc_id, len(t) AS size, unnest(range(1, len(t) + 1)) AS i, t FROM tok),
+big AS (SELECT doc_id, i - 1 AS pos, array_to_string(t[i:i + k - 1], ' ') AS gram FROM pos, (SELECT DISTINCT len(w) AS k FROM want) WHERE i + k - 1 <= size)
+SELECT idiom, doc_id, pos::BIGINT AS pos FROM want JOIN big ON gram = array_to_string(w, ' ')""")
+def occurrence_positions(spark, d):
+    return match.phrase_occurrences(table(spark, d, "documents"), proxies.phrases(spark, d))
+
+
+@query(f"WITH {PHRASES}, {_TOKENS} SELECT 'en' AS lang, 'ok' AS status, idiom, n AS \"count\" FROM occ WHERE n >= 1 UNION ALL SELECT 'hi', 'skipped', NULL, NULL")
+def occurrence_report(spark, d):
+    docs, phrases = table(spark, d, "documents"), proxies.phrases(spark, d)
+    return match.occurrence_report(docs, phrases, "en").unionByName(match.occurrence_report(docs, phrases, "hi"))
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT *, cast(floor(doc_index / 300) AS BIGINT) AS run FROM num)
+SELECT 'en' AS lang, 'documents' AS dataset, count(*) AS total_processed, count_if(doc_id IN (SELECT doc_id FROM prs))::BIGINT AS total_matched,
+ string_agg(CASE WHEN doc_id IN (SELECT doc_id FROM prs) THEN doc_index::VARCHAR END, '|' ORDER BY doc_index) AS doc_indices FROM r WHERE run < 2""")
+def merged_doc_indices(spark, d):
+    parts = []
+    for skip in (300, 0):
+        docs = match.ordinals(table(spark, d, "documents"), skip=skip, limit=300)
+        parts.append(match.index_report(docs, match.matching_docs(docs, match.patterns(proxies.phrases(spark, d))), "en", "documents", skip=skip))
+    return match.merged_reports(parts[0].unionByName(parts[1])).withColumn("doc_indices", shown("doc_indices"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents ORDER BY doc_id LIMIT 300 OFFSET 200")
+def range_slice(spark, d):
+    return match.ordinals(table(spark, d, "documents").select("doc_id"), skip=200, limit=300, name="line")
+
+
 # --- dictionaries -------------------------------------------------------------------
 
 
@@ -281,6 +312,27 @@ def meanings_extracted(spark, d):
     return out.select(F.split_part("idiom", F.lit("#"), F.lit(1)).alias("idiom"), F.split_part("idiom", F.lit("#"), F.lit(2)).cast("long").alias("pos"), "m.explanation")
 
 
+@query("""SELECT p_name || '#' || p_partkey AS idiom, CASE WHEN p_size % 2 = 0 THEN p_type || '|' ELSE '' END || p_brand AS meanings FROM part""")
+def definitions_extracted(spark, d):
+    entry = lambda c: F.array(F.struct(c.alias("definition"), F.lit(None).cast("array<string>").alias("example"), F.lit("s").alias("source_input")))
+    none = F.lit(None).cast("array<struct<definition:string,example:array<string>,source_input:string>>")
+    merged = table(spark, d, "part").select(
+        F.concat_ws("#", "p_name", "p_partkey").alias("idiom"), F.when(F.col("p_size") % 2 == 0, entry(F.col("p_type"))).alias("source1"), none.alias("source2"),
+        entry(F.col("p_brand")).alias("source3"), entry(F.lit("")).alias("source4"),
+    )
+    return lexicon.extracted_definitions(merged).select("idiom", shown(F.transform("meanings", lambda m: m["definition"])).alias("meanings"))
+
+
+@query("""SELECT n_name AS name, n_regionkey < 3 AS low, n_regionkey > 1 AS high FROM nation""")
+def set_operations(spark, d):
+    n = table(spark, d, "nation")
+    low, high = n.where("n_regionkey < 3").select("n_name"), n.where("n_regionkey > 1").select("n_name")
+    every, both, only = low.union(high).distinct(), low.intersect(high), low.exceptAll(high)
+    marked = every.join(both.withColumn("both", F.lit(True)), "n_name", "left").join(only.withColumn("only", F.lit(True)), "n_name", "left")
+    is_low = F.col("both").isNotNull() | F.col("only").isNotNull()
+    return marked.select(F.col("n_name").alias("name"), is_low.alias("low"), F.col("only").isNull().alias("high"))
+
+
 # --- entities -----------------------------------------------------------------------
 
 
@@ -739,6 +791,20 @@ def iso_times(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
+@query("SELECT conv_id, turn, json_object('error', role)::VARCHAR AS payload FROM conversations")
+def error_payloads(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", jsonx.error_payload("role").alias("payload"))
+
+
+@query("""WITH l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no FROM documents),
+v AS (SELECT page, line_no, length(line) % 5 AS level FROM l)
+SELECT a.page, a.line_no, (SELECT max(b.line_no) FROM v b WHERE b.page = a.page AND b.line_no < a.line_no AND b.level > 0 AND (a.level = 0 OR b.level < a.level)) AS parent FROM v a""")
+def heading_parents(spark, d):
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
+    named = lines.select("page", (F.col("p") + 1).cast("long").alias("line_no"), (F.length("line") % 5).alias("level"))
+    return wikitext.heading_parents(named).select("page", "line_no", "parent")
+
+
 # --- instruction data ---------------------------------------------------------------
 
 
@@ -812,6 +878,14 @@ def instruction_records(spark, d):
     return pipelines.instruction_data(_contexts(spark, d), pool, done, models.EchoCompleter, "en").select("instruction", "output", "metadata.answer_type")
 
 
+@query("""SELECT p_partkey, 'English: ' || p_brand || chr(10) || '- ' || p_name || ': ' || p_type || chr(10) || chr(10) || 'Chinese: z, ' || p_brand || chr(10) || '- ' || p_name || ': N/A' AS head FROM part""")
+def analysis_prompts(spark, d):
+    none = F.array().cast("array<string>")
+    idiom = lambda m: F.array(F.struct(F.col("p_name").alias("idiom"), m.alias("figurative_meanings")))
+    text = instruct.analysis_prompt(F.array("p_brand"), F.array(F.lit("z"), "p_brand"), idiom(F.array("p_type")), idiom(none))[1]["content"]
+    return table(spark, d, "part").select("p_partkey", F.split_part(text, F.lit("\n\nReturn"), F.lit(1)).alias("head"))
+
+
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
 def record_distribution(spark, d):
     rows = table(spark, d, "documents").select(F.struct(F.col("lang").alias("answer_type"), F.col("source").alias("has_cultural_analysis")).alias("metadata"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,17 @@ def tsv(spark: SparkSession, path, schema: str | None = None) -> DataFrame:
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def idiom_file(spark: SparkSession, files: dict[str, str], language: str) -> str | None:
+    """The lexicon file of a language; None, with a warning, where there is none."""
+    path = files.get(language)
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return path
+    warnings.warn(f"no idiom file for {language}: {path}", stacklevel=2)
+    return None
+
+
 def chunk_files(spark: SparkSession, folder: str, base: str) -> list[str]:
     """Chunk files in order of name: compressed ones, or plain ones only if there is none."""
     jvm = spark._jvm
