@@ -1,6 +1,8 @@
 """Every query against its SQL in DuckDB, over the smallest driver tables."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
@@ -9,13 +11,18 @@ from idiomill.plans import catalogue
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def plain(v):
+    """A cell as both engines give it: nulls alike, whole numbers as integers, others rounded."""
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
+        return "NULL"
+    if isinstance(v, (float, np.floating)):
+        return int(v) if float(v).is_integer() else round(float(v), 9)
+    return v
+
+
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    clean = [
-        tuple("NULL" if v is None or v != v else round(float(v), 9) if isinstance(v, float) else v for v in r)
-        for r in frame.itertuples(index=False)
-    ]
-    return sorted(clean, key=lambda r: tuple(map(str, r)))
+    return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=lambda r: tuple(map(str, r)))
 
 
 @pytest.fixture(scope="module")
