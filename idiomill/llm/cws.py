@@ -35,6 +35,8 @@ SLICE = 4096
 """Terms whose variates are in memory at once: SLICE x SAMPLES values for each array."""
 TARGET_BYTES = 4 << 20
 """Text bytes of one range of documents."""
+MAX_RANGES = 20_000
+"""Ranges at most; their limits reach the driver. Rows of a range are streamed, so a larger range needs no more memory."""
 
 
 class Sampler:
@@ -247,7 +249,7 @@ def fingerprint_edits(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> Data
     spark = docs.sparkSession
     if total is None:
         return spark.createDataFrame([], SCHEMA)
-    ranges = max(1, -(-total // target_bytes))
+    ranges = min(max(1, -(-total // target_bytes)), MAX_RANGES)
     cuts = sorted({int(x) for x in rows.approxQuantile("rank", [k / ranges for k in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
     limits = np.array(cuts, np.int64)
 
@@ -255,30 +257,18 @@ def fingerprint_edits(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> Data
     def bucket(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(limits, ids.to_numpy(), side="right").astype("int32"))
 
-    placed = rows.select("rank").distinct().select("rank", bucket("rank").alias("bucket"))
-    tops = sorted(placed.groupBy("bucket").agg(F.max("rank")).collect())
-    before = {tops[k - 1][1]: tops[k][0] for k in range(1, len(tops))}
-    ghosts = [(tops[-1][1], tops[0][0])] + list(before.items())
-    copies = F.array().cast("array<struct<bucket:int,ghost:boolean>>")
-    by_id: dict[int, list[int]] = {}
-    for i, b in ghosts:
-        by_id.setdefault(i, []).append(b)
-    width = max(map(len, by_id.values()))
-    for k in range(width):
-        part = {i: b[k] for i, b in by_id.items() if len(b) > k}
-        at = F.try_element_at(F.create_map(*(F.lit(x) for pair in part.items() for x in pair)), F.col("rank"))
-        copies = F.concat(
-            copies,
-            F.when(at.isNotNull(), F.array(F.struct(at.alias("bucket"), F.lit(True).alias("ghost")))).otherwise(
-                F.array().cast("array<struct<bucket:int,ghost:boolean>>")
-            ),
-        )
-    home = F.array(F.struct(bucket("rank").alias("bucket"), F.lit(False).alias("ghost")))
-    spread = (
-        rows.withColumn("home", home)
-        .withColumn("places", F.concat("home", copies))
-        .select("doc_id", "rank", "text", F.explode("places").alias("place"))
-        .select("place.bucket", "place.ghost", "doc_id", "rank", "text")
+    tops = sorted(rows.select(bucket("rank").alias("bucket"), "rank").groupBy("bucket").agg(F.max("rank")).collect())
+    ghosts: dict[int, list[int]] = {tops[-1][1]: [tops[0][0]]}
+    for (b, _), (_, first) in zip(tops[1:], tops[:-1], strict=True):
+        ghosts.setdefault(first, []).append(b)
+
+    @pandas_udf("array<int>")
+    def places(ids: pd.Series) -> pd.Series:
+        home = np.searchsorted(limits, ids.to_numpy(), side="right").tolist()
+        return pd.Series([[b, *ghosts.get(i, ())] for b, i in zip(home, ids.tolist(), strict=True)])
+
+    spread = rows.select("doc_id", "rank", "text", F.posexplode(places("rank")).alias("at", "bucket")).select(
+        "bucket", (F.col("at") > 0).alias("ghost"), "doc_id", "rank", "text"
     )
     ordered = spread.repartition(ranges, "bucket").sortWithinPartitions("bucket", "ghost", F.desc("rank"), "text")
     return ordered.select("bucket", "ghost", "doc_id", "text").mapInArrow(_stream, SCHEMA)

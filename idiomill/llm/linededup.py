@@ -58,8 +58,8 @@ def _windows(size):
     return F.transform(F.sequence(F.lit(0), F.size("full") - size), window)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", size: int = SIZE, key: str = "doc_id") -> DataFrame:
-    """docs with the text rewritten, and the columns n_lines and n_removed (long; 0 for a null text)."""
+def _marked(docs: DataFrame, text: str, size: int, key: str) -> DataFrame:
+    """docs with __lines, the lines of the text, and __gone, the places of those to remove (null if none is)."""
     scratch = Scratch(docs.sparkSession, "lines")
     body = F.col(f"`{text}`").cast("string")
     # Rows are named by doc_id and, where rows share one, by a hash of their text.
@@ -75,21 +75,41 @@ def dedup_lines(docs: DataFrame, text: str = "text", size: int = SIZE, key: str
     )
     later = spread.join(first, ["a", "b"]).where(place > F.col("first"))
     gone = later.groupBy("id", "t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
-    gone = scratch.keep(gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone")), "gone")
+    gone = scratch.keep(gone.select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("gone").alias("__gone")), "gone")
     # A merge join at every size: the plan, and what it needs, do not change where the marks outgrow a broadcast.
-    joined = docs.join(gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_t")), "left")
-    ready = _once(joined, F.split(body, "\n", -1), "_lines")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.element_at("_lines", i + 1)), "\n")
-    new = F.when(F.col("_gone").isNull(), body).otherwise(kept)
-    counted = F.size(F.filter("_lines", lambda x: F.regexp_replace(x, _TRIM, "") != ""))
+    joined = docs.join(gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__t")), "left")
+    return _once(joined, F.split(body, "\n", -1), "__lines")
+
+
+def _rewritten(text: str):
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.element_at("__lines", i + 1)), "\n")
+    return F.when(F.col("__gone").isNull(), F.col(f"`{text}`").cast("string")).otherwise(kept)
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", size: int = SIZE, key: str = "doc_id") -> DataFrame:
+    """docs with the text rewritten, and the columns n_lines and n_removed (long; 0 for a null text).
+
+    Columns of docs that have those names already are replaced.
+    """
+    ready = _marked(docs, text, size, key)
+    counted = F.size(F.filter("__lines", lambda x: F.regexp_replace(x, _TRIM, "") != ""))
     return ready.select(
-        *(new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns),
-        F.when(body.isNull(), 0).otherwise(counted).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *(_rewritten(text).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")),
+        F.when(F.col("__lines").isNull(), 0).otherwise(counted).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
+def without_repeats(docs: DataFrame, text: str = "text", size: int = SIZE, key: str = "doc_id", length: str = "n_chars") -> DataFrame:
+    """docs, columns and all, with the text rewritten and the length column, if there is one, of rewritten texts renewed."""
+    ready = _marked(docs, text, size, key)
+    new = ready.withColumn("__text", _rewritten(text))
+    count = F.when(F.col("__gone").isNull(), F.col(f"`{length}`")).otherwise(F.length("__text").cast("long")) if length in docs.columns else None
+    columns = {text: F.col("__text"), length: count}
+    return new.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
+
+
 ORACLE = r"""
 WITH l AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos, p, line

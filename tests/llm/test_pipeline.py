@@ -46,6 +46,23 @@ def test_pipeline(spark, sf_dir):
     assert len(identified) >= 0.95 * docs.count()
 
 
+def test_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls, empty tables, repeated rows and columns with the operators' own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, n_removed long, block string, fp long, item_id long"
+    text = "the cat sat\nand the dog ran\nover the hill\n" * 3
+    rows = [(i, text, "en", None, 9, 0.5, 1, "b", 2, 3) for i in (1, 1, 2, None)]
+    rows += [(3, None, None, None, None, None, None, None, None, None), (4, "", "en", "s", 0, None, None, None, None, None), (5, "der Hund und die Katze", "de", "s", 22, None, None, None, None, None)]
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert {r.doc_id for r in got} >= {1, 5} and not {3, 4} & {r.doc_id for r in got}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, f"{tmp_path}/some").dtypes == docs.dtypes
+
+
 def test_stage_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash", "decontamination", "packing"]
