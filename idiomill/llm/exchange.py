@@ -255,11 +255,15 @@ class Repeats:
         total = blocks.agg(F.sum("bytes")).first()[0] or 0
         one = max(1, round(total / self.anchor_bytes / BUCKET_KEYS))
         two = max(1, round(total / self.second_bytes))
+        # Each round's frames are dropped before the next begins, so that Spark can remove their shuffle files.
         said = blocks.select("block", "blob").mapInArrow(self._first(one), SENT)
         got = scratch.keep(self._gather(said.groupBy("bucket").applyInArrow(answer_anchors, ANSWER), "got1"), "got1")
+        del said, made
+        scratch.release()
         asked = blocks.join(got, "block").select("block", "blob", "got1").mapInArrow(self._second(one, two), SENT)
         told = self._gather(asked.groupBy("bucket").applyInArrow(self.answer, ANSWER), "got2")
         got = scratch.keep(got.join(told, "block", "left"), "got2")
+        del asked, told
         scratch.release()
         schema = ", ".join(f"{n} {t}" for n, t in self.columns)
         whole = blocks.join(got, "block", "left").select("block", "blob", "got1", "got2")
