@@ -228,23 +228,32 @@ def tokens(c):
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
 
 
-def gram_positions(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(gram, key, pos): the inverted index of token n-grams."""
+def gram_positions(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", heads: list[str] | None = None) -> DataFrame:
+    """(gram, key, pos): the inverted index of token n-grams; with heads only of those that begin with one of these words."""
     # The generator keeps the array a column: lambdas over it would otherwise split the text for each element.
     cut = docs.select(key, F.explode(F.array(tokens(F.col(text)))).alias("_t")).where(F.size("_t") >= n)
     at = F.sequence(F.lit(0), F.size("_t") - n)
-    joined = F.transform(at, lambda i: F.array_join(F.slice("_t", i + 1, n), " "))
-    return cut.select(key, F.posexplode(joined).alias("pos", "gram")).select("gram", key, F.col("pos").cast("long").alias("pos"))
+    if heads is not None:
+        at = F.filter(at, lambda i: F.element_at("_t", i + 1).isin(heads))
+    found = F.transform(at, lambda i: F.struct(i.cast("long").alias("pos"), F.array_join(F.slice("_t", i + 1, n), " ").alias("gram")))
+    return cut.select(key, F.explode(found).alias("g")).select("g.gram", key, "g.pos")
+
+
+FEW_HEADS = 2000
+"""First words of phrases up to this number are looked for while a text is read."""
 
 
 def phrase_occurrences(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", column: str = "idiom") -> DataFrame:
-    """(idiom, key, pos) of every occurrence of a phrase as consecutive words; one index pass for each phrase length."""
+    """(idiom, key, pos) of every occurrence of a phrase as consecutive words; one pass over the texts for each phrase length."""
     named = phrases.select(F.col(column).alias("idiom"), tokens(F.col(column)).alias("t")).where(F.size("t") > 0)
-    named = named.select("idiom", F.array_join("t", " ").alias("gram"), F.size("t").alias("n"))
+    named = named.select("idiom", F.array_join("t", " ").alias("gram"), F.size("t").alias("n"), F.get("t", F.lit(0)).alias("head"))
     lengths = sorted(r.n for r in named.select("n").distinct().collect())
     out = None
     for n in lengths:
-        part = gram_positions(docs, n, key).join(named.where(F.col("n") == n).select("idiom", "gram"), "gram").select("idiom", key, "pos")
+        mine = named.where(F.col("n") == n)
+        heads = [r.head for r in mine.select("head").distinct().limit(FEW_HEADS + 1).collect()]
+        grams = gram_positions(docs, n, key, heads=heads if len(heads) <= FEW_HEADS else None)
+        part = grams.join(mine.select("idiom", "gram"), "gram").select("idiom", key, "pos")
         out = part if out is None else out.unionByName(part)
     if out is None:
         kind = docs.schema[key].dataType.simpleString()
