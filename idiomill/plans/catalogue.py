@@ -293,6 +293,12 @@ def idiom_set_precedence(spark, d):
     return readers.idiom_set(rows, True)
 
 
+@query("""SELECT p_partkey AS "index", p_type AS output FROM part WHERE p_size % 4 <> 0""")
+def output_scan(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("index"), F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("output"))
+    return readers.with_output(rows)
+
+
 @query("""SELECT p_partkey AS "index", p_name AS idiom, p_type || '|' || p_brand AS figurative_meanings FROM part WHERE p_size % 4 <> 0""")
 def figurative_scan(spark, d):
     text = F.concat(F.lit('{"idiom":"'), "p_name", F.lit('","figurative_meanings":[["'), "p_type", F.lit('"," "],"'), "p_brand", F.lit('"]}'))

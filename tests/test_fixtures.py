@@ -232,6 +232,29 @@ def test_cluster_claims(spark):
     assert got == {(0, "zh", 1), (0, "en", 1), (2, "zh", 2), (2, "en", 2)}
 
 
+def test_formatted_clusters(spark):
+    members = spark.createDataFrame([(0, "zh", 1), (0, "en", 1), (0, "en", 2), (1, "zh", 3), (1, "en", 4)], "pair_id long, side string, idx long")
+    meta = lambda *x: spark.createDataFrame([(i, n, [m], []) for i, n, m in x], "idx long, idiom string, figurative_meanings array<string>, entities array<string>")
+    pairs = spark.createDataFrame(
+        [(0, "", "zm", [], ["f"], "z1", "e1"), (1, None, "", ["ef"], [], "z3", "e4")],
+        "pair_id long, en_matched_meaning string, zh_matched_meaning string, en_figurative_meanings array<string>, zh_figurative_meanings array<string>, zh_idiom string, en_idiom string",
+    )
+    got = clusters.formatted(members, meta((1, "z1", "a"), (3, "z3", "b")), meta((1, "e1", "c"), (2, "e2", "d"), (4, "e4", "e")), pairs).collect()
+    assert [(r.shared_meaning, r.zh_idiom_count, r.en_idiom_count, r.anchor_zh_idiom) for r in got] == [("zm", 1, 2, "z1"), ("ef", 1, 1, "z3")]
+    sizes = clusters.size_summary(members).first()
+    assert (sizes.clusters, sizes.en_max, sizes.zh_sum) == (2, 2, 2)
+
+
+def test_missing_lexicon(spark, tmp_path):
+    (tmp_path / "en.jsonl").write_text("{}")
+    files = {"en": str(tmp_path / "en.jsonl"), "zh": str(tmp_path / "no.jsonl")}
+    assert readers.idiom_file(spark, files, "en") == files["en"]
+    with pytest.warns(UserWarning, match="no idiom file"):
+        assert readers.idiom_file(spark, files, "zh") is None
+    pages = spark.createDataFrame([("a.pdf", "one\ftwo")], "path string, text string")
+    assert [r.page for r in readers.pdf_pages(pages).orderBy("page_no").collect()] == ["one", "two"]
+
+
 def test_entity_claims(spark):
     rows = [(0, "en_to_zh", "dog", ["dog"], ["gou"]), (1, "zh_to_en", "gou", ["gou"], ["dog"]), (2, "zh_to_en", "ma", ["ma"], ["horse"])]
     got = clusters.claim_entity_pairs(spark.createDataFrame(rows, "order long, direction string, seed string, members array<string>, targets array<string>"))
