@@ -94,16 +94,19 @@ class Model:
 
 
 def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """A model of columns text and lang (rows with a null lang are left out)."""
-    train = train.where("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    """A model of columns doc_id, text and lang (rows with a null lang are left out)."""
+    train = train.where("lang is not null").select(
+        "doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
+    )
     sizes = dict(train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect())
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the matrix to broadcast would have no bound")
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_train / n))))
-    part = train.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    counted = part.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # Hashed with the id, so that a text with very many copies is sampled like any other.
+    part = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    counted = part.select("text", "lang").mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
     at = {k: i for i, k in enumerate(langs)}
     weights = np.full((BUCKETS, len(langs)), 0.1)
