@@ -951,10 +951,9 @@ def wikitext_parse(spark, d):
 @query(f"WITH {PAIRS} SELECT doc_id, idiom FROM prs")
 def stream_filter(spark, d):
     docs = table(spark, d, "documents")
-    source = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet")
-    folder = f"{session.shared_folder(spark)}/idiomill-stream-{uuid.uuid4().hex}"
-    files = source.parquet(d if not _is_folder(spark, f"{d}/documents.parquet") else f"{d}/documents.parquet")
-    files = files.where(F.col("_metadata.file_path").contains("documents.parquet"))
+    source, folder = spark.readStream.schema(docs.schema), f"{session.shared_folder(spark)}/idiomill-stream-{uuid.uuid4().hex}"
+    path = f"{d}/documents.parquet"
+    files = source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", "documents.parquet").parquet(d)
     stream.run_filter(files, match.patterns(proxies.phrases(spark, d)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", "idiom")
 
