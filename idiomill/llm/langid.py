@@ -41,12 +41,18 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
+STRETCH = 1 << 20
+"""Characters of a text that are in arrays at once."""
+
+
 def grams(text: str) -> np.ndarray:
-    """The bucket of every n-gram; empty if the text has no letter."""
+    """The bucket of every n-gram; empty if the text has no letter. Longer texts are taken in stretches."""
+    if len(text) > STRETCH:
+        return np.concatenate([grams(text[a : a + STRETCH]) for a in range(0, len(text), STRETCH)])
     points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
     letter = _letter_table()[points]
     if not letter.any():
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     points = np.where(letter, points, 32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
@@ -55,7 +61,7 @@ def grams(text: str) -> np.ndarray:
     for n in range(1, max(ORDERS) + 1):
         code = code[: len(points) - n + 1] * U64(0x110000) + points[n - 1 :]
         if n in ORDERS:
-            out.append((mix64(code + U64(n)) & U64(BUCKETS - 1)).astype(np.int64))
+            out.append((mix64(code + U64(n)) & U64(BUCKETS - 1)).astype(np.int32))
     return np.concatenate(out)
 
 

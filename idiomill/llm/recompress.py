@@ -200,6 +200,17 @@ def digests(words: np.ndarray, starts: np.ndarray, window: int = WINDOW):
     return out[0], (out[1] & U64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _stretches(data: np.ndarray, start: int, end: int):
+    """Limits of stretches of about PART bytes of a document, which end at white space."""
+    while start < end:
+        stop = min(start + PART, end)
+        while stop < end and not _SPACE[data[stop]]:
+            nearby = np.flatnonzero(_SPACE[data[stop : stop + PART]])
+            stop = stop + int(nearby[0]) if nearby.size else min(stop + PART, end)
+        yield start, stop
+        start = stop
+
+
 class WordRepeats(Repeats):
     label = "recompress"
     anchor_bytes = 24
@@ -210,27 +221,41 @@ class WordRepeats(Repeats):
         self.window = window
 
     def _parts(self, block):
-        """(words, first, word number in the block) of parts of a block."""
+        """(words, first word of each document and the end, word number in the block) of parts of a block."""
         data, base = np.frombuffer(block.data, np.uint8), 0
         for a, b in block.parts(PART):
-            at = block.starts[a]
-            words, first = words_of(data[at : block.ends[b - 1]], block.starts[a:b] - at, block.ends[a:b] - at)
+            at, end = int(block.starts[a]), int(block.ends[b - 1])
+            if b - a > 1 or end - at <= 2 * PART:
+                words, first = words_of(data[at:end], block.starts[a:b] - at, block.ends[a:b] - at)
+            else:
+                words = np.concatenate([words_of(data[s:e], np.array([0]), np.array([e - s]))[0] for s, e in _stretches(data, at, end)])
+                first = np.array([0, len(words)])
             yield words, first, base
             base += len(words)
 
+    def _segments(self, words, first):
+        """Parts of the words whose arrays are small; those of a long document overlap by a window less one word."""
+        if len(first) > 2 or len(words) <= PART:
+            yield words, first, 0
+            return
+        for s in range(0, max(1, len(words) - self.window + 1), PART // 2):
+            part = words[s : s + PART // 2 + self.window - 1]
+            yield part, np.array([0, len(part)]), s
+
     def anchors(self, block: Block):
-        keys, number, starts, high, low, first, n = [], [], [], [], [], [], 0
-        for words, at, base in self._parts(block):
-            k, s, a = anchors(words, at, self.window)
-            h, l = digests(words, s, self.window)
-            keys.append(k)
-            number.append(a + n)
-            n += len(k)
-            starts.append(s + base)
-            high.append(h)
-            low.append(l)
+        keys, number, starts, high, low, first, n, end = [], [], [], [], [], [], 0, 0
+        for whole, at, base in self._parts(block):
+            for words, limits, offset in self._segments(whole, at):
+                k, s, a = anchors(words, limits, self.window)
+                h, l = digests(words, s, self.window)
+                keys.append(k)
+                number.append(a + n)
+                n += len(k)
+                starts.append(s + base + offset)
+                high.append(h)
+                low.append(l)
             first.append(at[:-1] + base)
-            end = base + len(words)
+            end = base + len(whole)
         return *map(np.concatenate, (keys, number, starts, high, low)), np.append(np.concatenate(first), end)
 
     def _windows(self, block, got, one):

@@ -166,14 +166,25 @@ class ByteRepeats(Repeats):
     def anchors(self, block: Block):
         data = np.frombuffer(block.data, np.uint8)
         keys, lo, hi = [], [], []
-        for a, b in block.parts(PART):
-            base = block.starts[a]
-            k, first, last = anchors(data[base : block.ends[b - 1]], block.starts[a:b] - base, block.ends[a:b] - base, self.length)
+        for starts, ends in self._parts(block):
+            base = starts[0]
+            k, first, last = anchors(data[base : ends[-1]], starts - base, ends - base, self.length)
             keys.append(k)
             lo.append(first + base)
             hi.append(last + base)
         return *map(np.concatenate, (keys, lo, hi)), block.data
 
+    def _parts(self, block: Block):
+        """Limits of documents together, of about PART bytes. A longer document comes in
+        stretches that overlap by a window less one byte, so each window is in one of them."""
+        for a, b in block.parts(PART):
+            starts, ends = block.starts[a:b], block.ends[a:b]
+            if b - a > 1 or ends[0] - starts[0] <= 2 * PART:
+                yield starts, ends
+                continue
+            for s in range(int(starts[0]), int(ends[0]) - self.length + 1, PART):
+                yield np.array([s]), np.array([min(s + PART + self.length - 1, int(ends[0]))])
+
     def second(self, block, got, one, two):
         """Pieces go to even buckets, single windows to odd ones."""
         plan = _Plan(self, block, got, one, two)

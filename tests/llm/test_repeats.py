@@ -106,6 +106,20 @@ def test_words(seed):
     assert simulated(recompress.WordRepeats(), docs, rng.choice([1, 3, 7])) == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_long_documents(seed, monkeypatch):
+    """Documents that are taken in stretches give the same as whole ones."""
+    monkeypatch.setattr(suffix, "PART", 150)
+    monkeypatch.setattr(recompress, "PART", 60)
+    rng = random.Random(seed)
+    docs = byte_docs(rng, b"abcd \n")
+    docs += [(40, b"".join(t for _, t in docs[:12])), (41, b" ".join(t for _, t in docs[5:9])), (42, b"q" * 700)]
+    assert simulated(suffix.ByteRepeats(), docs, 2) == brute_bytes(docs)
+    docs = word_docs(rng, [3, 60, 500][seed])
+    docs += [(50, b" ".join(t for _, t in docs[:12])), (51, b"  ".join(t for _, t in docs[5:30])), (52, b"x" * 500 + b" y" * 300)]
+    assert simulated(recompress.WordRepeats(), docs, 2) == brute_words(docs)
+
+
 @given(st.lists(st.text("ab ", max_size=120), min_size=1, max_size=6), st.integers(1, 3))
 @settings(max_examples=40, deadline=None)
 def test_small_words(texts, blocks):
