@@ -131,12 +131,10 @@ class Lexicon:
             at = end - n + 1
             if w > starts.get(at, 0.0):
                 starts[at] = w
-        out = {}
-        for at, w in starts.items():
-            k = joined.count(" ", 0, at + 1) - 1 if len(starts) < 64 else None
-            out[at if k is None else k] = w
-        if len(starts) >= 64:
-            spaces = np.flatnonzero(np.array(list(joined)) == " ")
+        if len(starts) < 64:
+            out = {joined.count(" ", 0, at + 1) - 1: w for at, w in starts.items()}
+        else:
+            spaces = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), "<u4") == 32)
             out = {int(np.searchsorted(spaces, at)): w for at, w in starts.items()}
         pairs = self.exceptions
         if pairs:
