@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -49,8 +50,10 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark remove the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the gateway tells the JVM of dropped frames up to a second later
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(1.1)
 
 
 @atexit.register
