@@ -36,6 +36,8 @@ CROWDED = 16
 """An anchor that stands so often in one block is crowded: its windows are compared one by one, not as pieces."""
 WIDESPREAD = 512
 """An anchor that stands in more blocks than that is crowded, too: at most CROWDED * WIDESPREAD of its pieces meet."""
+WORTH_WAITING = 64 << 20
+"""Bytes of text from which on it is worth some seconds to have shuffle files removed between rounds."""
 LAST = (1 << 63) - 1
 
 SENT = "bucket long, block long, payload binary"
@@ -259,12 +261,14 @@ class Repeats:
         said = blocks.select("block", "blob").mapInArrow(self._first(one), SENT)
         got = scratch.keep(self._gather(said.groupBy("bucket").applyInArrow(answer_anchors, ANSWER), "got1"), "got1")
         del said, made
-        scratch.release()
+        if total > WORTH_WAITING:
+            scratch.release()
         asked = blocks.join(got, "block").select("block", "blob", "got1").mapInArrow(self._second(one, two), SENT)
         told = self._gather(asked.groupBy("bucket").applyInArrow(self.answer, ANSWER), "got2")
         got = scratch.keep(got.join(told, "block", "left"), "got2")
         del asked, told
-        scratch.release()
+        if total > WORTH_WAITING:
+            scratch.release()
         schema = ", ".join(f"{n} {t}" for n, t in self.columns)
         whole = blocks.join(got, "block", "left").select("block", "blob", "got1", "got2")
         return whole.mapInArrow(self._last(one, two), schema)
