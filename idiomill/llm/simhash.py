@@ -99,10 +99,10 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = DISTANCE, paire
     """
     if distance != 2:
         raise ValueError("large key groups are linked through one-bit neighbours, which is exact for a distance of 2")
-    keyed = scratch.keep(distinct.select("fp", F.explode(_keys(distance)).alias("key")).select("fp", "key.*"), "keys")
+    keyed = distinct.select("fp", F.explode(_keys(distance)).alias("key")).select("fp", "key.*")
     sizes = scratch.keep(keyed.groupBy("pair", "p", "q").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     few, many = sizes.where(F.col("n") <= paired), sizes.where(F.col("n") > paired)
-    member = scratch.keep(keyed.join(few.select("pair", "p", "q"), ["pair", "p", "q"]), "members")
+    member = keyed.join(few.select("pair", "p", "q"), ["pair", "p", "q"])
     other = member.withColumnRenamed("fp", "fp2")
     near = (
         member.join(other, ["pair", "p", "q"])
