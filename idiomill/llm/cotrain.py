@@ -2,13 +2,15 @@
 
 The content view sees the text: character classes, word shape, repetition and hashed
 letter trigrams. The metadata view sees source, language and length of the page. Each
-view has a ridge logistic classifier. Over ROUNDS rounds, each classifier labels the
-unlabelled texts it is most sure of, and those join the training set of the *other*
+view has a ridge logistic classifier. Over ROUNDS rounds, each classifier labels all
+unlabelled texts it is CONFIDENT of, and those join the training set of the *other*
 view. Both are then calibrated on labelled rows that took no part in training, and a
 logistic of the two calibrated logits scores all documents.
 
-Training uses at most MAX_LABELLED labelled and MAX_POOL unlabelled documents, chosen by
-a hash; every document is scored on its whole text.
+Training uses at most MAX_LABELLED labelled documents, chosen by a hash, and all
+unlabelled ones: their features stay in Spark, and each Newton step is one pass that sums
+over them. Which pseudo-label a document has follows from the views of the rounds so far,
+so no state is kept. Every document is scored on its whole text.
 
 Defined results: null texts count as empty, null source or language is a value of its
 own; without both labels every score is the share of good rows (0.5 without labels);
@@ -19,17 +21,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_bucket, mix64
+from .common import U64, Scratch, crc_bucket, mix64
 from .toxicity import logistic, sample_of
 
 MAX_LABELLED = 8000
-MAX_POOL = 4000
 ROUNDS = 4
 CONFIDENT = 0.9
-PER_ROUND = 200
+STEPS = 25
 TRIGRAMS = 64
 META = 64
 
@@ -101,6 +103,71 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _taken(history, xs):
+    """For each view, which rows it is given and with which labels, by the views of all rounds so far."""
+    free = np.ones(len(xs[0]), bool)
+    given = [(np.zeros(len(free), bool), np.zeros(len(free))) for _ in xs]
+    for views in history:
+        for k in (0, 1):
+            p = _sigmoid(views[k].raw(xs[k]))
+            pick = free & (np.maximum(p, 1 - p) >= CONFIDENT)
+            free &= ~pick
+            mask, label = given[1 - k]
+            mask |= pick
+            label[pick] = p[pick] >= 0.5
+    return [(x[mask], label[mask]) for x, (mask, label) in zip(xs, given, strict=True)]
+
+
+def _moments(x, y):
+    return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+
+def _newton(x, y, view):
+    """Log loss, gradient and Hessian at the view's weights."""
+    x = np.column_stack([np.ones(len(x)), (x - view.mean) / view.dev])
+    z = np.clip(x @ view.w, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    return np.concatenate([[np.sum(np.logaddexp(0, z) - y * z)], x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def _summed(over, history, train, f):
+    """f of each view's labelled rows (on the driver) and pseudo-labelled ones (in the pool), summed."""
+    own = [f(k, *t) for k, t in enumerate(train)]
+    pool = over(lambda xs: np.concatenate([f(k, *t) for k, t in enumerate(_taken(history, xs))]))
+    at = np.cumsum([0, *map(len, own)])
+    return [v + pool[a:b] for v, a, b in zip(own, at[:-1], at[1:], strict=True)] if pool is not None else own
+
+
+def _refitted(over, history, train):
+    """Views on labelled and pseudo-labelled rows, by Newton steps that are halved where the loss rises."""
+    views, ridge = [], 1.0
+    for old, m in zip(history[-1], _summed(over, history, train, lambda k, x, y: _moments(x, y)), strict=True):
+        v, d = View(), (len(m) - 1) // 2
+        v.mean = m[1 : d + 1] / m[0]
+        v.dev = np.sqrt(np.maximum(m[d + 1 :] / m[0] - v.mean**2, 0)) + 1e-6
+        v.w = np.concatenate([[old.raw(v.mean)], old.w[1:] / old.dev * v.dev])
+        v.slope = (0.0, 1.0)
+        views.append(v)
+    best: list = [None, None]
+    for _ in range(STEPS):
+        moved = 0.0
+        for k, total in enumerate(_summed(over, history, train, lambda k, x, y: _newton(x, y, views[k]))):
+            v, d = views[k], len(views[k].w)
+            penalty = np.full(d, ridge)
+            penalty[0] = 1e-6
+            loss = total[0] + (penalty * v.w * v.w).sum() / 2
+            if best[k] is not None and loss > best[k][0] * (1 + 1e-9) + 1e-9:
+                new = (v.w + best[k][1]) / 2
+            else:
+                best[k] = (loss, v.w)
+                new = v.w + np.linalg.solve(total[d + 1 :].reshape(d, d) + np.diag(penalty + 1e-9), total[1 : d + 1] - penalty * v.w)
+            moved = max(moved, np.abs(new - v.w).max())
+            v.w = new
+        if moved < 1e-4:
+            break
+    return views
+
+
 class CoTrained:
     def __init__(self):
         self.views: list[View] = []
@@ -108,34 +175,20 @@ class CoTrained:
         self.share = 0.5
 
     def fit(self, xs, y, pools, rounds=ROUNDS):
-        """xs, pools: the two views of labelled and of unlabelled rows."""
+        """xs, pools: the two views of labelled and of unlabelled rows; pools may be a function that sums over them."""
         self.share = float(y.mean()) if len(y) else 0.5
         if len(set(y.tolist())) < 2:
             return self
+        over = pools if callable(pools) else lambda f: f(pools)
         order = np.arange(len(y))
         fold = order % 4 == 3
         if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
             fold = np.zeros(len(y), bool)
         train = [[x[~fold], y[~fold]] for x in xs]
-        free = np.ones(len(pools[0]), bool)
-        views = [View().fit(*t) for t in train]
+        views, history = [View().fit(*t) for t in train], []
         for _ in range(rounds):
-            grown = False
-            for k in (0, 1):
-                p = _sigmoid(views[k].raw(pools[k])) if len(pools[k]) else np.empty(0)
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    pick = np.flatnonzero(free & (sure >= CONFIDENT))
-                    share = self.share if label else 1 - self.share
-                    pick = pick[np.argsort(-sure[pick], kind="stable")][: max(1, int(PER_ROUND * share))]
-                    if len(pick):
-                        free[pick] = False
-                        other = train[1 - k]
-                        other[0] = np.concatenate([other[0], pools[1 - k][pick]])
-                        other[1] = np.concatenate([other[1], np.full(len(pick), label)])
-                        grown = True
-            if not grown:
-                break
-            views = [View().fit(*t) for t in train]
+            history.append(views)
+            views = _refitted(over, history, train)
         check = fold if fold.any() else np.ones(len(y), bool)
         for v, x in zip(views, xs, strict=True):
             v.slope = tuple(logistic(v.raw(x[check])[:, None], y[check]).tolist())
@@ -151,7 +204,7 @@ class CoTrained:
         return np.column_stack([_sigmoid(self.mix[0] + self.mix[1] * z[0] + self.mix[2] * z[1]), *map(_sigmoid, z)])
 
 
-def _features(df: DataFrame) -> DataFrame:
+def _features(df: DataFrame, keep: str = "label") -> DataFrame:
     @F.pandas_udf("content binary, metadata binary")
     def views(text: pd.Series, source: pd.Series, lang: pd.Series, n: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(
@@ -161,29 +214,48 @@ def _features(df: DataFrame) -> DataFrame:
             }
         )
 
-    return df.select("*", views("text", "source", "lang", "n_chars").alias("v")).select("label", "v.content", "v.metadata")
+    return df.select("*", views("text", "source", "lang", "n_chars").alias("v")).select(keep, "v.content", "v.metadata")
 
 
 def _matrix(rows, name):
     return np.array([np.frombuffer(r[name], "f4") for r in rows], float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
+def _pool(docs: DataFrame, named: DataFrame):
+    """A function that sums over the two views of all unlabelled documents."""
+    scratch = Scratch(docs.sparkSession, "cotrain")
+    rows = _features(docs, "doc_id").join(named, F.col("doc_id") == F.col("_id"), "left_anti")
+    rows = scratch.keep(rows.dropDuplicates(["doc_id", "content", "metadata"]).select("content", "metadata"), "pool")
+
+    def over(f):
+        def run(batches):
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    xs = [np.frombuffer(b"".join(c.to_pylist()), "f4").reshape(batch.num_rows, -1).astype(float) for c in batch.columns]
+                    part = f(xs)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        parts = [np.frombuffer(r.total) for r in rows.mapInArrow(run, "total binary").collect()]
+        return sum(parts) if parts else None
+
+    return over
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
     base = docs.select("doc_id", "text", "source", "lang", "n_chars")
     known = sample_of(base, labels, "quality", max_labelled).withColumn("label", F.col("label").cast("double"))
     known = _features(known.select("text", "source", "lang", "n_chars", "label")).collect()
-    named = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"))
-    rest = max(docs.count() - named.count(), 1)
-    spin = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20))
-    pool = base.where(spin < int(min(1.0, max_pool / rest) * (1 << 20))).dropDuplicates(["doc_id"])
-    pool = pool.join(named, F.col("doc_id") == F.col("_id"), "left_anti").withColumn("label", F.lit(None).cast("double"))
-    free = _features(pool).collect()
     known.sort(key=lambda r: (r.content, r.metadata))
-    xs = [_matrix(known, v) if known else np.zeros((0, 1)) for v in ("content", "metadata")]
-    pools = [_matrix(free, v) if free else np.zeros((0, xs[k].shape[1])) for k, v in enumerate(("content", "metadata"))]
+    if len({r.label for r in known}) < 2:
+        return CoTrained().fit([np.zeros((len(known), 1))] * 2, np.array([r.label for r in known], float), [])
+    xs = [_matrix(known, v) for v in ("content", "metadata")]
     order = np.random.default_rng(7).permutation(len(known))
-    y = np.array([r.label for r in known], float)[order] if known else np.empty(0)
-    return CoTrained().fit([x[order] if len(known) else x for x in xs], y, pools)
+    y = np.array([r.label for r in known], float)[order]
+    named = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"))
+    return CoTrained().fit([x[order] for x in xs], y, _pool(base, named))
 
 
 def quality(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:

@@ -104,6 +104,27 @@ def test_pseudo_labels_reach_the_other_view():
     assert np.argmax(np.abs(model.views[0].w[1:] / model.views[0].dev)) == 1
 
 
+def test_all_confident_rows_are_exchanged():
+    """A word of a few pool rows, each less sure than thousands of others, is learned all the same."""
+    rng = np.random.default_rng(4)
+    y = np.arange(200) % 2.0
+    meta, text = (y + rng.normal(0, 0.1, 200))[:, None], np.column_stack([rng.normal(size=200), np.zeros(200)])
+    hidden, rare = np.arange(6000) % 2.0, np.arange(6000) % 100 == 1
+    pools = [np.column_stack([rng.normal(size=6000), rare]), np.where(rare, 0.9, hidden * 1.4 - 0.2)[:, None]]
+    view = cotrain.CoTrained().fit([text, meta], y, pools).views[0]
+    assert view.w[2] / view.dev[1] > 1
+
+
+def test_pool_sums_in_spark(spark):
+    docs = frame(spark, [(i, f"text {i} " * (i % 7), "en", "s", i) for i in range(40)])
+    count = lambda xs: np.array([len(xs[0]), xs[0].sum(), xs[1].sum()])
+    named = spark.createDataFrame([(i,) for i in range(0, 40, 4)], "_id long")
+    total = cotrain._pool(docs.union(docs), named)(count)
+    rows = [(f"text {i} " * (i % 7), i) for i in range(40) if i % 4]
+    want = [30, sum(cotrain.content(t).sum() for t, _ in rows), sum(cotrain.metadata("s", "en", n).sum() for _, n in rows)]
+    assert np.allclose(total, want, rtol=1e-4)
+
+
 def test_lines(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
