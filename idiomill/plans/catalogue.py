@@ -974,5 +974,5 @@ def entity_cluster_pairs(spark, d):
     words = entities.mentions(rows).select("entity").distinct().select("entity", F.concat(F.lit("z"), "entity").alias("translation"))
     zh = rows.select("idiom", F.transform("entities", lambda e: F.concat(F.lit("z"), e)).alias("entities"))
     back = words.select(F.col("translation").alias("entity"), F.col("entity").alias("translation"))
-    out = pipelines.same_entity(rows, zh, words, back, 5)
+    out = pipelines.same_entity(rows, zh, words, back)
     return out.select("order", "direction", "seed", F.size("idioms_en").alias("n_en"), F.size("idioms_zh").alias("n_zh"))

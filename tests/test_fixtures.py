@@ -482,3 +482,11 @@ def test_lexicon_pipeline(spark):
     got = pipelines.build_lexicon(pages, [("kb", other)]).collect()
     assert [(r.idiom, r["index"], len(r.sources)) for r in got] == [("kick", 0, 2)]
     assert len(lexicon.extracted_meanings(pipelines.build_lexicon(pages, [("kb", other)])).first().meanings) == 3
+
+
+def test_entity_cluster_pairs_takes_all_frequent_entities(spark, sf_dir):
+    from idiomill.plans import catalogue, proxies
+
+    best = {r.entity for r in entities.top(entities.counts(proxies.idioms(spark, sf_dir)), 500).collect()}
+    got = catalogue.QUERIES["entity_cluster_pairs"](spark, sf_dir).collect()
+    assert len(best) > 5 and {r.seed for r in got if r.direction == "en_to_zh"} == best
