@@ -8,12 +8,14 @@ earlier in the same document. Every line that a repeated window covers is remove
 the input, not on what is left.
 
 Windows are compared by two 64-bit hashes. The first position of each is a pre-aggregated
-minimum, so a window that stands in a third of all documents does not gather anywhere;
-the join that marks later positions is split where it is skewed.
+minimum, so a window that stands in a third of all documents does not gather anywhere.
+Later positions are marked by a join; windows that are more than one in HOT of all, of
+which there are fewer than HOT, are joined by broadcast, so that they gather in no task.
 
 Defined results: texts that are null or have fewer than three lines are unchanged; rows
-that share a doc_id are kept, windows of such rows are ordered by text; an empty table
-gives an empty result.
+that share a doc_id are kept, their windows are ordered by a hash of the text; rows that
+are equal in doc_id and text are one document, and all get the same text; null ids come
+last; columns keep their names, whatever they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 SIZE = 3
+HOT = 1000
 _TRIM = "^[ \\t\\r\\f\\x0B]+|[ \\t\\r\\f\\x0B]+$"
 
 
@@ -58,33 +61,45 @@ def _windows(size):
     return F.transform(F.sequence(F.lit(0), F.size("full") - size), window)
 
 
+def _numbered(docs: DataFrame):
+    """docs with columns _0, _1, ..., which no column of docs can clash with, and the names that they stand for."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns))), list(docs.columns)
+
+
+def _later(spread: DataFrame, first: DataFrame, place) -> DataFrame:
+    """The windows of spread that come after the first of their kind."""
+    limit = max(10_000, spread.count() // HOT)
+    few, many = first.where(F.col("n") <= limit).drop("n"), first.where(F.col("n") > limit).drop("n")
+    hot = F.broadcast(many.withColumnRenamed("first", "hot"))
+    told = spread.join(hot, ["a", "b"], "left")
+    near = told.where(F.col("hot").isNull()).drop("hot").join(few, ["a", "b"]).where(place > F.col("first")).drop("first")
+    return near.unionByName(told.where(F.col("hot").isNotNull() & (place > F.col("hot"))).drop("hot"))
+
+
 def _marked(docs: DataFrame, text: str, size: int, key: str) -> DataFrame:
-    """docs with __lines, the lines of the text, and __gone, the places of those to remove (null if none is)."""
+    """docs (numbered columns) with lines, the lines of the text, and gone, the places of those to remove (null if none is)."""
     scratch = Scratch(docs.sparkSession, "lines")
-    body = F.col(f"`{text}`").cast("string")
+    body = F.col(text).cast("string")
     # Rows are named by doc_id and, where rows share one, by a hash of their text.
-    named = docs.where(body.contains("\n")).select(F.col(f"`{key}`").alias("id"), F.xxhash64(body).alias("t"), body.alias("body"))
+    named = docs.where(body.contains("\n")).select(F.col(key).alias("id"), F.xxhash64(body).alias("t"), body.alias("body"))
     lined = _once(named, _full(F.split("body", "\n", -1)), "full").where(F.size("full") >= size)
     spread = scratch.keep(
         lined.select("id", "t", F.explode(_windows(size)).alias("w")).select("id", "t", "w.*").dropDuplicates(["id", "t", "at"]),
         "windows",
     )
     place = F.struct(F.col("id").isNull().alias("last"), "id", "t", "at")
-    first = scratch.keep(
-        spread.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first"
-    )
-    later = spread.join(first, ["a", "b"]).where(place > F.col("first"))
-    gone = later.groupBy("id", "t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
-    gone = scratch.keep(gone.select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("gone").alias("__gone")), "gone")
+    first = scratch.keep(spread.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    gone = _later(spread, first, place).groupBy("id", "t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
+    gone = scratch.keep(gone, "gone")
     # A merge join at every size: the plan, and what it needs, do not change where the marks outgrow a broadcast.
-    joined = docs.join(gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__t")), "left")
-    return _once(joined, F.split(body, "\n", -1), "__lines")
+    joined = docs.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("id")) & (F.xxhash64(body) == F.col("t")), "left")
+    return _once(joined, F.split(body, "\n", -1), "lines")
 
 
 def _rewritten(text: str):
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.element_at("__lines", i + 1)), "\n")
-    return F.when(F.col("__gone").isNull(), F.col(f"`{text}`").cast("string")).otherwise(kept)
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.element_at("lines", i + 1)), "\n")
+    return F.when(F.col("gone").isNull(), F.col(text).cast("string")).otherwise(kept)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", size: int = SIZE, key: str = "doc_id") -> DataFrame:
@@ -92,22 +107,28 @@ def dedup_lines(docs: DataFrame, text: str = "text", size: int = SIZE, key: str
 
     Columns of docs that have those names already are replaced.
     """
-    ready = _marked(docs, text, size, key)
-    counted = F.size(F.filter("__lines", lambda x: F.regexp_replace(x, _TRIM, "") != ""))
+    plain, names = _numbered(docs)
+    body = f"_{names.index(text)}"
+    ready = _marked(plain, body, size, f"_{names.index(key)}")
+    counted = F.size(F.filter("lines", lambda x: F.regexp_replace(x, _TRIM, "") != ""))
     return ready.select(
-        *(_rewritten(text).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")),
-        F.when(F.col("__lines").isNull(), 0).otherwise(counted).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *((_rewritten(body) if c == text else F.col(f"_{i}")).alias(c) for i, c in enumerate(names) if c not in ("n_lines", "n_removed")),
+        F.when(F.col("lines").isNull(), 0).otherwise(counted).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
 def without_repeats(docs: DataFrame, text: str = "text", size: int = SIZE, key: str = "doc_id", length: str = "n_chars") -> DataFrame:
     """docs, columns and all, with the text rewritten and the length column, if there is one, of rewritten texts renewed."""
-    ready = _marked(docs, text, size, key)
-    new = ready.withColumn("__text", _rewritten(text))
-    count = F.when(F.col("__gone").isNull(), F.col(f"`{length}`")).otherwise(F.length("__text").cast("long")) if length in docs.columns else None
-    columns = {text: F.col("__text"), length: count}
-    return new.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
+    plain, names = _numbered(docs)
+    body = f"_{names.index(text)}"
+    new = _marked(plain, body, size, f"_{names.index(key)}").withColumn("new", _rewritten(body))
+    columns = {names.index(text): F.col("new")}
+    if length in names:
+        at = names.index(length)
+        kind = dict(docs.dtypes)[length]
+        columns[at] = F.when(F.col("gone").isNull(), F.col(f"_{at}")).otherwise(F.length("new").cast(kind))
+    return new.select(*(columns.get(i, F.col(f"_{i}")).alias(c) for i, c in enumerate(names)))
 
 
 ORACLE = r"""

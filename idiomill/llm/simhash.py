@@ -13,7 +13,9 @@ work is 65 rows for each member and no link is lost.
 Defined results: null and empty texts, and texts without a word, have fingerprint zero
 and are linked like any other; repeated rows are returned as often as they come; a null
 doc_id keeps its row and never becomes a component id; columns other than doc_id and
-the text are ignored; an empty table gives an empty result.
+the text are ignored; doc_id is cast to long, and one that cannot be cast is an error;
+an empty table gives an empty result. Components settle in a number of rounds that grows
+with the logarithm of their diameter; ``graph.components`` raises an error after 60.
 """
 
 from __future__ import annotations
@@ -131,11 +133,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", di
     return rows.join(label, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component. Rows with a null doc_id stay."""
-    named = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(named.hint("merge"), "doc_id", "left_semi").select(docs.columns).unionByName(
-        docs.where("doc_id is null")
-    )

@@ -136,13 +136,28 @@ def test_line_edges(spark):
     rows = [(1, "a\n\n b \nc\nd"), (2, "x\na\nb\n\nc\ny"), (3, None), (4, ""), (5, "a\nb"), (6, "q\nq\nq\nq\nq"), (None, "a\nb\nc"), (7, "x\na\nb\nc")]
     docs = spark.createDataFrame([(t, i, "z") for i, t in rows] * 2, "text string, doc_id long, id string")
     out = linededup.dedup_lines(docs)
-    got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()}
-    assert out.count() == 16 and out.columns[:3] == ["text", "doc_id", "id"]
-    assert got == {
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str)
+    assert out.columns[:3] == ["text", "doc_id", "id"]
+    assert got[::2] == got[1::2]  # equal rows get the same text
+    assert set(got) == {
         (1, "a\n\n b \nc\nd", 4, 0), (2, "x\n\ny", 5, 3), (3, None, 0, 0), (4, "", 0, 0), (5, "a\nb", 2, 0), (6, "q", 5, 4),
         (None, "", 3, 3), (7, "", 4, 4),
     }
     assert linededup.dedup_lines(docs.where("false")).count() == 0
+    odd = docs.selectExpr("text", "doc_id", "id as __id", "id as __t", "id as __gone", "id as __lines", "id as gone", "id as lines", "id as `a.b`", "id as _0")
+    assert linededup.dedup_lines(odd).columns == [*odd.columns, "n_lines", "n_removed"]
+    assert sorted(map(str, linededup.without_repeats(odd).select("doc_id", "text").collect())) == sorted(map(str, out.select("doc_id", "text").collect()))
+
+
+def test_hot_lines(spark, monkeypatch):
+    """A window in most of the documents gives the same on either way."""
+    rows = [(i, f"a\nb\nc\nd{i % 7}\ne") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(linededup.dedup_lines(docs).collect())
+    plain = linededup._later
+    monkeypatch.setattr(linededup, "_later", lambda spread, first, place: plain(spread, first.withColumn("n", first["n"] * 10_000), place))
+    assert sorted(linededup.dedup_lines(docs).collect()) == want
+    assert [r.n_removed for r in want[:8]] == [0] + [3] * 6 + [5]
 
 
 ITEM = " ".join(f"word{k}" for k in range(40))
