@@ -2,23 +2,30 @@
 
 Every bin has residual capacities in three dimensions: tokens, pieces (documents) and
 attention cost (the sum of squared piece lengths). Pieces are placed in descending
-length. Bins are indexed by residual tokens; of the feasible bins in the nearest
-residual classes, the one that is left with the smallest weighted residual norm (or has
-the largest weighted dot product of demand and residual) takes the piece, under every
-constraint.
+length. Of all open bins that have room in every dimension, the one that is left with
+the smallest weighted residual norm (or that has the largest weighted dot product of
+demand and residual) takes the piece; where there is none, a bin is opened. All bins are
+looked at, as vectors, so the choice is the best one under every constraint. A bin into
+which not even the shortest piece fits is closed.
+
+By default the limits on pieces and attention are those that tokens imply (LENGTH pieces
+of one token, LENGTH squared), so only tokens bind, but all three residuals take part in
+the choice. A binding attention limit also bounds the length of a piece.
 
 Only ids and lengths are shuffled, never texts. Groups of about GROUP pieces are packed
 in parallel; the pieces of bins that stay underfilled are packed again together, over
 fewer groups, for ROUNDS rounds.
 
 Defined results: a null text is empty and has one token, the end id; only documents
-longer than a sequence are cut, and their first piece is the shorter one; repeated rows
-are packed once each; an empty table gives an empty result.
+longer than a piece may be are cut, and their first piece is the shorter one; repeated
+rows are packed once each; a null doc_id keeps its row, and one that cannot be cast to
+long is an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +39,9 @@ END = 0
 GROUP = 20_000
 ROUNDS = 3
 FULL = 0.995
-"""Bins filled to less than this share are packed again."""
-NEAR = 4
-"""Residual classes that compete for a piece."""
+"""Bins filled to less than this share, in each dimension, are packed again."""
+WEIGHTS = (1.0, 1.0, 1.0)
+"""Of tokens, pieces and attention, each as a share of its capacity."""
 
 _tokenizer = None
 
@@ -100,80 +107,67 @@ def tokenise(docs: DataFrame, path: str, length: int = LENGTH, text: str = "text
                 names=["doc_id", "row", "piece", "start", "length", "ids_crc32"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").cast("string"))
     return rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packer:
-    """Bins of one group."""
-
-    def __init__(self, tokens=LENGTH, pieces=None, attention=None, weights=(1.0, 1.0, 1.0), rule="norm"):
-        self.cap = (tokens, pieces or tokens, attention or tokens * tokens)
-        self.scale = [w / c for w, c in zip(weights, self.cap, strict=True)]
-        self.rule = rule
-        self.open: list[list[int]] = [[] for _ in range(tokens + 1)]
-        self.mask = 0
-        self.left: list[list[int]] = []
+    """Bins of one group. left holds the residuals of the open ones, a column for each."""
+
+    def __init__(self, tokens=LENGTH, pieces=None, attention=None, weights=WEIGHTS, rule="norm", least=1):
+        """least: the length of the shortest piece that will come."""
+        if rule not in ("norm", "dot"):
+            raise ValueError("a rule is norm or dot")
+        self.cap = np.array([tokens, pieces or tokens, attention or tokens * tokens], float)
+        self.scale = np.array(weights, float) / self.cap
+        self.rule, self.least = rule, np.array([least, 1, least * least], float)
+        self.left, self.number = np.empty((3, 1024)), np.empty(1024, np.int64)
+        self.open = self.bins = 0
+        self.fill: list[float] = []
 
     def _score(self, left, need):
-        s = self.scale
+        """The smaller the better."""
         if self.rule == "dot":
-            return -sum(s[d] * left[d] * s[d] * need[d] for d in range(3))
-        return sum((s[d] * (left[d] - need[d])) ** 2 for d in range(3))
+            return -((self.scale**2 * need) @ left)
+        v = (left - need[:, None]) * self.scale[:, None]
+        return np.einsum("ij,ij->j", v, v)
 
     def place(self, n: int) -> tuple[int, int]:
         """The bin and offset that a piece of n tokens gets."""
-        need = (n, 1, n * n)
-        if n > self.cap[0] or need[2] > self.cap[2]:
+        need = np.array([n, 1, n * n], float)
+        if (need > self.cap).any():
             raise ValueError("a piece exceeds an empty bin")
-        best, score, above = None, 0.0, self.mask >> n
-        near, r = 0, n
-        while above and near < NEAR:
-            step = (above & -above).bit_length() - 1
-            r += step
-            above >>= step + 1
-            for b in reversed(self.open[r][-NEAR:]):
-                left = self.left[b]
-                if left[1] >= 1 and left[2] >= need[2]:
-                    v = self._score(left, need)
-                    if best is None or v < score:
-                        best, score = b, v
-                    break
-            near += 1
-            r += 1
-        if best is None:
-            best = len(self.left)
-            self.left.append(list(self.cap))
-        else:
-            self._unlist(best)
-        left = self.left[best]
-        at = self.cap[0] - left[0]
-        for d in range(3):
-            left[d] -= need[d]
-        if left[0] and left[1]:
-            self.open[left[0]].append(best)
-            self.mask |= 1 << left[0]
-        return best, at
-
-    def _unlist(self, b):
-        r = self.left[b][0]
-        stack = self.open[r]
-        stack.remove(b) if stack[-1] != b else stack.pop()
-        if not stack:
-            self.mask &= ~(1 << r)
+        left = self.left[:, : self.open]
+        room = np.flatnonzero((left[0] >= need[0]) & (left[1] >= 1) & (left[2] >= need[2]))
+        k = int(room[self._score(left[:, room], need).argmin()]) if room.size else self._opened()
+        b, at = int(self.number[k]), int(self.cap[0] - self.left[0, k])
+        self.left[:, k] -= need
+        self.fill[b] = float((1 - self.left[:, k] / self.cap).max())
+        if (self.left[:, k] < self.least).any():
+            self.open -= 1
+            self.left[:, k], self.number[k] = self.left[:, self.open], self.number[self.open]
+        return b, at
+
+    def _opened(self) -> int:
+        if self.open == len(self.number):
+            self.left = np.concatenate([self.left, np.empty_like(self.left)], axis=1)
+            self.number = np.concatenate([self.number, np.empty_like(self.number)])
+        self.left[:, self.open], self.number[self.open] = self.cap, self.bins
+        self.fill.append(0.0)
+        self.open, self.bins = self.open + 1, self.bins + 1
+        return self.open - 1
 
 
 def _packed(capacities):
-    """A function of one group's pieces that adds bin, offset and the bin's used tokens."""
+    """A function of one group's pieces that adds bin, offset and the share to which the bin is filled."""
 
     def run(key, t):
         n = t.column("length").to_numpy()
         order = np.lexsort((t.column("piece").to_numpy(), t.column("row").to_numpy(), -n))
-        packer = Packer(**capacities)
+        packer = Packer(**capacities, least=int(n.min()))
         bins, offsets = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         for k in order.tolist():
             bins[k], offsets[k] = packer.place(int(n[k]))
-        used = packer.cap[0] - np.array([x[0] for x in packer.left], np.int64)
         return pa.table(
             {
                 "row": t.column("row"),
@@ -181,20 +175,20 @@ def _packed(capacities):
                 "length": t.column("length"),
                 "bin": pa.array(bins + (int(key[0].as_py()) << 32)),
                 "offset": pa.array(offsets),
-                "used": pa.array(used[bins]),
+                "used": pa.array(np.array(packer.fill)[bins]),
             }
         )
 
     return run
 
 
-def pack(pieces: DataFrame, scratch: Scratch, group: int = GROUP, rounds: int = ROUNDS, **capacities) -> DataFrame:
-    """(row, piece, sequence_id, offset) of pieces (row, piece, length)."""
+def pack(listed: DataFrame, scratch: Scratch, group: int = GROUP, rounds: int = ROUNDS, **capacities) -> DataFrame:
+    """(row, piece, sequence_id, offset) of listed pieces (row, piece, length)."""
     tokens = capacities.get("tokens", LENGTH)
-    whole = pieces.where(F.col("length") == tokens).select(
+    whole = listed.where(F.col("length") == tokens).select(
         "row", "piece", (F.monotonically_increasing_id() * rounds * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    todo, done = pieces.where(F.col("length") < tokens).select("row", "piece", "length"), []
+    todo, done = listed.where(F.col("length") < tokens).select("row", "piece", "length"), []
     for k in range(rounds):
         count = todo.count()
         if not count:
@@ -204,15 +198,15 @@ def pack(pieces: DataFrame, scratch: Scratch, group: int = GROUP, rounds: int =
         bins = scratch.keep(
             todo.withColumn("g", spot)
             .groupBy("g")
-            .applyInArrow(_packed(capacities), "row long, piece int, length long, bin long, offset long, used long"),
+            .applyInArrow(_packed(capacities), "row long, piece int, length long, bin long, offset long, used double"),
             f"bins{k}",
         )
         last = k == rounds - 1 or groups == 1
-        good = bins if last else bins.where(F.col("used") >= FULL * tokens)
+        good = bins if last else bins.where(F.col("used") >= FULL)
         done.append(good.select("row", "piece", (F.col("bin") * rounds * 2 + 2 * k).alias("sequence_id"), "offset"))
         if last:
             break
-        todo = bins.where(F.col("used") < FULL * tokens).select("row", "piece", "length")
+        todo = bins.where(F.col("used") < FULL).select("row", "piece", "length")
     for d in done:
         whole = whole.unionByName(d)
     return whole
@@ -221,8 +215,9 @@ def pack(pieces: DataFrame, scratch: Scratch, group: int = GROUP, rounds: int =
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, text: str = "text", **capacities) -> DataFrame:
     """Every piece of docs with its sequence and its place there."""
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.keep(tokenise(docs, tokenizer_path, length, text), "pieces")
-    placed = pack(pieces, scratch, tokens=length, **capacities)
-    return pieces.join(placed, ["row", "piece"]).select(
+    longest = min(length, isqrt(capacities.get("attention") or length * length))
+    listed = scratch.keep(tokenise(docs, tokenizer_path, longest, text), "pieces")
+    placed = pack(listed, scratch, tokens=length, **capacities)
+    return listed.join(placed, ["row", "piece"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
