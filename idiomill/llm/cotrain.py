@@ -14,7 +14,8 @@ so no state is kept. Every document is scored on its whole text.
 
 Defined results: null texts count as empty, null source or language is a value of its
 own; without both labels every score is the share of good rows (0.5 without labels);
-repeated rows are scored once each.
+repeated rows are scored once each; of rows that share a doc_id the least one is learned
+from if it is labelled, and each of them that differs if it is not.
 """
 
 from __future__ import annotations
@@ -246,7 +247,7 @@ def _pool(docs: DataFrame, named: DataFrame):
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
     base = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    known = sample_of(base, labels, "quality", max_labelled).withColumn("label", F.col("label").cast("double"))
+    known = sample_of(base, labels, "quality", max_labelled)[0].withColumn("label", F.col("label").cast("double"))
     known = _features(known.select("text", "source", "lang", "n_chars", "label")).collect()
     known.sort(key=lambda r: (r.content, r.metadata))
     if len({r.label for r in known}) < 2:

@@ -9,17 +9,23 @@ clean training texts hold and toxic ones do not is an exception phrase: matches
 do not count.
 
 The score is a logistic of the matched weight, in total and normalised by length. Labels
-come from training rows only, at most MAX_TRAIN of them, chosen by a hash; every text is
-scored whole.
+come from training rows only, at most MAX_TRAIN of them, chosen by a hash: up to half of
+them toxic ones, so that rare ones are learned too, with the intercept corrected for the
+shares. Of the sample every word and stem is a candidate, every one that passes MIN_DOCS
+and MIN_WEIGHT an entry, and every pair that passes its test an exception, so what the
+driver holds is bounded by the sample. Every text is scored whole.
 
 Defined results: null, empty and wordless texts have the score of a text without a
 match; without both labels in the training rows every score is near 0, or near 1 if all
-are toxic; a doc_id that labels repeats counts once, with its largest label.
+are toxic; a doc_id that labels repeats counts once, with its largest label; of rows that
+share a doc_id, the one with the least text is learned from; repeated rows are scored
+once each; columns of docs that are called score or predicted are replaced by score().
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -31,8 +37,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_bucket
 
 MAX_TRAIN = 16_000
-MAX_CANDIDATES = 100_000
-MAX_ENTRIES = 4000
 MIN_DOCS = 5
 MIN_WEIGHT = 2.5
 STEMS = (4, 5, 6, 7)
@@ -188,31 +192,44 @@ def _exceptions(weights):
     return run
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(text columns of docs, label) of at most about ``most`` labelled documents, chosen by a hash of doc_id.
+def sample_of(docs: DataFrame, labels: DataFrame, column: str, most: int, even: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """(the columns of docs, label) of at most about ``most`` labelled documents, chosen by a hash of doc_id; rows of each label.
 
-    The labels are sampled first. The sample's size is bounded by ``most``, so it is
-    broadcast and no text is shuffled but its own. A doc_id counts once, with its largest
-    label.
+    even: at most half of them, and all if they are fewer, have the rarer label. The labels
+    are sampled first. The sample's size is bounded by ``most``, so it is broadcast and no
+    text is shuffled but its own. A doc_id counts once, with its largest label and its
+    least row.
     """
     named = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(column).cast("int").alias("label"))
-    share = int(min(1.0, most / max(named.count(), 1)) * (1 << 20))
-    few = named.where(F.pmod(F.xxhash64("_id", F.lit(column)), F.lit(1 << 20)) < share)
-    return docs.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"])
+    sizes = {r.label: r["count"] for r in named.groupBy("label").count().collect()}
+    total = max(sum(sizes.values()), 1)
+    share = dict.fromkeys(sizes, most / total)
+    if even and len(sizes) == 2:
+        rare = min(sizes, key=lambda k: (sizes[k], -k))
+        share[rare] = most / 2 / sizes[rare]
+        share[1 - rare] = (most - min(most / 2, sizes[rare])) / sizes[1 - rare]
+    limit = F.lit(0)
+    for label, x in share.items():
+        limit = F.when(F.col("label") == label, F.lit(int(min(1.0, x) * (1 << 20)))).otherwise(limit)
+    few = named.where(F.pmod(F.xxhash64("_id", F.lit(column)), F.lit(1 << 20)) < limit)
+    rows = docs.join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    one = rows.groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("r"), F.first("label").alias("label"))
+    return one.select("r.*", "label"), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lexicon:
     """A lexicon of documents (doc_id, text) and their labels (doc_id, toxic)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    sample = scratch.keep(sample_of(docs, labels, "toxic", max_train).select("text", "label"), "sample")
+    rows, known = sample_of(docs.select("doc_id", "text"), labels, "toxic", max_train, even=True)
+    sample = scratch.keep(rows.select("text", "label"), "sample")
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         share = float(bool(bad))
         return Lexicon({}, set(), (30.0 if share else -30.0, 0.0, 0.0, 0.0))
     toxic = sample.where("label = 1").select("text").mapInArrow(_counter(), "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    counts = dict(toxic.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "p").limit(MAX_CANDIDATES).collect())
+    counts = dict(toxic.where(F.col("n") >= MIN_DOCS).collect())
     wanted = spark.sparkContext.broadcast(frozenset(counts))
     clean = sample.where("label = 0").select("text").mapInArrow(_counter(wanted), "p string, n long")
     clean = dict(clean.groupBy("p").agg(F.sum("n")).collect())
@@ -222,40 +239,46 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lexic
         shorter = max((weights.get(p[:k], 0.0) for k in range(3, len(p))), default=0.0)
         if found[p] > shorter + 0.5:
             weights[p] = found[p]
-    top = sorted(weights, key=lambda p: (-weights[p] * counts[p] ** 0.5, p))[:MAX_ENTRIES]
-    weights = {p: weights[p] for p in top}
     seen = sample.mapInArrow(_exceptions(spark.sparkContext.broadcast(weights)), "a string, b string, label int, n long")
     pairs = seen.groupBy("a", "b").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n"))
-    safe = pairs.where("t = 0 and n >= 3").orderBy(F.desc("n"), "a", "b").limit(MAX_ENTRIES).collect()
+    safe = pairs.where("t = 0 and n >= 3").collect()
     lex = Lexicon(weights, {(r.a, r.b) for r in safe})
-    shared = spark.sparkContext.broadcast((lex.weights, lex.exceptions))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, lex.weights, lex.exceptions))
 
     @F.pandas_udf("array<double>")
     def features(texts: pd.Series) -> pd.Series:
-        own = Lexicon(*shared.value).build()
+        own = _built(*shared.value)
         return pd.Series([own.features(t) for t in texts])
 
     rows = sample.select("label", features("text").alias("x")).collect()
-    lex.coef = tuple(logistic(np.array([r.x for r in rows]), np.array([r.label for r in rows], float)).tolist())
+    rows.sort(key=lambda r: (r.label, r.x))
+    coef = logistic(np.array([r.x for r in rows]), np.array([r.label for r in rows], float))
+    coef[0] += np.log(known.get(1, bad) / known.get(0, good)) - np.log(bad / good)
+    lex.coef = tuple(coef.tolist())
     return lex
 
 
-_built: dict = {}
+_last: tuple[str, Lexicon] | None = None
+
+
+def _built(name: str, *parts) -> Lexicon:
+    """The lexicon of that name with its matcher; a worker keeps the last."""
+    global _last
+    if _last is None or _last[0] != name:
+        _last = (name, Lexicon(*parts).build())
+    return _last[1]
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """docs with score and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.coef))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, lexicon.weights, lexicon.exceptions, lexicon.coef))
 
     @F.pandas_udf("double")
     def rate(texts: pd.Series) -> pd.Series:
-        key = id(shared.value)
-        if key not in _built:
-            _built.clear()
-            _built[key] = Lexicon(*shared.value).build()
-        return pd.Series([_built[key].score(t) for t in texts], dtype=float)
+        own = _built(*shared.value)
+        return pd.Series([own.score(t) for t in texts], dtype=float)
 
-    return docs.withColumn("score", rate(F.col(text).cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn("score", rate(F.col(f"`{text}`").cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:

@@ -46,6 +46,105 @@ def test_language_edges(spark):
     assert (bare.lang_pred, bare.score) == ("und", 0.0)
 
 
+def plain_grams(text):
+    """The hashed n-grams of a text, by a loop over its words."""
+    def bucket(gram):
+        x = 0
+        for c in gram:
+            x = x * 0x110000 + ord(c)
+        x = (x + len(gram)) & (1 << 64) - 1
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = ((x ^ x >> shift) * factor) & (1 << 64) - 1
+        return x & langid.BUCKETS - 1
+
+    out, words = [], "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    for w in words:
+        padded = f" {w} "
+        out += [bucket(padded[a : a + n]) for n in (1, 2, 3) for a in range(len(padded) - n + 1) if (n, a) != (1, len(w) + 1)]
+    return out
+
+
+def test_language_against_plain_bayes(spark, sf_dir):
+    """Fit and scores of the query against counts in dictionaries and a loop over languages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts, sizes = {}, {}
+    for r in docs:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            sizes[r.lang] = sizes.get(r.lang, 0) + 1
+            own = counts.setdefault(r.lang, {})
+            for g in plain_grams(r.text):
+                own[g] = own.get(g, 0) + 1
+    langs = sorted(sizes)
+    whole = {k: sum(counts[k].values()) + 0.1 * langid.BUCKETS for k in langs}
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, sf_dir).collect()}
+    for r in docs:
+        grams = plain_grams(r.text)
+        if not grams:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        prior = {k: np.log(sizes[k] / sum(sizes.values())) for k in langs}
+        total = {k: sum(np.log((counts[k].get(g, 0) + 0.1) / whole[k]) for g in grams) for k in langs}
+        assert got[r.doc_id].lang_pred == max(langs, key=lambda k: total[k] + prior[k])
+        logit = {k: total[k] * min(1, langid.EVIDENCE / len(grams)) + prior[k] for k in langs}
+        best = got[r.doc_id].lang_pred
+        assert got[r.doc_id].score == pytest.approx(1 / sum(np.exp(logit[k] - logit[best]) for k in langs), abs=1e-4)
+
+
+def test_language_in_stretches(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdé \n.,\0ß") for _ in range(rng.randint(0, 900))) for _ in range(30)] + [None, "", "...", "x" * 2000, "a b c"]
+    model = langid.Model(["a", "b"], np.random.default_rng(1).random((langid.BUCKETS, 2)).astype("f4"), np.zeros(2))
+    want = model._product(texts)
+    for k, t in enumerate(texts):
+        g = plain_grams((t or "").replace("\0", " "))
+        assert want[1][k] == len(g) and np.allclose(want[0][k], model.weights[g].sum(axis=0, dtype=float))
+    monkeypatch.setattr(langid, "STRETCH", 50)
+    monkeypatch.setattr(langid, "TOGETHER", 70)
+    got = model._product(texts)
+    assert np.array_equal(got[1], want[1]) and np.allclose(got[0], want[0])
+
+
+def test_language_columns(spark):
+    docs = spark.createDataFrame([("the cat", 1, "en", 0.5, "x", "y")], "text string, doc_id long, lang string, score double, lang_pred string, `a.b` string")
+    out = langid.predict(docs, langid.fit(docs.select("doc_id", "text", "lang")))
+    assert out.columns == ["text", "doc_id", "lang", "a.b", "lang_pred", "score"] and out.first().lang_pred == "en"
+    assert langid.keep_identified(docs).columns == docs.columns
+
+
+def plain_toxicity(lexicon, text):
+    """The score of a text by looking for every entry at every word."""
+    words = toxicity.fold(text)
+    hits = {}
+    for k, w in enumerate(words):
+        found = [v for p, v in lexicon.weights.items() if (p.strip() == w if p.endswith(" ") else w.startswith(p[1:]))]
+        around = {tuple(words[j : j + 2]) for j in (k - 1, k) if 0 <= j < len(words) - 1}
+        if found and not around & lexicon.exceptions:
+            hits[k] = max(found)
+    total = sum(hits.values())
+    x = (float(bool(hits)), np.log1p(total), total / np.sqrt(len(words) + 1))
+    return 1 / (1 + np.exp(-np.clip(lexicon.coef[0] + np.dot(lexicon.coef[1:], x), -30, 30)))
+
+
+def test_toxicity_against_plain_search(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    lexicon = toxicity.fit(docs, labels)
+    assert lexicon.weights and lexicon.coef[0] < 0
+    small = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for r in toxicity.score(small, lexicon).collect():
+        assert r.score == pytest.approx(plain_toxicity(lexicon, r.text), abs=1e-9)
+
+
+def test_rare_toxic_labels(spark):
+    """Where one label in 500 is toxic, a small sample still holds toxic texts, and the scores keep the shares."""
+    rows = [(i, f"you filthy {'snark' if i % 500 == 0 else 'window'} number {i}") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 500 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, labels, max_train=400)
+    assert any("snar" in p for p in lexicon.weights)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, lexicon).collect()}
+    assert all(got[i] == (i % 500 == 0) for i in got)
+
+
 def test_toxicity_on_held_out(spark):
     large = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
@@ -219,6 +318,43 @@ def test_every_capacity_holds(rule):
         packing.Packer(tokens=10, attention=50).place(9)
 
 
+def plain_best_fit(lengths, cap, rule):
+    """Bins of a plain loop over all bins; residuals as a share of each capacity."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        need, best = (n, 1, n * n), None
+        for b in bins:
+            if all(x >= y for x, y in zip(b, need, strict=True)):
+                if rule == "dot":
+                    v = -sum(x * y / c / c for x, y, c in zip(b, need, cap, strict=True))
+                else:
+                    v = sum(((x - y) / c) ** 2 for x, y, c in zip(b, need, cap, strict=True))
+                if best is None or v < best[0]:
+                    best = (v, b)
+        if best is None:
+            bins.append([c - y for c, y in zip(cap, need, strict=True)])
+        else:
+            best[1][:] = [x - y for x, y in zip(best[1], need, strict=True)]
+    return len(bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [{"attention": 1_200_000}, {"pieces": 6, "attention": 1_000_000}, {"pieces": 3}, {}])
+def test_binding_capacities(limits, rule):
+    rng = random.Random(8)
+    lengths = [rng.randint(1, 1000) for _ in range(1500)]
+    cap = (2048, limits.get("pieces", 2048), limits.get("attention", 2048**2))
+    p = packing.Packer(**limits, rule=rule, least=min(lengths))
+    bins = {}
+    for n in sorted(lengths, reverse=True):
+        bins.setdefault(p.place(n)[0], []).append(n)
+    for own in bins.values():
+        assert sum(own) <= cap[0] and len(own) <= cap[1] and sum(n * n for n in own) <= cap[2]
+    want = plain_best_fit(lengths, cap, rule)
+    assert abs(len(bins) - want) <= 0.005 * want  # equal scores may be told apart in another order
+    assert len(bins) <= 1.1 * max(sum(lengths) / cap[0], len(lengths) / cap[1], sum(n * n for n in lengths) / cap[2]) + 1
+
+
 def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
@@ -253,6 +389,11 @@ def test_packing_edges(spark):
     assert packing.pack_documents(docs.where("false"), queries.tokenizer_path()).count() == 0
     twice = packing.pack_documents(docs.unionByName(docs), queries.tokenizer_path()).collect()
     assert len(twice) == 2 * len(rows)
+    short = packing.pack_documents(docs, queries.tokenizer_path(), pieces=2, attention=1_000_000).collect()
+    seqs = {}
+    for r in short:
+        seqs.setdefault(r.sequence_id, []).append(r.length)
+    assert all(len(x) <= 2 and sum(n * n for n in x) <= 1_000_000 for x in seqs.values())
 
 
 def test_groups_are_packed_again(spark):
