@@ -7,17 +7,28 @@ stands at the ignored positions. Around each hit the item is laid over the docum
 the overlap counts if some window of WINDOW words (or the whole item, if shorter) has at
 least IDENTITY of its words equal at equal positions.
 
-The benchmark is indexed in blocks of at most BLOCK_WORDS words, so that what is
-broadcast has a bound; a larger benchmark takes more passes over the documents.
-
-Defined results: null, empty and wordless texts or items match nothing; an item shorter
-than a mask is found only as a whole, with equal words; equal items each get their own
-row; each (doc_id, item_id) is returned once for each row of docs; an empty table on
-either side gives an empty result.
+MASKS have a hit in every window of 13 words of which 11 are equal. An item shorter than
+a window has masks of its own length: with e words that may differ, e + 1 masks, of which
+mask r selects every (e + 1)th word from the r-th, so that one of them selects equal words
+only. So no overlap that counts is without a hit.
+
+All hits of a document are looked up, expanded and verified as arrays, in chunks of
+bounded size. Where an item has more hits than there are ways to lay it over the
+document (a text that repeats itself), all of these are verified instead of the hits.
+
+The benchmark is indexed in blocks of BLOCK_WORDS words, or of one item that is longer;
+one block at a time is broadcast, so what workers hold has a bound; a larger benchmark
+takes more passes over the documents.
+
+Defined results: null, empty and wordless texts or items match nothing; equal items each
+get their own row; each (doc_id, item_id) is returned once for each row of docs; a null
+doc_id keeps its rows, and ids that cannot be cast to long are an error; other columns
+are ignored; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, mix64
+from .common import GOLDEN, U64, Scratch, mix64
 
 # The spaced seeds, five words each.
 MASKS = ("11111", "1101011", "11010011", "110010101", "1010010011")
 WINDOW = 13
 IDENTITY = 0.8
 BLOCK_WORDS = 500_000
-SHORT = 5
 FILTER_BITS = 22
+CHUNK = 1 << 20
+"""Words or hits that are in arrays at once."""
 
 _LOWER = bytes(ord(" ") if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
@@ -59,34 +71,63 @@ def _seeds(ids: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return h
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers lo[0] .. lo[0] + n[0] - 1, lo[1] .., end to end."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+
+
+def _chunks(sizes: np.ndarray):
+    """Slices of about CHUNK in total, or of one entry."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
+        yield slice(a, b)
+        a = b
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str | None]], masks=MASKS, window=WINDOW, identity=IDENTITY):
-        self.masks, self.window, self.identity = masks, window, identity
+        self.window, self.identity = window, identity
         self.vocab: dict[bytes, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        hashes, at = [], []
-        self.short: dict[tuple[int, ...], list[int]] = {}
+        self.ids: list[int] = []
+        own, by_mask = [], {}
         for item_id, text in items:
             words = words_of(text)
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.uint64)
-            k = len(self.items)
-            self.items.append((item_id, ids))
-            if len(ids) and len(ids) < SHORT:
-                self.short.setdefault(tuple(ids.tolist()), []).append(k)
-                continue
-            for m, mask in enumerate(masks):
-                h = _seeds(ids, mask, m)
-                hashes.append(h)
-                at.append(np.stack([np.full(len(h), k), np.arange(len(h))], 1))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        at = np.concatenate(at) if at else np.empty((0, 2), np.int64)
+            if words:
+                by_mask.setdefault(min(len(words), window), []).append(len(own))
+                self.ids.append(item_id)
+                own.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.uint64))
+        self.size = np.array([len(x) for x in own], np.int64)
+        self.flat = np.concatenate([*own, np.empty(0, np.uint64)])
+        self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.need = np.array([self._least(n) for n in np.minimum(self.size, window).tolist()], np.int64)
+        self.masks: list[tuple[str, int]] = []
+        hashes, at = [], []
+        for n in sorted(by_mask, reverse=True):
+            for mask in masks if n == window else self._whole(n):
+                salt = len(self.masks)
+                self.masks.append((mask, salt))
+                for k in by_mask[n]:
+                    h = _seeds(own[k], mask, salt)
+                    hashes.append(h)
+                    at.append(np.stack([np.full(len(h), k), np.arange(len(h))], 1))
+        h = np.concatenate([*hashes, np.empty(0, np.uint64)])
+        at = np.concatenate([*at, np.empty((0, 2), np.int64)])
         order = np.argsort(h, kind="stable")
-        self.hashes, self.at = h[order], at[order]
+        self.hashes, self.item, self.place = h[order], at[order, 0], at[order, 1]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.hashes >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _least(self, n: int) -> int:
+        """Words that have to be equal in a window of n."""
+        return math.ceil(self.identity * n - 1e-9)
+
+    def _whole(self, n: int) -> list[str]:
+        parts = n - self._least(n) + 1
+        return ["".join("01"[i % parts == r] for i in range(n)) for r in range(min(parts, n))]
+
     def find(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """(item_id, first word, matched words, compared words, best identity) of each item found."""
         get = self.vocab.get
@@ -94,60 +135,108 @@ class Index:
         if not ids.any():
             return []
         found: dict[int, tuple] = {}
-        for k, d in self._hits(ids):
-            own = self.items[k][1]
-            a, b = max(0, d), min(len(ids), d + len(own))
-            same = ids[a:b] == own[a - d : b - d]
-            w = min(self.window, len(own))
-            if len(same) < w:
-                continue
-            sums = np.cumsum(np.concatenate([[0], same]))
-            best = int((sums[w:] - sums[:-w]).max())
-            if best >= self.identity * w:
-                row = (int(same.sum()), -d, a, len(same), best / w)
-                if k not in found or row > found[k]:
-                    found[k] = row
-        for size in {len(x) for x in self.short}:
-            for i in np.flatnonzero(ids[: len(ids) - size + 1] > 0) if len(ids) >= size else ():
-                for k in self.short.get(tuple(ids[i : i + size].tolist()), ()):
-                    found.setdefault(k, (size, 0, int(i), size, 1.0))
-        return [(self.items[k][0], a, m, n, s) for k, (m, _, a, n, s) in sorted(found.items())]
+        for item, d in self._hits(ids):
+            a = np.maximum(0, d)
+            n = np.minimum(len(ids), d + self.size[item]) - a
+            w = np.minimum(self.window, self.size[item])
+            fits = n >= w
+            item, d, a, n, w = (x[fits] for x in (item, d, a, n, w))
+            for part in _chunks(n):
+                self._verify(ids, *(x[part] for x in (item, d, a, n, w)), found)
+        return [(self.ids[k], a, m, n, s) for k, (m, _, a, n, s) in sorted(found.items())]
+
+    def _verify(self, ids, item, d, a, n, w, found):
+        """Lays items over the document at diagonals d, where n words from a on are compared."""
+        if not len(item):
+            return
+        end = np.cumsum(n)
+        first = end - n
+        own = _ranges(self.start[item] + a - d, n)
+        sums = np.concatenate([[0], np.cumsum(ids[_ranges(a, n)] == self.flat[own])])
+        back = np.repeat(w, n)
+        at = np.arange(1, len(own) + 1) - back  # where the window that ends here begins
+        inside = at >= np.repeat(first, n)
+        equal = np.where(inside, sums[1:] - sums[np.maximum(at, 0)], -1)
+        best = np.maximum.reduceat(equal, first)
+        for k in np.flatnonzero(best >= self.need[item]).tolist():
+            i = int(item[k])
+            row = (int(sums[end[k]] - sums[first[k]]), -int(d[k]), int(a[k]), int(n[k]), int(best[k]) / int(w[k]))
+            if i not in found or row > found[i]:
+                found[i] = row
 
     def _hits(self, ids):
-        """Distinct (item, diagonal) of seeds that the document shares."""
-        seen = set()
-        for m, mask in enumerate(self.masks):
-            h = _seeds(ids, mask, m)
+        """Arrays of items and diagonals (where the item's first word falls in the document) that seeds propose."""
+        place, lo, n = [], [], []
+        for mask, salt in self.masks:
+            h = _seeds(ids, mask, salt)
             i = np.flatnonzero(self.filter[(h >> U64(64 - FILTER_BITS)).astype(np.int64)] & (h > 0))
-            if not i.size:
-                continue
-            lo, hi = np.searchsorted(self.hashes, h[i]), np.searchsorted(self.hashes, h[i], side="right")
-            for p, a, b in zip(i.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k, j in self.at[a:b].tolist():
-                    seen.add((k, p - j))
-        return seen
+            if i.size:
+                begin, stop = np.searchsorted(self.hashes, h[i]), np.searchsorted(self.hashes, h[i], side="right")
+                real = stop > begin
+                place.append(i[real])
+                lo.append(begin[real])
+                n.append((stop - begin)[real])
+        if not place:
+            return
+        place, lo, n = map(np.concatenate, (place, lo, n))
+        dense = np.zeros(len(self.size), bool)
+        if n.sum() > CHUNK:
+            # How often each item is hit, from the distinct seeds of the document.
+            seeds, times = np.unique(lo, return_counts=True)
+            sizes = n[np.unique(lo, return_index=True)[1]]
+            hits = np.zeros(len(self.size))
+            for part in _chunks(sizes):
+                at = _ranges(seeds[part], sizes[part])
+                hits += np.bincount(self.item[at], np.repeat(times[part], sizes[part]), len(self.size))
+            dense = hits > self.size + len(ids)
+            for k in np.flatnonzero(dense).tolist():
+                w = min(self.window, int(self.size[k]))
+                d = np.arange(w - int(self.size[k]), len(ids) - w + 1)
+                yield np.full(len(d), k), d
+        for part in _chunks(n):
+            at = _ranges(lo[part], n[part])
+            item, d = self.item[at], np.repeat(place[part], n[part]) - self.place[at]
+            rest = ~dense[item]
+            code = np.unique(item[rest] << 32 | d[rest] + (1 << 31))
+            yield code >> 32, (code & (1 << 32) - 1) - (1 << 31)
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
-    """The items, as lists of about ``block_words`` words at most; one list at least."""
+    """The items, as lists of ``block_words`` words at most or of one item; one list at least. The driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    words = F.size(F.split(F.coalesce("text", F.lit("")), "\\s+"))
-    total = items.agg(F.sum(words)).first()[0] or 0
-    blocks = 1 if total <= block_words else -(-2 * total // block_words)
-    spot = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for b in range(blocks):
-        yield [tuple(r) for r in items.where(spot == b).orderBy("item_id", "text").collect()]
+    block, size, none = [], 0, True
+    for r in items.toLocalIterator(prefetchPartitions=True):
+        words = len((r.text or "").split()) + (r.text or "").count("-")
+        if block and size + words > block_words:
+            yield block
+            block, size, none = [], 0, False
+        block.append((r.item_id, r.text))
+        size += words
+    if block or none:
+        yield block
 
 
 SCHEMA = "doc_id long, item_id long, first_word long, matched_words long, compared_words long, best_identity double"
 
 
+def _one_by_one(docs: DataFrame, benchmark: DataFrame, block_words: int, step, label: str):
+    """step(broadcast block) for each block. All but the last are written before the next block is broadcast."""
+    context = docs.sparkSession.sparkContext
+    scratch, shared, now = Scratch(docs.sparkSession, label), None, None
+    for block in _blocks(benchmark, block_words):
+        if shared is not None:
+            yield scratch.keep(now, "block")
+            shared.destroy()
+        shared = context.broadcast(block)
+        now = step(shared)
+    yield now
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, **settings) -> DataFrame:
     """One row for each document and item that overlap."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for part in _blocks(benchmark, block_words):
-        found = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(part), settings), SCHEMA)
+    for found in _one_by_one(docs, benchmark, block_words, lambda b: rows.mapInArrow(_finder(b, settings), SCHEMA), "overlaps"):
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -171,10 +260,11 @@ def _finder(shared, settings):
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, **settings) -> DataFrame:
     """The rows of docs whose text no benchmark item overlaps; a filter for each block of the benchmark, no shuffle."""
-    for part in _blocks(benchmark, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-        docs = docs.where(~_overlapped(shared, settings)(F.col("text").cast("string")))
-    return docs
+    left = [docs]
+    step = lambda b: left[-1].where(~_overlapped(b, settings)(F.col("text").cast("string")))
+    for rows in _one_by_one(docs, benchmark, block_words, step, "leaks"):
+        left.append(rows)
+    return left[-1]
 
 
 def _overlapped(shared, settings):

@@ -278,21 +278,62 @@ def test_leaks(spark):
     assert decontam.overlaps(d, b.where("false")).count() == 0
 
 
-def test_leak_search_is_complete():
-    """Of overlaps that brute force accepts, at up to a fifth of replaced words, nearly all have a seed."""
+def plain_overlaps(docs, items):
+    """Every item laid over every document at every diagonal; the best place of each that counts."""
+    out = set()
+    for i, text in docs:
+        words = decontam.words_of(text)
+        at = {}
+        for p, w in enumerate(words):
+            at.setdefault(w, []).append(p)
+        for k, item in items:
+            own, best = decontam.words_of(item), None
+            w = min(len(own), decontam.WINDOW)
+            for d in sorted({p - j for j, x in enumerate(own) for p in at.get(x, ())}):
+                a, b = max(0, d), min(len(words), d + len(own))
+                same = [words[p] == own[p - d] for p in range(a, b)]
+                top = max((sum(same[p : p + w]) for p in range(len(same) - w + 1)), default=0)
+                if w and 5 * top >= 4 * w:
+                    row = (sum(same), -d, a, b - a, top / w)
+                    best = max(best, row) if best else row
+            if best:
+                out.add((i, k, best[2], best[0], best[3], best[4]))
+    return out
+
+
+def test_overlaps_against_all_diagonals(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    got = {tuple(r) for r in queries.op10_decontamination(spark, sf_dir).collect()}
+    assert got == plain_overlaps([tuple(r) for r in docs], [(r.item_id, r.text) for r in items])
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_no_overlap_is_lost(chunk, monkeypatch):
+    """Items of 1 to 30 words with replaced words, texts that repeat themselves, and seeds that many items share."""
+    monkeypatch.setattr(decontam, "CHUNK", chunk)
     rng = random.Random(2)
-    item = [f"i{k}" for k in range(30)]
-    found = wanted = 0
-    for _ in range(400):
-        same = [rng.random() > 0.15 for _ in item]
-        text = [f"o{rng.randrange(10**6)}" for _ in range(20)] + [w if s else "sub" for w, s in zip(item, same, strict=True)] + ["end"]
-        hit = bool(decontam.Index([(1, " ".join(item))]).find(" ".join(text)))
-        w = decontam.WINDOW
-        good = any(sum(same[k : k + w]) >= decontam.IDENTITY * w for k in range(31 - w))
-        assert good or not hit
-        wanted += good
-        found += hit
-    assert wanted > 300 and found >= 0.97 * wanted
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 31)]
+    items += [(40, "a " * 20), (41, "a b " * 15), (42, "common words at the start of it " + "own " * 8), (43, "common words at the start of it " + "other words " * 5)]
+    docs = []
+    for i in range(200):
+        words = [f"o{rng.randrange(10**6)}" for _ in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(1, 3)):
+            words += [w if rng.random() > 0.12 else "sub" for w in rng.choice(items)[1].split()]
+        docs.append((i, " ".join(words)))
+    docs += [(300, "a " * 60), (301, "b a " * 30), (302, "a b " * 8 + "a " * 30), (303, "common words at the start of it " * 4)]
+    index = decontam.Index(items)
+    got = {(i, *row) for i, t in docs for row in index.find(t)}
+    assert got == plain_overlaps(docs, items)
+
+
+def test_a_text_that_repeats_itself():
+    import time
+
+    index = decontam.Index([(1, "word " * 500), (2, "one two three " * 200)])
+    began = time.time()
+    assert [r[0] for r in index.find("word " * 20_000)] == [1] and [r[0] for r in index.find("one two three " * 6000)] == [2]
+    assert time.time() - began < 5
 
 
 def test_pieces():
