@@ -1,27 +1,26 @@
 """Rounds of messages between blocks of documents and buckets of keys.
 
-Documents are gathered, as they come, into blocks of a few megabytes and written to the
+Documents are gathered, as they come, into blocks of some megabytes and written to the
 shared folder. In a round, each block sends a compact message to each bucket of a hashed
 key space, and each bucket answers each block. A block names a key once however often it
 holds it, so a key that stands in a third of all documents brings a bucket no more than
-one entry from each block. Messages are binary columns: a key costs 6 bytes to ship
+one entry from each block. Messages are binary columns: a key costs some bytes to ship
 rather than a row, and the work on them is done in numpy.
 
-Two rounds decide which windows of a fixed length have an earlier copy:
+The number of messages is that of blocks times that of buckets. Blocks and buckets
+therefore grow with the square root of the input, within limits, so that a message keeps
+hundreds of keys up to about a terabyte; beyond that messages become smaller.
 
-1. Blocks send the names of the anchors of their windows. An anchor is found from the
-   content of the window alone, so equal windows have equal anchors. Buckets answer which
-   anchors stand in several blocks, and which are crowded.
-2. For windows whose anchor is repeated, blocks send what tells the windows apart, and
-   buckets answer which of them come later than an equal one.
-
-Positions are ordered by (doc_id, block, place in the block); null ids come last.
+Positions are ordered by (doc_id, hash of the text, block, place in the block); null ids
+come last. So which of several rows with one doc_id comes first does not depend on where
+they are stored, unless they are equal.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,53 +28,52 @@ from pyspark.sql import functions as F
 
 from .common import U64, Scratch
 
-BLOCK_BYTES = 2 << 20
-KEY_BYTES = 6
-BUCKET_KEYS = 512_000
-CROWDED = 16
-"""An anchor that stands so often in one block is crowded: its windows are compared one by one, not as pieces."""
-WIDESPREAD = 512
-"""An anchor that stands in more blocks than that is crowded, too: at most CROWDED * WIDESPREAD of its pieces meet."""
+BLOCK_BYTES = (2 << 20, 16 << 20)
+"""Bytes of text of a block, at least and at most."""
 WORTH_WAITING = 64 << 20
 """Bytes of text from which on it is worth some seconds to have shuffle files removed between rounds."""
 LAST = (1 << 63) - 1
-
-SENT = "bucket long, block long, payload binary"
-ANSWER = "block long, bucket long, answer binary"
+NAME_BYTES = 6
+CROWDED = 16
+"""An anchor is crowded if a block has more different pieces of it than that,"""
+WIDESPREAD = 4096
+"""or if more blocks than that have it. So at most CROWDED * WIDESPREAD pieces of an anchor that is not crowded meet."""
 
 
-def squeeze(*parts: bytes) -> bytes:
-    head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
+def squeeze(*parts) -> bytes:
+    """Byte strings and arrays, compressed together."""
+    parts = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
+    head = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
 
 
 def unsqueeze(data: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.concatenate([[4 * (n + 1)], np.frombuffer(raw[4 : 4 * (n + 1)], "<u4")])).tolist()
+    n = int.from_bytes(raw[:8], "little")
+    ends = np.cumsum(np.concatenate([[8 * (n + 1)], np.frombuffer(raw[8 : 8 * (n + 1)], "<u8").astype(np.int64)])).tolist()
     return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Block:
-    """Documents in order of (doc_id, text): ids, their texts end to end, and the limits of each."""
+    """Documents in order of (doc_id, hash of the text): ids, those hashes, their texts end to end, and the limits of each."""
 
     def __init__(self, block: int, blob: bytes):
         self.block = block
-        ids, null, ends, self.data = unsqueeze(blob)
-        self.ids, self.null = np.frombuffer(ids, "<i8"), np.frombuffer(null, "?")
+        ids, tie, null, ends, self.data = unsqueeze(blob)
+        self.ids, self.tie, self.null = np.frombuffer(ids, "<i8"), np.frombuffer(tie, "<u8"), np.frombuffer(null, "?")
         self.ends = np.frombuffer(ends, "<i8")
-        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
 
     def __len__(self):
         return len(self.ids)
 
     @staticmethod
     def pack(rows) -> bytes:
-        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        ids = np.array([LAST if i is None else i for i, _ in rows], "<i8")
-        null = np.array([i is None for i, _ in rows], "?")
-        ends = np.cumsum([len(t) for _, t in rows]).astype("<i8")
-        return squeeze(ids.tobytes(), null.tobytes(), ends.tobytes(), b"".join(t for _, t in rows))
+        rows = sorted((i is None, LAST if i is None else i, xxhash.xxh64_intdigest(t), t) for i, t in rows)
+        return squeeze(
+            np.array([r[1] for r in rows], "<i8"), np.array([r[2] for r in rows], "<u8"), np.array([r[0] for r in rows], "?"),
+            np.cumsum([len(r[3]) for r in rows]).astype("<i8"), b"".join(r[3] for r in rows),
+        )
 
     def parts(self, size: int):
         """Ranges [a, b) of documents of about ``size`` bytes, to bound what arrays take."""
@@ -87,37 +85,93 @@ class Block:
             a = b
 
 
-def _cut(batches):
-    base, seq, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
+def _cut(size_of_block):
+    def run(batches):
+        base, seq, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def emit():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([base + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([Block.pack(rows)], pa.binary())],
+                names=["block", "bytes", "blob"],
+            )
+
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.append((i, t or b""))
+                size += len(rows[-1][1])
+                if size >= size_of_block:
+                    yield emit()
+                    seq, rows, size = seq + 1, [], 0
+        if rows:
+            yield emit()
+
+    return run
+
+
+def grown(total: int, key_bytes: float, least: int, most: int) -> int:
+    """Bytes of a block or bucket such that a message between two of that size has some hundred keys, each for key_bytes of text."""
+    return int(min(max((total * key_bytes * 256) ** 0.5, least), most))
+
+
+def blocks_of(docs: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(block, blob) of all documents, and their bytes. What the planner knows of the input's size sets that of the blocks, no result."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("data"))
+    known = min(int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 1 << 50)
+    made = rows.mapInArrow(_cut(grown(2 * known, 40, *BLOCK_BYTES)), "block long, bytes long, blob binary")
+    blocks = scratch.keep(made, "blocks", **{"parquet.block.size": str(8 << 20)})
+    return blocks.select("block", "blob"), blocks.agg(F.sum("bytes")).first()[0] or 0
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def batch(rows, columns):
+    """rows as a record batch of (name, type) columns."""
+    cols = zip(*rows, strict=True) if rows else [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, columns, strict=True)], names=[n for n, _ in columns])
+
+
+def schema(columns) -> str:
+    return ", ".join(f"{n} {t}" for n, t in columns)
+
+
+def each(df: DataFrame, f, columns) -> DataFrame:
+    """The rows (tuples of columns) that f yields for each row of df; one row is in memory at once."""
+
+    def run(batches):
+        for part in batches:
+            for i in range(part.num_rows):
+                yield batch(list(f(*(c[i].as_py() for c in part.columns))), columns)
 
-    def emit():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([base + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([Block.pack(rows)], pa.binary())],
-            names=["block", "bytes", "blob"],
-        )
+    return df.mapInArrow(run, schema(columns))
 
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows.append((i, t or b""))
-            size += len(rows[-1][1])
-            if size >= BLOCK_BYTES:
-                yield emit()
-                seq, rows, size = seq + 1, [], 0
-    if rows:
-        yield emit()
 
+SENT = [("bucket", "long"), ("block", "long"), ("payload", "binary")]
+ANSWER = [("block", "long"), ("bucket", "long"), ("answer", "binary")]
 
-def _batch(rows, names, types):
-    cols = zip(*rows, strict=True) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
+def ask(df: DataFrame, send, answer, name: str) -> DataFrame:
+    """(block, name): for each block the buckets' answers.
 
-def sent(rows):
-    return _batch(rows, ["bucket", "block", "payload"], [pa.int64(), pa.int64(), pa.binary()])
+    send(block, ...) yields (bucket, payload) for a row of df; answer(bucket, blocks,
+    payloads) gives an answer for each payload.
+    """
+    said = each(df, lambda block, *rest: ((b, block, p) for b, p in send(block, *rest)), SENT)
+
+    def run(key, t):
+        bucket, blocks = key[0].as_py(), t.column("block").to_pylist()
+        order = sorted(range(len(blocks)), key=blocks.__getitem__)
+        payloads = t.column("payload").to_pylist()
+        got = answer(bucket, [blocks[k] for k in order], [payloads[k] for k in order])
+        return pa.Table.from_batches([batch([(blocks[k], bucket, a) for k, a in zip(order, got, strict=True)], ANSWER)])
+
+    told = said.groupBy("bucket").applyInArrow(run, schema(ANSWER))
+    return told.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
 
 
-def answers(rows):
-    return pa.Table.from_batches([_batch(rows, ["block", "bucket", "answer"], [pa.int64(), pa.int64(), pa.binary()])])
+def answers(cell) -> dict[int, bytes]:
+    """What ask() gave a block, by bucket."""
+    return {x["bucket"]: x["answer"] for x in cell or ()}
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -125,6 +179,13 @@ def by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
+def slices(where: np.ndarray, buckets: int):
+    """(bucket, slice) of the parts of a rising array of buckets."""
+    cut = np.searchsorted(where, np.arange(buckets + 1))
+    for b in np.unique(where).tolist():
+        yield b, slice(int(cut[b]), int(cut[b + 1]))
+
+
 def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -133,182 +194,115 @@ def unbits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def anchor_messages(block: int, keys: np.ndarray, buckets: int):
-    """Round 1: the distinct anchors of a block, and whether each is crowded there."""
-    names, counts = np.unique(keys >> U64(16), return_counts=True)
-    where = by_bucket(names << U64(16), buckets)
-    cut = np.searchsorted(where, np.arange(buckets + 1))
-    for b in np.unique(where).tolist():
-        part = slice(cut[b], cut[b + 1])
-        packed = names[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
-        yield b, block, np.array([cut[b + 1] - cut[b]], "<u4").tobytes() + packed + bits(counts[part] > CROWDED)
-
-
-def answer_anchors(key, t):
-    """Round 1, in a bucket: two bits for each anchor, repeated and crowded."""
-    blocks, payloads = t.column("block").to_pylist(), t.column("payload").to_pylist()
+def positions(ids, tie, own, place) -> np.ndarray:
+    """The rank of each of many places in the order of positions. own: the rank of its block."""
+    rank = np.empty(len(ids), np.int64)
+    rank[np.lexsort((place, own, tie, ids))] = np.arange(len(ids))
+    return rank
+
+
+class Names:
+    """The anchors of a block's pieces. A name is 48 bits of a piece's key; keys that share one are treated alike."""
+
+    def __init__(self, keys: np.ndarray):
+        self.names, self.at, self.counts = np.unique(keys >> U64(16), return_inverse=True, return_counts=True)
+
+    def crowded(self, text) -> np.ndarray:
+        """For each name, whether more than CROWDED different pieces have it. text: gives a piece by its number."""
+        out = np.zeros(len(self.names), bool)
+        many = np.flatnonzero(self.counts[self.at] > CROWDED)
+        found: dict[int, set[bytes]] = {}
+        for k, name in zip(many.tolist(), self.at[many].tolist(), strict=True):
+            if not out[name]:
+                texts = found.setdefault(name, set())
+                texts.add(text(k))
+                out[name] = len(texts) > CROWDED
+        return out
+
+    def messages(self, buckets: int, text):
+        """The distinct names, and whether each is crowded here."""
+        crowded = self.crowded(text)
+        for b, part in slices(by_bucket(self.names << U64(16), buckets), buckets):
+            packed = self.names[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
+            yield b, np.array([part.stop - part.start], "<u4").tobytes() + packed + bits(crowded[part])
+
+    def read(self, buckets: int, got: dict[int, bytes]):
+        """(repeated, crowded) of each piece, from the answers; a name that the block has twice is repeated."""
+        again, hot = np.zeros(len(self.names), bool), np.zeros(len(self.names), bool)
+        for b, part in slices(by_bucket(self.names << U64(16), buckets), buckets):
+            n = part.stop - part.start
+            two = unbits(got[b], 2 * n)
+            again[part], hot[part] = two[:n], two[n:]
+        return (again | (self.counts > 1))[self.at], hot[self.at]
+
+
+def answer_names(payloads) -> list[bytes]:
+    """In a bucket: two bits for each name, repeated and crowded."""
     names, crowded = [], []
     for p in payloads:
         n = int.from_bytes(p[:4], "little")
         raw = np.zeros((n, 8), np.uint8)
-        raw[:, :KEY_BYTES] = np.frombuffer(p, np.uint8, n * KEY_BYTES, 4).reshape(n, KEY_BYTES)
+        raw[:, :NAME_BYTES] = np.frombuffer(p, np.uint8, n * NAME_BYTES, 4).reshape(n, NAME_BYTES)
         names.append(raw.reshape(-1).view("<u8"))
-        crowded.append(unbits(p[4 + n * KEY_BYTES :], n))
+        crowded.append(unbits(p[4 + n * NAME_BYTES :], n))
     found, at, counts = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
     hot = (np.bincount(at, np.concatenate(crowded), len(found)) > 0) | (counts > WIDESPREAD)
     out, a = [], 0
-    for block, n in zip(blocks, map(len, names), strict=True):
+    for n in map(len, names):
         k = at[a : a + n]
-        out.append((block, key[0].as_py(), bits(np.concatenate([counts[k] > 1, hot[k]]))))
+        out.append(bits(np.concatenate([counts[k] > 1, hot[k]])))
         a += n
-    return answers(out)
-
-
-def read_anchors(keys: np.ndarray, buckets: int, got: dict[int, bytes]):
-    """(repeated, crowded) for each key of a block, from the answers of round 1; a key that the block holds twice is repeated."""
-    names, at, counts = np.unique(keys >> U64(16), return_inverse=True, return_counts=True)
-    where = by_bucket(names << U64(16), buckets)
-    cut = np.searchsorted(where, np.arange(buckets + 1))
-    again, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
-    for b in np.unique(where).tolist():
-        part = slice(cut[b], cut[b + 1])
-        n = cut[b + 1] - cut[b]
-        two = unbits(got[b], 2 * n)
-        again[part], hot[part] = two[:n], two[n:]
-    again |= counts > 1
-    return again[at], hot[at]
+    return out
 
 
 class Windows:
-    """Distinct windows of a block, sent one by one as 96-bit digests; first holds where each first starts."""
-
-    def __init__(self, high: np.ndarray, low: np.ndarray, place: np.ndarray):
-        """place: the window's start in the block, rising in the order of positions."""
-        order = np.lexsort((place, low, high))
-        h, l = high[order], low[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1])
-        self.later = np.sort(place[order[~new]])
-        self.high, self.low, self.first = h[new], l[new], place[order[new]]
-
-    def messages(self, block: Block, doc: np.ndarray, buckets: int):
+    """The distinct windows of a block, told apart by their bytes, each sent whole. later: where repeated ones start."""
+
+    def __init__(self, texts: list[bytes], place: np.ndarray, buckets: int):
+        """place: where each window starts, rising in the order of positions."""
+        seen: dict[bytes, int] = {}
+        again = []
+        for t, p in zip(texts, place.tolist(), strict=True):
+            if seen.setdefault(t, p) != p:
+                again.append(p)
+        self.later = np.array(again, np.int64)
+        self.texts = list(seen)
+        keys = np.array([xxhash.xxh3_64_intdigest(t) for t in self.texts], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.texts = [self.texts[k] for k in order.tolist()]
+        self.first = np.array(list(seen.values()), np.int64)[order]
+        self.parts = list(slices(by_bucket(keys[order], buckets), buckets))
+
+    def messages(self, block: Block, doc: np.ndarray):
         """doc: the number of the document of each first window."""
-        where = by_bucket(self.high, buckets)
-        cut = np.searchsorted(where, np.arange(buckets + 1))
-        for b in np.unique(where).tolist():
-            part = slice(cut[b], cut[b + 1])
-            ids, at = np.unique(block.ids[doc[part]], return_inverse=True)
-            yield b, squeeze(
-                self.high[part].astype("<u8").tobytes(), self.low[part].astype("<u4").tobytes(),
-                ids.astype("<i8").tobytes(), at.astype("<u4").tobytes(),
-            )
-
-    def read(self, buckets: int, got) -> np.ndarray:
-        """The places of first windows that have an equal one in an earlier block. got: answers by bucket."""
-        where = by_bucket(self.high, buckets)
-        cut = np.searchsorted(where, np.arange(buckets + 1))
-        late = np.zeros(len(where), bool)
-        for b in np.unique(where).tolist():
-            late[cut[b] : cut[b + 1]] = unbits(got(b), cut[b + 1] - cut[b])
-        return self.first[late]
-
-
-def answer_windows(blocks, payloads):
-    """Round 2, in a bucket of windows: for each sent window, whether an equal one is earlier."""
-    high, low, ids, own, sizes = [], [], [], [], []
-    for k, p in enumerate(payloads):
-        h, l, d, at = unsqueeze(p)
-        high.append(np.frombuffer(h, "<u8"))
-        low.append(np.frombuffer(l, "<u4"))
-        ids.append(np.frombuffer(d, "<i8")[np.frombuffer(at, "<u4")])
-        own.append(np.full(len(high[-1]), k))
-        sizes.append(len(high[-1]))
-    rank = np.empty(len(blocks), np.int64)
-    rank[np.argsort(blocks)] = np.arange(len(blocks))
-    high, low, ids, own = map(np.concatenate, (high, low, ids, own))
-    order = np.lexsort((rank[own], ids, low, high))
-    late = np.zeros(len(order), bool)
-    h, l = high[order], low[order]
-    late[order[1:]] = (h[1:] == h[:-1]) & (l[1:] == l[:-1])
-    return [bits(x) for x in np.split(late, np.cumsum(sizes)[:-1])]
-
-
-class Repeats:
-    """The rounds; a subclass knows its windows.
-
-    anchors(block) gives whatever it needs of a block, with the anchor keys at [0];
-    second(block, got, buckets) the messages of round 2 as (bucket, payload);
-    answer(key, table) what a bucket of round 2 says; and finish(block, got1, got2,
-    buckets) the result rows of the block's documents.
-    """
+        for b, part in self.parts:
+            texts = self.texts[part]
+            own, at = np.unique(doc[part], return_inverse=True)
+            yield b, squeeze(np.array([len(t) for t in texts], "<u4"), b"".join(texts), block.ids[own], block.tie[own], at.astype("<u4"))
 
-    label = "repeats"
-    anchor_bytes = 40
-    """Bytes of text for each anchor, about; only the number of buckets depends on it."""
-    second_bytes = 16 << 20
-    """Bytes of text for each bucket of round 2."""
-    columns: list = []
-
-    def run(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        scratch = Scratch(docs.sparkSession, self.label)
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data"))
-        made = rows.mapInArrow(_cut, "block long, bytes long, blob binary")
-        blocks = scratch.keep(made, "blocks", **{"parquet.block.size": str(8 << 20)})
-        total = blocks.agg(F.sum("bytes")).first()[0] or 0
-        one = max(1, round(total / self.anchor_bytes / BUCKET_KEYS))
-        two = max(1, round(total / self.second_bytes))
-        # Each round's frames are dropped before the next begins, so that Spark can remove their shuffle files.
-        said = blocks.select("block", "blob").mapInArrow(self._first(one), SENT)
-        got = scratch.keep(self._gather(said.groupBy("bucket").applyInArrow(answer_anchors, ANSWER), "got1"), "got1")
-        del said, made
-        if total > WORTH_WAITING:
-            scratch.release()
-        asked = blocks.join(got, "block").select("block", "blob", "got1").mapInArrow(self._second(one, two), SENT)
-        told = self._gather(asked.groupBy("bucket").applyInArrow(self.answer, ANSWER), "got2")
-        got = scratch.keep(got.join(told, "block", "left"), "got2")
-        del asked, told
-        if total > WORTH_WAITING:
-            scratch.release()
-        schema = ", ".join(f"{n} {t}" for n, t in self.columns)
-        whole = blocks.join(got, "block", "left").select("block", "blob", "got1", "got2")
-        return whole.mapInArrow(self._last(one, two), schema)
+    def read(self, got) -> np.ndarray:
+        """Where first windows start that have an equal one in an earlier block. got: answers by bucket."""
+        late = [self.first[part][unbits(got(b), part.stop - part.start)] for b, part in self.parts]
+        return np.concatenate([np.empty(0, np.int64), *late])
 
-    @staticmethod
-    def _gather(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
 
-    @staticmethod
-    def _answers(cell) -> dict[int, bytes]:
-        return {x["bucket"]: x["answer"] for x in cell or ()}
-
-    def _first(self, buckets):
-        def run(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    block = Block(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                    yield sent(list(anchor_messages(block.block, self.anchors(block)[0], buckets)))
-
-        return run
-
-    def _second(self, one, two):
-        def run(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    block = Block(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                    got = self._answers(batch.column(2)[i].as_py())
-                    yield sent([(b, block.block, p) for b, p in self.second(block, got, one, two)])
-
-        return run
-
-    def _last(self, one, two):
-        names = [n for n, _ in self.columns]
-        types = [pa.int64() if t == "long" else pa.string() for _, t in self.columns]
-
-        def run(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    block = Block(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                    got = [self._answers(batch.column(k)[i].as_py()) for k in (2, 3)]
-                    yield _batch(list(self.finish(block, *got, one, two)), names, types)
-
-        return run
+def answer_windows(payloads) -> list[bytes]:
+    """In a bucket: for each sent window, whether an equal one has an earlier position. Payloads are in order of their blocks."""
+    texts, ids, tie, own, counts = [], [], [], [], []
+    for k, p in enumerate(payloads):
+        size, data, i, t, at = unsqueeze(p)
+        ends = np.cumsum(np.frombuffer(size, "<u4")).tolist()
+        texts += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        at = np.frombuffer(at, "<u4")
+        ids.append(np.frombuffer(i, "<i8")[at])
+        tie.append(np.frombuffer(t, "<u8")[at])
+        own.append(np.full(len(at), k))
+        counts.append(len(at))
+    ids, tie, own = map(np.concatenate, (ids, tie, own))
+    late, seen = np.zeros(len(texts), bool), set()
+    for k in np.lexsort((own, tie, ids)).tolist():
+        if texts[k] in seen:
+            late[k] = True
+        else:
+            seen.add(texts[k])
+    return [bits(x) for x in np.split(late, np.cumsum(counts)[:-1])]

@@ -8,18 +8,25 @@ A suffix order over all text is not needed for that. Every LENGTH-byte window ha
 anchor, the 24-byte string inside it with the least hash (the leftmost of equals), so
 equal windows have equal anchors at equal offsets. Round 1 of the exchange finds the
 anchors that are repeated. A maximal run of windows with the same anchor is a piece, of
-LENGTH to 176 bytes. Round 2 brings the different pieces of an anchor together: there,
-the suffixes that start windows are put in suffix order, the lengths of common prefixes
-of neighbours are taken, and previous and next smaller positions give, in one pass with a
-stack, the longest previous factor of each. Equal pieces need no sorting, all but the
-first are repeated.
+LENGTH to 176 bytes. Longest previous factors are taken in three places, each time over
+suffixes in suffix order, with the true lengths of the prefixes that neighbours share,
+and with previous and next smaller positions, found in one pass with a stack:
 
-Pieces of a crowded anchor (it stands in one block more than CROWDED times, or in more
-than WIDESPREAD blocks) are not brought together, as their number has no bound; their windows are compared one by one by
-96-bit digests, of which a block sends each only once.
+1. in a block, over the starts of its pieces: one whose factor is as long as the piece is
+   repeated as a whole, and is not sent;
+2. in round 2, in a bucket of anchors, over the starts of the pieces of all blocks;
+3. there, over all starts of windows of the pieces of an anchor that are still different.
+
+An anchor is crowded if a block has more than CROWDED different pieces of it, or more
+than WIDESPREAD blocks have it. Its pieces are not brought together, as their number has
+no bound: their windows are, whole, by a hash of their bytes; a block sends each window
+once, and a bucket keeps the first of each. Hashes only choose buckets and anchors. Bytes
+decide everywhere.
 
 Defined results: null texts are empty; texts shorter than LENGTH stay whole; rows that
-share a doc_id are in order of their block and text; an empty table gives an empty result.
+share a doc_id are in order of a hash of their text, and of equal rows one is the first;
+null ids come last; ids that cannot be cast to long are an error; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,17 +34,24 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 
-from .common import U64, mix64
-from .exchange import Block, Repeats, Windows, answer_windows, answers, bits, by_bucket, read_anchors, squeeze, unbits, unsqueeze
+from .common import U64, Scratch, mix64
+from .exchange import (
+    WORTH_WAITING, Block, Names, Windows, answer_names, answer_windows, answers, ask, bits, blocks_of, by_bucket, each,
+    grown, positions, slices, squeeze, unbits, unsqueeze,
+)
 
 LENGTH = 100
 ANCHOR = 24
 PART = 1 << 18
 SORTED = 100_000
-"""Windows that are put in suffix order together; the windows of one anchor always are."""
+"""Suffixes that are put in order together; those of one anchor always are."""
+ANCHOR_BYTES = 40
+"""Bytes of text for each anchor, about; only the number of buckets depends on it."""
+BUCKET_BYTES = (16 << 20, 128 << 20)
+"""Bytes of text for each bucket, at least and at most."""
+COLUMNS = [("doc_id", "long"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
 
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 _PLACE = 28
@@ -106,77 +120,61 @@ def longest_previous(order: list[int], common: list[int]) -> list[int]:
     return out
 
 
+def suffix_order(suffixes: list[bytes]) -> tuple[list[int], list[int]]:
+    """The suffixes in suffix order, equal ones as they come, and what each has in common with the one before it."""
+    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    if len(order) < 2:
+        return order, [0] * len(order)
+    size = np.array([len(x) for x in suffixes])[order]
+    shorter, width = np.minimum(size[1:], size[:-1]), int(size.max())
+    common, step = [np.zeros(1, np.int64)], max(2, (1 << 24) // width)
+    for a in range(0, len(order) - 1, step):
+        part = b"".join([suffixes[k].ljust(width, b"\0") for k in order[a : a + step + 1]])
+        rows = np.frombuffer(part, np.uint8).reshape(-1, width)
+        same = rows[1:] == rows[:-1]
+        common.append(np.minimum(np.where(same.all(axis=1), width, same.argmin(axis=1)), shorter[a : a + step]))
+    return order, np.concatenate(common).tolist()
+
+
+def previous_factors(suffixes: list[bytes]) -> np.ndarray:
+    """The longest previous factor of each of some suffixes that are in order of position."""
+    return np.array(longest_previous(*suffix_order(suffixes)), np.int64)
+
+
+def later_pieces(pieces: list[bytes]) -> np.ndarray:
+    """For pieces in order of position: which of them begin an earlier one, or are equal to one."""
+    return previous_factors(pieces) >= np.array([len(x) for x in pieces], np.int64)
+
+
 def later_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For pieces in order of position: which of the windows of each have an equal one earlier."""
-    sizes = np.array([len(p) - length + 1 for p in pieces])
-    ends = np.cumsum([len(p) for p in pieces])
-    text = np.frombuffer(b"".join(pieces), np.uint8)
-    begin = np.repeat(np.concatenate([[0], ends[:-1]]) - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    suffixes = np.ascontiguousarray(np.lib.stride_tricks.as_strided(text, (len(text) - length + 1, length), (1, 1))[begin])
-    order = np.argsort(suffixes.view(f"V{length}").ravel(), kind="stable")
-    in_order = suffixes[order]
-    same = in_order[1:] == in_order[:-1]
-    common = np.where(same.all(axis=1), length, same.argmin(axis=1)).tolist()
-    longest = np.array(longest_previous(order.tolist(), [0, *common]))
-    return np.split(longest >= length, np.cumsum(sizes)[:-1])
-
-
-class _Plan:
-    """What a block knows of its windows after round 1."""
-
-    def __init__(self, op, block, got, one, two):
-        keys, lo, hi, data = op.anchors(block)
-        again, hot = read_anchors(keys, one, got)
-        self.late = np.zeros(len(block.data) + 1, bool)
-        cold = np.flatnonzero(again & ~hot)
-        doc = np.searchsorted(block.ends, lo, side="right")
-        seen, first = set(), []
-        digest = xxhash.xxh3_128_intdigest
-        for k, a, b in zip(cold.tolist(), lo[cold].tolist(), hi[cold].tolist(), strict=True):
-            d = digest(data[a : b + op.length])
-            if d in seen:
-                self.late[a : b + 1] = True
-            else:
-                seen.add(d)
-                first.append(k)
-        first = np.array(first, np.int64)
-        order = first[np.argsort(by_bucket(keys[first], two), kind="stable")]
-        self.keys, self.lo, self.hi, self.doc = keys[order], lo[order], hi[order], doc[order]
-        self.where = by_bucket(self.keys, two)
-        self.cut = np.searchsorted(self.where, np.arange(two + 1))
-        crowd = np.flatnonzero(hot)
-        n = hi[crowd] - lo[crowd] + 1
-        begin = np.repeat(lo[crowd] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(crowd) else np.empty(0, np.int64)
-        d = [digest(data[s : s + op.length]) for s in begin.tolist()]
-        self.windows = Windows(
-            np.array([x >> 64 for x in d], np.uint64), np.array([x & 0xFFFFFFFF for x in d], np.uint32), begin
-        )
-        self.late[self.windows.later] = True
+    factors = previous_factors([p[k:] for p in pieces for k in range(len(p) - length + 1)])
+    return np.split(factors >= length, np.cumsum([len(p) - length + 1 for p in pieces])[:-1])
 
 
-class ByteRepeats(Repeats):
-    label = "suffix"
-    columns = [("doc_id", "long"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
+def windows_of(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The starts lo[k] .. lo[k] + n[k] - 1 of all pieces, end to end."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
 
-    def __init__(self, length: int = LENGTH):
-        if length < 2 * ANCHOR:
-            raise ValueError(f"strings of fewer than {2 * ANCHOR} bytes have no anchor")
-        self.length = length
 
-    def anchors(self, block: Block):
+class Pieces:
+    """The pieces of a block: the key of the anchor of each, and its first and last window."""
+
+    def __init__(self, block: Block, length: int):
+        self.block, self.length = block, length
         data = np.frombuffer(block.data, np.uint8)
-        keys, lo, hi = [], [], []
-        for starts, ends in self._parts(block):
+        parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        for starts, ends in self._parts():
             base = starts[0]
-            k, first, last = anchors(data[base : ends[-1]], starts - base, ends - base, self.length)
-            keys.append(k)
-            lo.append(first + base)
-            hi.append(last + base)
-        return *map(np.concatenate, (keys, lo, hi)), block.data
+            k, first, last = anchors(data[base : ends[-1]], starts - base, ends - base, length)
+            parts.append((k, first + base, last + base))
+        self.keys, self.lo, self.hi = map(np.concatenate, zip(*parts, strict=True))
+        self.names = Names(self.keys)
 
-    def _parts(self, block: Block):
+    def _parts(self):
         """Limits of documents together, of about PART bytes. A longer document comes in
         stretches that overlap by a window less one byte, so each window is in one of them."""
+        block = self.block
         for a, b in block.parts(PART):
             starts, ends = block.starts[a:b], block.ends[a:b]
             if b - a > 1 or ends[0] - starts[0] <= 2 * PART:
@@ -185,50 +183,59 @@ class ByteRepeats(Repeats):
             for s in range(int(starts[0]), int(ends[0]) - self.length + 1, PART):
                 yield np.array([s]), np.array([min(s + PART + self.length - 1, int(ends[0]))])
 
-    def second(self, block, got, one, two):
+    def text(self, k: int) -> bytes:
+        return self.block.data[self.lo[k] : self.hi[k] + self.length]
+
+
+class Plan:
+    """What a block knows of its windows after round 1: which are later copies within it, and what it sends."""
+
+    def __init__(self, block: Block, length: int, got, one: int, two: int):
+        pieces = Pieces(block, length)
+        again, hot = pieces.names.read(one, got)
+        self.block, self.length = block, length
+        self.late = np.zeros(len(block.data) + 1, bool)
+        cold = np.flatnonzero(again & ~hot)
+        cold = cold[np.argsort(pieces.lo[cold], kind="stable")]
+        repeated = later_pieces([pieces.text(k) for k in cold.tolist()])
+        gone, first = cold[repeated], cold[~repeated]
+        self.late[windows_of(pieces.lo[gone], pieces.hi[gone] - pieces.lo[gone] + 1)] = True
+        order = first[np.argsort(by_bucket(pieces.keys[first], two), kind="stable")]
+        self.keys, self.lo, self.n = pieces.keys[order], pieces.lo[order], pieces.hi[order] - pieces.lo[order] + 1
+        self.parts = list(slices(by_bucket(self.keys, two), two))
+        crowd = np.flatnonzero(hot)
+        begin = np.sort(windows_of(pieces.lo[crowd], pieces.hi[crowd] - pieces.lo[crowd] + 1))
+        self.windows = Windows([block.data[s : s + length] for s in begin.tolist()], begin, two)
+        self.late[self.windows.later] = True
+
+    def messages(self):
         """Pieces go to even buckets, single windows to odd ones."""
-        plan = _Plan(self, block, got, one, two)
-        for b in np.unique(plan.where).tolist():
-            part = slice(plan.cut[b], plan.cut[b + 1])
-            lo, doc = plan.lo[part], plan.doc[part]
-            size = plan.hi[part] - lo + self.length
-            text = b"".join(block.data[s : s + n] for s, n in zip(lo.tolist(), size.tolist(), strict=True))
+        block = self.block
+        for b, part in self.parts:
+            lo, size = self.lo[part], self.n[part] + self.length - 1
+            text = b"".join([block.data[s : s + n] for s, n in zip(lo.tolist(), size.tolist(), strict=True)])
+            doc, at = np.unique(np.searchsorted(block.ends, lo, side="right"), return_inverse=True)
             yield 2 * b, squeeze(
-                plan.keys[part].astype("<u8").tobytes(), block.ids[doc].astype("<i8").tobytes(),
-                (lo - block.starts[doc]).astype("<i8").tobytes(), lo.astype("<i8").tobytes(), size.astype("<u4").tobytes(), text,
-            )
-        doc = np.searchsorted(block.ends, plan.windows.first, side="right")
-        for b, payload in plan.windows.messages(block, doc, two):
+                self.keys[part].astype("<u8"), block.ids[doc], block.tie[doc], at.astype("<u4"), lo.astype("<i8"), size.astype("<u4"), text
+            )
+        for b, payload in self.windows.messages(block, np.searchsorted(block.ends, self.windows.first, side="right")):
             yield 2 * b + 1, payload
 
-    @property
-    def answer(self):
-        length = self.length
-
-        def run(key, t):
-            bucket = key[0].as_py()
-            blocks, payloads = t.column("block").to_pylist(), t.column("payload").to_pylist()
-            flags = answer_windows(blocks, payloads) if bucket & 1 else answer_pieces(blocks, payloads, length)
-            return answers([(block, bucket, f) for block, f in zip(blocks, flags, strict=True)])
-
-        return run
-
-    def finish(self, block, got1, got2, one, two):
-        plan = _Plan(self, block, got1, one, two)
-        late = plan.late
-        for b in np.unique(plan.where).tolist():
-            part = slice(plan.cut[b], plan.cut[b + 1])
-            lo, n = plan.lo[part], plan.hi[part] - plan.lo[part] + 1
-            flags = unbits(got2[2 * b], int(n.sum()))
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            late[at[flags]] = True
-        late[plan.windows.read(two, lambda b: got2[2 * b + 1])] = True
+    def finish(self, got):
+        """The result rows of the block's documents."""
+        late, block = self.late, self.block
+        for b, part in self.parts:
+            at = windows_of(self.lo[part], self.n[part])
+            late[at[unbits(got[2 * b], len(at))]] = True
+        late[self.windows.read(lambda b: got[2 * b + 1])] = True
         # A window at s covers [s, s + length), all of it inside its document.
-        edge = np.zeros(len(block.data) + 1, np.int32)
+        edge = np.zeros(len(block.data) + 1, np.int8)
         s = np.flatnonzero(late)
-        edge[s] += 1
-        edge[s + self.length] -= 1
-        gone = np.cumsum(edge[:-1]) > 0
+        alone = np.flatnonzero(np.diff(s, prepend=-2) > 1)  # where runs of later windows begin
+        edge[s[alone]] += 1
+        ends = s[np.append(alone[1:], len(s)) - 1] + self.length if len(s) else s
+        np.add.at(edge, ends, -1)
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         data = np.frombuffer(block.data, np.uint8)
         for i, null, a, b in zip(block.ids.tolist(), block.null.tolist(), block.starts.tolist(), block.ends.tolist(), strict=True):
             g = gone[a:b]
@@ -237,57 +244,87 @@ class ByteRepeats(Repeats):
             yield None if null else i, b - a, b - a - len(kept), spans, hashlib.sha256(kept.tobytes()).hexdigest()
 
 
-def answer_pieces(blocks, payloads, length: int = LENGTH):
-    """Round 2, in a bucket of pieces: for each window of each sent piece, whether an equal one is earlier."""
+def answer_pieces(payloads, length: int = LENGTH) -> list[bytes]:
+    """Round 2, in a bucket of anchors: for each window of each sent piece, whether an equal one is earlier."""
     parts = [unsqueeze(p) for p in payloads]
-    field = lambda k, kind: np.concatenate([np.frombuffer(p[k], kind) for p in parts])
-    keys, ids, offset, place, size = field(0, "<u8"), field(1, "<i8"), field(2, "<i8"), field(3, "<i8"), field(4, "<u4").astype(np.int64)
     counts = [len(p[0]) // 8 for p in parts]
-    text = b"".join(p[5] for p in parts)
-    ends = np.cumsum(size)
-    rank = np.empty(len(blocks), np.int64)
-    rank[np.argsort(blocks)] = np.arange(len(blocks))
-    own = np.repeat(rank, counts)
-    n = size - length + 1
-    out = np.cumsum(np.concatenate([[0], n]))
+    keys, lo, size = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in ((0, "<u8"), (4, "<i8"), (5, "<u4")))
+    ids, tie = (np.concatenate([np.frombuffer(p[k], kind)[np.frombuffer(p[3], "<u4")] for p in parts]) for k, kind in ((1, "<i8"), (2, "<u8")))
+    text, size = b"".join(p[6] for p in parts), size.astype(np.int64)
+    ends, n = np.cumsum(size), size - length + 1
+    out = np.concatenate([[0], np.cumsum(n)])
     late = np.zeros(out[-1], bool)
-    order = np.lexsort((place, own, ids, keys))
-    edges = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]]))
-    batch, windows = [], 0
+    order = np.argsort(positions(ids, tie, np.repeat(np.arange(len(parts)), counts), lo))
+    pieces = [text[a:b] for a, b in zip((ends - size)[order].tolist(), ends[order].tolist(), strict=True)]
+    repeated = later_pieces(pieces)
+    late[windows_of(out[:-1][order[repeated]], n[order[repeated]])] = True
+    # What is left of each anchor; the windows of different anchors differ, so a batch may hold several.
+    rest = np.flatnonzero(~repeated)
+    rest = rest[np.argsort(keys[order[rest]], kind="stable")]
+    edges = np.flatnonzero(np.diff(keys[order[rest]], prepend=~keys[order[rest[:1]]], append=~keys[order[rest[-1:]]]))
+    group, windows = [], 0
 
     def close():
-        for k, flags in zip(batch, later_windows([piece(k) for k in batch], length), strict=True):
-            late[out[k] : out[k + 1]] = flags
-        batch.clear()
+        for k, flags in zip(group, later_windows([pieces[k] for k in group], length), strict=True):
+            at = out[order[k]]
+            late[at : at + len(flags)] |= flags
+        group.clear()
 
-    def piece(k):
-        return text[ends[k] - size[k] : ends[k]]
-
-    # The windows of different anchors differ, so a batch may hold several; positions
-    # across anchors need no order, within an anchor they are in order.
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if b - a < 2:
-            continue
-        seen, group = set(), []
-        for k in order[a:b].tolist():
-            p = piece(k)
-            if p in seen:
-                late[out[k] : out[k + 1]] = True
-            else:
-                seen.add(p)
-                group.append(k)
-        if len(group) < 2:
-            continue
-        batch += group
-        windows += int(n[group].sum())
+            # Within one piece, too, a window may be repeated: a text of one byte has one anchor for all of them.
+            k = rest[a]
+            if n[order[k]] < 2:
+                continue
+        group += rest[a:b].tolist()
+        windows += int(n[order[rest[a:b]]].sum())
         if windows >= SORTED:
             close()
             windows = 0
-    if batch:
+    if group:
         close()
     return [bits(late[out[a] : out[b]]) for a, b in zip(np.cumsum([0, *counts[:-1]]).tolist(), np.cumsum(counts).tolist(), strict=True)]
 
 
+class ByteRepeats:
+    """The two rounds, as functions of a block or of a bucket's messages."""
+
+    def __init__(self, length: int = LENGTH):
+        if length < 2 * ANCHOR:
+            raise ValueError(f"strings of fewer than {2 * ANCHOR} bytes have no anchor")
+        self.length = length
+
+    def first(self, block, blob, one, two):
+        pieces = Pieces(Block(block, blob), self.length)
+        return pieces.names.messages(one, pieces.text)
+
+    @staticmethod
+    def answer_first(bucket, blocks, payloads):
+        return answer_names(payloads)
+
+    def second(self, block, blob, got1, one, two):
+        return Plan(Block(block, blob), self.length, got1, one, two).messages()
+
+    def answer_second(self, bucket, blocks, payloads):
+        return answer_windows(payloads) if bucket & 1 else answer_pieces(payloads, self.length)
+
+    def finish(self, block, blob, got1, got2, one, two):
+        return Plan(Block(block, blob), self.length, got1, one, two).finish(got2)
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row for each row of docs."""
-    return ByteRepeats(length).run(docs, text)
+    op, scratch = ByteRepeats(length), Scratch(docs.sparkSession, "suffix")
+    blocks, total = blocks_of(docs, text, scratch)
+    n = max(1, round(total / grown(total, ANCHOR_BYTES, *BUCKET_BYTES)))
+    wait = scratch.release if total > WORTH_WAITING else lambda: None
+    # Each round's frames are dropped before the next begins, so that Spark can remove their shuffle files.
+    got1 = scratch.keep(ask(blocks, lambda b, blob: op.first(b, blob, n, n), op.answer_first, "got1"), "got1")
+    wait()
+    asked = blocks.join(got1, "block", "left").select("block", "blob", "got1")
+    got2 = ask(asked, lambda b, blob, got: op.second(b, blob, answers(got), n, n), op.answer_second, "got2")
+    got = scratch.keep(got1.join(got2, "block", "left"), "got2")
+    del asked, got2
+    wait()
+    whole = blocks.join(got, "block", "left").select("block", "blob", "got1", "got2")
+    return each(whole, lambda b, blob, g1, g2: op.finish(b, blob, answers(g1), answers(g2), n, n), COLUMNS)
