@@ -1,28 +1,36 @@
 """Removal of repeated word windows by recompression.
 
-Each text is a string of words. Rounds of recompression rename it: first every maximal
-run of equal symbols becomes one symbol, then every pair of a left and a right symbol
-(by one bit of the symbol's hash in that round) does. A name is a 64-bit hash of what it
-stands for, the symbol and length of a run or the two symbols of a pair, so it is the
-same in every task without a table of names, and equal substrings get equal symbols
-inside, apart from a few at their ends.
+Each text is a string of words. Spark rounds rename it. The first one names words: blocks
+send the distinct words that they hold, and a bucket of the words' hashes keeps the table
+of its words, gives each a number, and answers with them. Each further round names runs
+and pairs in the same way: in a block, every maximal run of equal symbols becomes one,
+then every pair of a left and a right symbol (by one bit of a hash of the symbol in that
+round) does; the buckets keep the tables of what runs and pairs consist of, compared
+whole, and name them. So names are global, two names are equal only if what they stand
+for is equal word by word, and equal substrings get equal symbols inside, apart from a
+few at their ends.
 
 For each symbol the words that it depends on are tracked: its own and those that decided
-that it is a whole run or a pair. Of the symbols whose dependence lies inside a WINDOW of
-words, the one of the highest round (then of the least hash) is the window's anchor: it
-is a function of the window's words alone, so equal windows have equal anchors. Its key
-is a hash of the words it depends on. A window inside which no symbol of a round is
-settled (a part of a long run) is its own anchor.
-
-Round 1 of the exchange finds the anchors that are repeated; they reveal the candidates.
-Round 2 verifies them: windows with such an anchor are compared by 96-bit digests of
-their words, and a window is repeated if an equal one has an earlier position. Windows
-are judged on the input. Blocks name each anchor and each window once, so a passage that
-stands in a third of all documents gathers nowhere.
+that it is a whole run or a pair. A symbol that the corpus has only once gets no name,
+and every window around all that it depends on is done with: it cannot be repeated. What
+no window left depends on is not sent. Of the symbols that a remaining window holds with
+all they depend on, the one of the highest round, then of the least hash, is its anchor,
+a function of the window's words alone: shared anchors reveal the candidates.
+
+Two last rounds verify them word by word. The first finds the anchors that several
+remaining windows have. In the second, a maximal run of windows with the same anchor is a
+piece; pieces that a block has twice are later copies; the others meet in the bucket of
+their anchor, in the order of their positions, where a window is repeated if the same
+words have come before. The windows of crowded anchors (of which a block has more than
+CROWDED different pieces, or which more than WIDESPREAD blocks have) are sent one by one,
+whole, and meet by their hash instead. Hashes only choose buckets and anchors; words
+decide everywhere. Blocks name each word, symbol, piece and window once, so a passage
+that stands in a third of all documents gathers nowhere.
 
 Defined results: null, empty and wordless texts have no words (the hash of an empty
 string); texts of fewer words than a window stay whole; rows that share a doc_id are in
-order of their block and text; an empty table gives an empty result.
+order of a hash of their text, and of equal rows one is the first; null ids come last;
+ids that cannot be cast to long are an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,260 +42,430 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import GOLDEN, U64, mix64
-from .exchange import Block, Repeats, Windows, answer_windows, answers, read_anchors
+from .common import GOLDEN, U64, Scratch, mix64
+from .exchange import (
+    WORTH_WAITING, Block, Names, Windows, answer_names, answer_windows, answers, ask, bits, blocks_of, by_bucket, each,
+    grown, positions, slices, squeeze, unbits, unsqueeze,
+)
 
 WINDOW = 20
 ROUNDS = 5
 PART = 1 << 18
-FAR = 1 << 40
+FAR = (1 << 31) - 1
 """Stands for words beyond a document's end, on which a symbol at the end depends."""
+ANCHOR_BYTES = 24
+BUCKET_BYTES = (8 << 20, 64 << 20)
+"""Bytes of text for each bucket, at least and at most."""
+COLUMNS = [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
+STATE = [("block", "long"), ("state", "binary")]
 
-_BASE, _BASE2 = U64(0x9E3779B97F4A7C55), U64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LONG = 256
-
-_powers: dict = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(1 << 19, 1 << (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[int(base)] = have
-    return have[:n]
-
-
-def inverse(base: np.uint64) -> np.uint64:
-    return U64(pow(int(base), -1, 1 << 64))
-
-
-def spread(sums: np.ndarray, a: np.ndarray, b: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Hashes of ranges [a, b), wherever they start, from prefix sums of terms times powers of base."""
-    back = powers(inverse(base), len(sums))
-    return (sums[b] - sums[a]) * back[a]
-
-
-def words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Of documents end to end: word hashes, and the first word of each document and of the end."""
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(starts) + 1, np.int64)
-    solid = ~_SPACE[data]
-    opens = solid.copy()
-    opens[1:] &= ~solid[:-1]
-    heads = starts[starts < ends]
-    opens[heads] = solid[heads]
-    closes = solid.copy()
-    closes[:-1] &= ~solid[1:]
-    tails = ends[starts < ends] - 1
-    closes[tails] = solid[tails]
-    a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    terms = mix64((np.arange(256, dtype=np.uint64) + U64(1)) * GOLDEN)[data] * powers(_BASE, len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    h = mix64(spread(sums, a, b, _BASE) + (b - a).astype(np.uint64) * GOLDEN)
-    for k in np.flatnonzero(b - a > _LONG).tolist():
-        h[k] = xxhash.xxh3_64_intdigest(data[a[k] : b[k]].tobytes())
-    return h, np.searchsorted(a, np.append(starts, ends[-1] if len(ends) else 0))
-
-
-class _String:
-    """A string of symbols over all documents of a part: hash, and the words depended on [lo, hi)."""
-
-    def __init__(self, words, first):
-        self.h = words
-        self.doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        n = np.arange(len(words))
-        self.lo, self.hi = n, n + 1
+
+
+def spans(block: Block):
+    """Where each word of a block starts and ends, and the first word of each document and of the end."""
+    data = np.frombuffer(block.data, np.uint8)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    heads, tails = block.starts[block.starts < block.ends], block.ends[block.starts < block.ends] - 1
+    for at in range(0, len(data), PART):
+        end = min(at + PART, len(data))
+        near = ~_SPACE[data[max(at - 1, 0) : end + 1]]  # with a byte before and after
+        solid, before, after = (near[k : k + end - at] for k in ((1, 0, 2) if at else (0, 0, 1)))
+        opens, closes = solid.copy(), solid.copy()
+        opens[0 if at else 1 :] &= ~before[: len(opens) - (0 if at else 1)]
+        closes[: len(after)] &= ~after
+        for edge, flags in ((heads, opens), (tails, closes)):
+            here = edge[(edge >= at) & (edge < end)] - at
+            flags[here] = solid[here]
+        a.append(np.flatnonzero(opens) + at)
+        b.append(np.flatnonzero(closes) + at + 1)
+    starts, ends = np.concatenate(a), np.concatenate(b)
+    return starts, ends, np.searchsorted(starts, np.append(block.starts, len(data)))
+
+
+def vocabulary(block: Block):
+    """The distinct words of a block in the order of buckets, their keys, how often each occurs, and the number of each word."""
+    starts, ends, _ = spans(block)
+    known: dict[bytes, int] = {}
+    ids = np.empty(len(starts), np.int64)
+    for at in range(0, len(starts), PART):
+        cut = zip(starts[at : at + PART].tolist(), ends[at : at + PART].tolist(), strict=True)
+        ids[at : at + PART] = [known.setdefault(block.data[a:b], len(known)) for a, b in cut]
+    words = list(known)
+    keys = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ids = rank[ids]
+    return [words[k] for k in order.tolist()], keys[order], np.bincount(ids, minlength=len(words)), ids
+
+
+def word_messages(block: Block, buckets: int):
+    words, keys, times, _ = vocabulary(block)
+    for b, part in slices(by_bucket(keys, buckets), buckets):
+        yield b, squeeze(np.array([len(w) for w in words[part]], "<u4"), b"".join(words[part]), bits(times[part] > 1))
+
+
+def answer_words(payloads) -> list[bytes]:
+    """In a bucket: the number of each sent word in the table of words that occur again; 0 for others."""
+    sent, total = [], {}
+    for p in payloads:
+        size, data, twice = unsqueeze(p)
+        ends = np.cumsum(np.frombuffer(size, "<u4").astype(np.int64)).tolist()
+        words = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        sent.append(words)
+        for w, t in zip(words, unbits(twice, len(words)).tolist(), strict=True):
+            total[w] = total.get(w, 0) + 1 + t
+    number = {w: k for k, w in enumerate(sorted(w for w, n in total.items() if n > 1), 1)}
+    return [np.array([number.get(w, 0) for w in words], "<u4").tobytes() for words in sent]
+
+
+def named(parts, got, r: int, n: int) -> np.ndarray:
+    """Names from the answers to messages about parts of n things: the round, the bucket and the number there; 0 for none."""
+    out = np.zeros(n, np.uint64)
+    for b, part in parts:
+        k = np.frombuffer(got[b], "<u4").astype(np.uint64)
+        out[part] = np.where(k > 0, U64(r << 58 | b << 34) + k, U64(0))
+    return out
+
+
+class State:
+    """A block between rounds: the string of symbols over all its documents, and the windows that are left.
+
+    h: the symbols' names, 0 for none. doc: their documents. [lo, hi): the words that each
+    depends on; lo is -1 and hi FAR beyond a document. live: for each word, whether the
+    window that starts there is left; anchor: the name of its anchor; back: how many words
+    into the window what that depends on begins.
+    """
+
+    fields = (("h", "<u8"), ("doc", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("live", "?"), ("anchor", "<u8"), ("back", "u1"))
+
+    def __init__(self, window: int):
+        self.window = window
+
+    @classmethod
+    def of_words(cls, block: Block, window: int, buckets: int, got):
+        """After the round that names words."""
+        self = cls(window)
+        _, keys, _, ids = vocabulary(block)
+        name = named(slices(by_bucket(keys, buckets), buckets), got, 0, len(keys))
+        first = spans(block)[2]
+        n = np.diff(first)
+        self.h = name[ids]
+        self.doc = np.repeat(np.arange(len(n)), n).astype(np.int32)
+        self.lo = np.arange(len(ids), dtype=np.int32)
+        self.hi = self.lo + 1
+        self.live = np.arange(len(ids)) + window <= np.repeat(first[1:], n)
+        self.anchor, self.back = self.h.copy(), np.zeros(len(ids), np.uint8)
+        self._drop(self.h == 0)
+        return self
+
+    @classmethod
+    def read(cls, data: bytes, window: int):
+        self = cls(window)
+        for (name, kind), raw in zip(cls.fields, unsqueeze(data), strict=True):
+            setattr(self, name, np.frombuffer(raw, kind).copy())
+        return self
+
+    def bytes(self) -> bytes:
+        return squeeze(*(getattr(self, name).astype(kind) for name, kind in self.fields))
+
+    def _inside(self):
+        return (self.lo >= 0) & (self.hi < FAR) & (self.hi - self.lo <= self.window)
+
+    def _drop(self, dead):
+        """Ends the windows around all that dead symbols depend on."""
+        dead = dead & self._inside()
+        edge = np.zeros(len(self.live) + 1, np.int32)
+        np.add.at(edge, np.maximum(self.hi[dead] - self.window, 0), 1)
+        np.add.at(edge, self.lo[dead] + 1, -1)
+        self.live &= np.cumsum(edge[:-1]) == 0
+        self._forget()
+
+    def _forget(self):
+        """Takes the name from symbols that no window left depends on."""
+        some = np.concatenate([[0], np.cumsum(self.live)])
+        fine = self._inside()
+        used = np.zeros(len(self.h), bool)
+        used[fine] = some[self.lo[fine] + 1] > some[np.maximum(self.hi[fine] - self.window, 0)]
+        self.h[~used] = 0
 
     def _edges(self):
         """For each symbol, whether it is the first and the last of its document."""
         head = np.ones(len(self.h), bool)
         head[1:] = self.doc[1:] != self.doc[:-1]
-        return head, np.append(head[1:], True)
+        return head, np.append(head[1:], True)[: len(head)]
 
-    def runs(self, r):
+    def collapse(self, r: int):
+        """Makes runs and pairs symbols, without names as yet. Sets what each consists of, and which have to be named."""
+        if not len(self.h):
+            self.makes, self.new = np.empty((3, 0), np.uint64), np.empty(0, bool)
+            return self
         head, _ = self._edges()
-        new = head.copy()
-        new[1:] |= self.h[1:] != self.h[:-1]
-        a = np.flatnonzero(new)
+        opens = head | (self.h == 0)
+        opens[1:] |= self.h[1:] != self.h[:-1]
+        a = np.flatnonzero(opens)
         b = np.append(a[1:], len(self.h))
-        doc = self.doc[a]
-        h = np.where(b - a > 1, mix64(self.h[a] ^ mix64((b - a).astype(np.uint64) * GOLDEN + U64(2 * r + 1))), self.h[a])
-        lo = np.where(head[a], -FAR, self.lo[np.maximum(a - 1, 0)])
-        last = np.append(doc[1:] != doc[:-1], True)
+        last = np.append(self.doc[a][1:] != self.doc[a][:-1], True)
+        lo = np.where(head[a], -1, self.lo[np.maximum(a - 1, 0)])
         hi = np.where(last, FAR, self.hi[np.minimum(b, len(self.h) - 1)])
-        self.h, self.doc, self.lo, self.hi = h, doc, lo, hi
-
-    def pairs(self, r):
+        self.h, self.doc, size = self.h[a], self.doc[a], (b - a).astype(np.uint64)
         head, last = self._edges()
-        left = (mix64(self.h + U64(r + 1) * GOLDEN) >> U64(63)).astype(bool)
-        n = len(self.h)
-        before, after = np.maximum(np.arange(n) - 1, 0), np.minimum(np.arange(n) + 1, n - 1)
-        opens = left & ~last & ~left[after]
-        inner = ~left & ~head & left[before]
-        keep = np.flatnonzero(~inner)
-        o = opens[keep]
-        h = np.where(o, mix64(self.h[keep] * GOLDEN + (self.h[after[keep]] ^ U64(2 * r + 2))), self.h[keep])
+        salt = U64((r + 1) * int(GOLDEN) % (1 << 64))
+        left = (mix64((self.h ^ mix64(size * GOLDEN)) + salt) >> U64(63)).astype(bool)
+        n = np.arange(len(self.h))
+        before, after = np.maximum(n - 1, 0), np.minimum(n + 1, len(n) - 1)
+        pair = left & ~last & ~left[after]
+        keep = np.flatnonzero(~(~left & ~head & left[before]))
+        pair, dead = pair[keep], self.h[keep] == 0
+        dead |= pair & (self.h[after[keep]] == 0)
+        second = np.where(pair, self.h[after[keep]], U64(0))
+        sizes = size[keep] << U64(32) | np.where(pair, size[after[keep]], U64(0))
         # A left symbol depends on the one after it, a right one on the one before it.
-        lo = np.where(left[keep], self.lo[keep], np.where(head[keep], -FAR, self.lo[before[keep]]))
-        hi = np.where(left[keep], np.where(last[keep], FAR, self.hi[after[keep]]), self.hi[keep])
-        self.h, self.doc, self.lo, self.hi = h, self.doc[keep], lo, hi
-
-
-def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS):
-    """The key of each anchor, where the windows start, and the number of each window's anchor."""
-    inside = np.zeros(len(words) + 1, np.int64)
-    sizes = np.diff(first)
-    long = sizes >= window
-    np.add.at(inside, first[:-1][long], 1)
-    np.add.at(inside, first[1:][long] - window + 1, -1)
-    starts = np.flatnonzero(np.cumsum(inside[:-1]))
-    if not starts.size:
-        return np.empty(0, np.uint64), starts, starts
-    terms = words * powers(_BASE2, len(words))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    string, levels = _String(words, first), []
-    for r in range(rounds):
-        string.runs(r)
-        string.pairs(r)
-        ok = (string.hi - string.lo <= window) & (string.lo >= 0)
-        levels.append((string.h, string.lo, string.hi))
-        if not ok.any():
-            break
-    at_lo, at_hi = np.full(len(starts), -1), np.full(len(starts), -1)
-    todo = np.arange(len(starts))
-    for h, lo, hi in reversed(levels):
-        s = starts[todo]
-        # Of symbols in order, lo and hi never fall inside a document, but symbols at its
-        # ends depend on what is beyond; leave those out.
-        fine = np.flatnonzero((lo >= 0) & (hi < FAR) & (hi - lo <= window))
-        if not fine.size:
-            continue
-        h, lo, hi = h[fine], lo[fine], hi[fine]
-        i0 = np.searchsorted(lo, s, side="left")
-        i1 = np.searchsorted(hi, s + window, side="right") - 1
-        best, low = np.full(len(s), -1), np.zeros(len(s), np.uint64)
-        span = i1 - i0
-        for j in range(int(span.max(initial=-1)) + 1):
-            live = np.flatnonzero(span >= j)
-            k = i0[live] + j
-            better = (best[live] < 0) | (h[k] < low[live])
-            best[live[better]], low[live[better]] = k[better], h[k[better]]
-        found = best >= 0
-        at_lo[todo[found]], at_hi[todo[found]] = lo[best[found]], hi[best[found]]
-        todo = todo[~found]
-        if not todo.size:
-            break
-    at_lo[todo], at_hi[todo] = starts[todo], starts[todo] + window
-    # Neighbouring windows with the same symbol have one anchor between them.
-    new = np.ones(len(starts), bool)
-    new[1:] = (at_lo[1:] != at_lo[:-1]) | (at_hi[1:] != at_hi[:-1])
-    lo, hi = at_lo[new], at_hi[new]
-    return mix64(spread(sums, lo, hi, _BASE2) + (hi - lo).astype(np.uint64)), starts, np.cumsum(new) - 1
-
-
-def digests(words: np.ndarray, starts: np.ndarray, window: int = WINDOW):
-    """96 bits of each window: two sums of mixed words times powers of odd numbers."""
-    out = []
-    for base in (_BASE, _BASE2):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words ^ base) * powers(base, len(words)), dtype=np.uint64)])
-        out.append(mix64(spread(sums, starts, starts + window, base)))
-    return out[0], (out[1] & U64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def _stretches(data: np.ndarray, start: int, end: int):
-    """Limits of stretches of about PART bytes of a document, which end at white space."""
-    while start < end:
-        stop = min(start + PART, end)
-        while stop < end and not _SPACE[data[stop]]:
-            nearby = np.flatnonzero(_SPACE[data[stop : stop + PART]])
-            stop = stop + int(nearby[0]) if nearby.size else min(stop + PART, end)
-        yield start, stop
-        start = stop
-
-
-class WordRepeats(Repeats):
-    label = "recompress"
-    anchor_bytes = 24
-    second_bytes = 8 << 20
-    columns = [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
-
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+        self.lo = np.where(left[keep], lo[keep], np.where(head[keep], -1, lo[before[keep]])).astype(np.int32)
+        self.hi = np.where(left[keep], np.where(last[keep], FAR, hi[after[keep]]), hi[keep]).astype(np.int32)
+        self.h, self.doc = self.h[keep], self.doc[keep]
+        self.makes = np.stack([self.h, second, sizes])
+        self.h[dead] = 0
+        self._forget()
+        self.new = (self.h > 0) & (pair | (size[keep] > 1))
+        return self
+
+    def _listed(self, buckets: int):
+        """The distinct things to be named in the order of buckets, how often each occurs, and the number of each."""
+        made = self.makes[:, self.new]
+        keys = mix64(mix64(made[0] * GOLDEN + made[1]) ^ made[2] * GOLDEN)
+        order = np.lexsort((*made[::-1], keys))
+        made, keys = made[:, order], keys[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (made[:, 1:] != made[:, :-1]).any(axis=0)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(fresh) - 1
+        return made[:, fresh], slices(by_bucket(keys[fresh], buckets), buckets), np.bincount(at), at
+
+    def messages(self, buckets: int):
+        made, parts, times, _ = self._listed(buckets)
+        for b, part in parts:
+            yield b, squeeze(*made[:, part].astype("<u8"), bits(times[part] > 1))
+
+    def apply(self, r: int, buckets: int, got):
+        """Names the new symbols, ends the windows of those that have none, and finds anchors."""
+        made, parts, _, at = self._listed(buckets)
+        self.h[self.new] = named(parts, got, r, made.shape[1])[at]
+        self._drop(self.new & (self.h == 0))
+        fine = np.flatnonzero(self._inside() & (self.h > 0))
+        s = np.flatnonzero(self.live)
+        if not fine.size or not s.size:
+            return self
+        h, lo, hi = mix64(self.h[fine]), self.lo[fine], self.hi[fine]
+        begin, end = np.searchsorted(lo, s, side="left"), np.searchsorted(hi, s + self.window, side="right")
+        some = end > begin
+        s, begin, span = s[some], begin[some], (end - begin)[some]
+        best = begin.copy()
+        for j in range(1, int(span.max(initial=0))):
+            k = begin + np.minimum(j, span - 1)
+            best = np.where(h[k] < h[best], k, best)
+        self.anchor[s], self.back[s] = self.h[fine][best], lo[best] - s
+        return self
+
+
+def answer_symbols(payloads) -> list[bytes]:
+    """In a bucket: the number of each sent run or pair in the table of those that occur again; 0 for others."""
+    parts = [unsqueeze(p) for p in payloads]
+    made = np.stack([np.concatenate([np.frombuffer(p[k], "<u8") for p in parts]) for k in range(3)])
+    counts = [len(p[0]) // 8 for p in parts]
+    twice = np.concatenate([unbits(p[3], n) for p, n in zip(parts, counts, strict=True)])
+    order = np.lexsort(made[::-1])
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (made[:, order[1:]] != made[:, order[:-1]]).any(axis=0)
+    group = np.cumsum(fresh) - 1
+    again = np.bincount(group, 1 + twice[order]) > 1
+    number = np.where(again, np.cumsum(again), 0)
+    out = np.empty(len(order), "<u4")
+    out[order] = number[group]
+    return [x.tobytes() for x in np.split(out, np.cumsum(counts)[:-1])]
+
+
+class Pieces:
+    """Runs of the windows left that have the same anchor: their keys, first windows and numbers of windows."""
+
+    def __init__(self, block: Block, state: State):
+        self.block, self.window = block, state.window
+        self.starts, self.ends, self.first = spans(block)
+        s = np.flatnonzero(state.live)
+        anchor, place = state.anchor[s], s + state.back[s]
+        new = np.ones(len(s), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1)
+        a = np.flatnonzero(new)
+        self.keys, self.lo, self.n = mix64(anchor[a]), s[a], np.diff(np.append(a, len(s)))
+        self.names = Names(self.keys)
+
+    def words(self, a: int, b: int) -> bytes:
+        """The words [a, b), joined by one space."""
+        return b" ".join(self.block.data[self.starts[a] : self.ends[b - 1]].split())
+
+    def text(self, k: int) -> bytes:
+        return self.words(int(self.lo[k]), int(self.lo[k] + self.n[k]) + self.window - 1)
+
+
+def windows_of(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The starts lo[k] .. lo[k] + n[k] - 1 of all pieces, end to end."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+
 
-    def _parts(self, block):
-        """(words, first word of each document and the end, word number in the block) of parts of a block."""
-        data, base = np.frombuffer(block.data, np.uint8), 0
-        for a, b in block.parts(PART):
-            at, end = int(block.starts[a]), int(block.ends[b - 1])
-            if b - a > 1 or end - at <= 2 * PART:
-                words, first = words_of(data[at:end], block.starts[a:b] - at, block.ends[a:b] - at)
+class Plan:
+    """What a block knows after the round of anchors: which windows are later copies within it, and what it sends."""
+
+    def __init__(self, block: Block, state: State, got, buckets: int):
+        self.block, self.window = block, state.window
+        self.pieces = pieces = Pieces(block, state)
+        again, hot = pieces.names.read(buckets, got)
+        self.late = np.zeros(len(pieces.starts) + 1, bool)
+        seen, first, self.texts = set(), [], []
+        for k in np.flatnonzero(again & ~hot).tolist():
+            t = pieces.text(k)
+            if t in seen:
+                self.late[pieces.lo[k] : pieces.lo[k] + pieces.n[k]] = True
             else:
-                words = np.concatenate([words_of(data[s:e], np.array([0]), np.array([e - s]))[0] for s, e in _stretches(data, at, end)])
-                first = np.array([0, len(words)])
-            yield words, first, base
-            base += len(words)
-
-    def _segments(self, words, first):
-        """Parts of the words whose arrays are small; those of a long document overlap by a window less one word."""
-        if len(first) > 2 or len(words) <= PART:
-            yield words, first, 0
-            return
-        for s in range(0, max(1, len(words) - self.window + 1), PART // 2):
-            part = words[s : s + PART // 2 + self.window - 1]
-            yield part, np.array([0, len(part)]), s
-
-    def anchors(self, block: Block):
-        keys, number, starts, high, low, first, n, end = [], [], [], [], [], [], 0, 0
-        for whole, at, base in self._parts(block):
-            for words, limits, offset in self._segments(whole, at):
-                k, s, a = anchors(words, limits, self.window)
-                h, l = digests(words, s, self.window)
-                keys.append(k)
-                number.append(a + n)
-                n += len(k)
-                starts.append(s + base + offset)
-                high.append(h)
-                low.append(l)
-            first.append(at[:-1] + base)
-            end = base + len(whole)
-        return *map(np.concatenate, (keys, number, starts, high, low)), np.append(np.concatenate(first), end)
-
-    def _windows(self, block, got, one):
-        keys, number, starts, high, low, first = self.anchors(block)
-        again = read_anchors(keys, one, got)[0][number]
-        return Windows(high[again], low[again], starts[again]), first
-
-    def second(self, block, got, one, two):
-        windows, first = self._windows(block, got, one)
-        yield from windows.messages(block, np.searchsorted(first, windows.first, side="right") - 1, two)
-
-    @staticmethod
-    def answer(key, t):
-        blocks = t.column("block").to_pylist()
-        flags = answer_windows(blocks, t.column("payload").to_pylist())
-        return answers([(block, key[0].as_py(), f) for block, f in zip(blocks, flags, strict=True)])
-
-    def finish(self, block, got1, got2, one, two):
-        windows, first = self._windows(block, got1, one)
-        late = np.concatenate([windows.later, windows.read(two, got2.__getitem__)]).astype(np.int64)
-        edge = np.zeros(int(first[-1]) + self.window + 1, np.int32)
-        np.add.at(edge, late, 1)
-        np.add.at(edge, late + self.window, -1)
+                seen.add(t)
+                first.append(k)
+                self.texts.append(t)
+        first = np.array(first, np.int64)
+        order = np.argsort(by_bucket(pieces.keys[first], buckets), kind="stable")
+        self.texts = [self.texts[k] for k in order.tolist()]
+        first = first[order]
+        self.keys, self.lo, self.n = pieces.keys[first], pieces.lo[first], pieces.n[first]
+        self.parts = list(slices(by_bucket(self.keys, buckets), buckets))
+        begin = windows_of(pieces.lo[hot], pieces.n[hot])
+        self.windows = Windows([pieces.words(s, s + self.window) for s in begin.tolist()], begin, buckets)
+        self.late[self.windows.later] = True
+
+    def _docs(self, word):
+        return np.searchsorted(self.pieces.first, word, side="right") - 1
+
+    def messages(self):
+        """Pieces go to even buckets, single windows to odd ones."""
+        block = self.block
+        for b, part in self.parts:
+            doc, at = np.unique(self._docs(self.lo[part]), return_inverse=True)
+            size = np.array([len(t) for t in self.texts[part]], "<u4")
+            yield 2 * b, squeeze(block.ids[doc], block.tie[doc], at.astype("<u4"), self.lo[part].astype("<i8"), self.n[part].astype("<u4"), size, b"".join(self.texts[part]))
+        for b, payload in self.windows.messages(block, self._docs(self.windows.first)):
+            yield 2 * b + 1, payload
+
+    def finish(self, got):
+        """The result rows of the block's documents."""
+        late, first = self.late, self.pieces.first
+        for b, part in self.parts:
+            at = windows_of(self.lo[part], self.n[part])
+            late[at[unbits(got[2 * b], len(at))]] = True
+        late[self.windows.read(lambda b: got[2 * b + 1])] = True
+        edge = np.zeros(len(late) + self.window, np.int32)
+        s = np.flatnonzero(late)
+        np.add.at(edge, s, 1)
+        np.add.at(edge, s + self.window, -1)
         gone = np.cumsum(edge) > 0
+        block = self.block
         for k in range(len(block)):
-            words = block.data[block.starts[k] : block.ends[k]].split()
-            g = gone[first[k] : first[k] + len(words)]
-            kept = list(compress(words, (~g).tolist())) if g.any() else words
-            digest = hashlib.sha256(b" ".join(kept)).hexdigest()
-            yield None if block.null[k] else int(block.ids[k]), len(words), len(words) - len(kept), digest
+            a, b = int(first[k]), int(first[k + 1])
+            digest, kept = hashlib.sha256(), 0
+            for at in range(a, b, PART):
+                end = min(at + PART, b)
+                words = block.data[self.pieces.starts[at] : self.pieces.ends[end - 1]].split()
+                words = list(compress(words, (~gone[at:end]).tolist())) if gone[at:end].any() else words
+                if words:
+                    digest.update(b" " * bool(kept) + b" ".join(words))
+                    kept += len(words)
+            yield None if block.null[k] else int(block.ids[k]), b - a, b - a - kept, digest.hexdigest()
+
+
+def answer_pieces(payloads, window: int = WINDOW) -> list[bytes]:
+    """In a bucket of anchors: for each window of each sent piece, whether the same words have an earlier position."""
+    parts = [unsqueeze(p) for p in payloads]
+    counts = [len(p[3]) // 8 for p in parts]
+    ids, tie = (np.concatenate([np.frombuffer(p[k], kind)[np.frombuffer(p[2], "<u4")] for p in parts]) for k, kind in ((0, "<i8"), (1, "<u8")))
+    lo, n, size = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]).astype(np.int64) for k, kind in ((3, "<i8"), (4, "<u4"), (5, "<u4")))
+    text, ends, out = b"".join(p[6] for p in parts), np.cumsum(size), np.concatenate([[0], np.cumsum(n)])
+    late = np.zeros(out[-1], bool)
+    order = np.argsort(positions(ids, tie, np.repeat(np.arange(len(parts)), counts), lo))
+    pieces, windows = set(), set()
+    for k in order.tolist():
+        t = text[ends[k] - size[k] : ends[k]]
+        if t in pieces:
+            late[out[k] : out[k + 1]] = True
+            continue
+        pieces.add(t)
+        words = np.cumsum([0, *(len(w) + 1 for w in t.split(b" "))]).tolist()
+        for j in range(int(n[k])):
+            w = t[words[j] : words[j + window] - 1]
+            if w in windows:
+                late[out[k] + j] = True
+            else:
+                windows.add(w)
+    return [bits(late[out[a] : out[b]]) for a, b in zip(np.cumsum([0, *counts[:-1]]).tolist(), np.cumsum(counts).tolist(), strict=True)]
+
+
+class WordRepeats:
+    """The rounds, as functions of a block or of a bucket's messages."""
+
+    def __init__(self, window: int = WINDOW, rounds: int = ROUNDS):
+        self.window, self.rounds = window, rounds
+
+    def words(self, block, blob, n):
+        return word_messages(Block(block, blob), n)
+
+    def begun(self, block, blob, got, n):
+        return State.of_words(Block(block, blob), self.window, n, got).bytes()
+
+    def symbols(self, state, r, n):
+        return State.read(state, self.window).collapse(r).messages(n)
+
+    def renamed(self, state, got, r, n):
+        return State.read(state, self.window).collapse(r).apply(r, n, got).bytes()
+
+    def anchors(self, block, blob, state, n):
+        pieces = Pieces(Block(block, blob), State.read(state, self.window))
+        return pieces.names.messages(n, pieces.text)
+
+    def plan(self, block, blob, state, got, n):
+        return Plan(Block(block, blob), State.read(state, self.window), got, n)
+
+    def answer_plan(self, bucket, blocks, payloads):
+        return answer_windows(payloads) if bucket & 1 else answer_pieces(payloads, self.window)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): one row for each row of docs."""
-    return WordRepeats(window).run(docs, text)
+    op, scratch = WordRepeats(window, rounds), Scratch(docs.sparkSession, "recompress")
+    blocks, total = blocks_of(docs, text, scratch)
+    n = max(1, round(total / grown(total, ANCHOR_BYTES, *BUCKET_BYTES)))
+    wait = scratch.release if total > WORTH_WAITING else lambda: None
+    got = ask(blocks, lambda b, blob: op.words(b, blob, n), lambda b, blocks, p: answer_words(p), "got")
+    state = blocks.join(got, "block", "left").select("block", "blob", "got")
+    state = scratch.keep(each(state, lambda b, blob, g: [(b, op.begun(b, blob, answers(g), n))], STATE), "state")
+    del got
+    for r in range(1, rounds + 1):
+        wait()
+        state = _next(op, scratch, state, r, n)
+    wait()
+    both = blocks.join(state, "block").select("block", "blob", "state")
+    got1 = scratch.keep(ask(both, lambda b, blob, s: op.anchors(b, blob, s, n), lambda b, blocks, p: answer_names(p), "got1"), "got1")
+    del both
+    wait()
+    asked = blocks.join(state, "block").join(got1, "block", "left").select("block", "blob", "state", "got1")
+    got2 = ask(asked, lambda b, blob, s, g: op.plan(b, blob, s, answers(g), n).messages(), op.answer_plan, "got2")
+    got = scratch.keep(got1.join(got2, "block", "left"), "got2")
+    del asked, got2
+    wait()
+    whole = blocks.join(state, "block").join(got, "block", "left").select("block", "blob", "state", "got1", "got2")
+    return each(whole, lambda b, blob, s, g1, g2: op.plan(b, blob, s, answers(g1), n).finish(answers(g2)), COLUMNS)
+
+
+def _next(op: WordRepeats, scratch: Scratch, state: DataFrame, r: int, n: int) -> DataFrame:
+    """The blocks after round r of naming."""
+    got = ask(state, lambda b, s: op.symbols(s, r, n), lambda b, blocks, p: answer_symbols(p), "got")
+    told = state.join(got, "block", "left").select("block", "state", "got")
+    new = scratch.keep(each(told, lambda b, s, g: [(b, op.renamed(s, answers(g), r, n))], STATE), "state")
+    scratch.drop(state)
+    return new

@@ -42,27 +42,44 @@ def brute_words(docs, window=20):
     return out
 
 
-def simulated(op, docs, blocks, one=2, two=3):
-    """The rounds without Spark."""
-    import pyarrow as pa
-
+def routed(messages, f):
+    """The answers to messages (bucket, block, payload), by block and bucket."""
+    by, got = {}, {}
+    for b, k, p in messages:
+        by.setdefault(b, []).append((k, p))
+    for b, rows in by.items():
+        rows.sort(key=lambda r: r[0])
+        for (k, _), x in zip(rows, f(b, [k for k, _ in rows], [p for _, p in rows]), strict=True):
+            got.setdefault(k, {})[b] = x
+    return got
+
+
+def blobs(docs, blocks):
     parts = [docs[k::blocks] for k in range(blocks)]
-    made = [Block(k, Block.pack(p)) for k, p in enumerate(parts) if p]
+    return [(k, Block.pack(p)) for k, p in enumerate(parts) if p]
 
-    def route(messages, f):
-        by, got = {}, {}
-        for b, k, p in messages:
-            by.setdefault(b, []).append((k, p))
-        for b, rows in by.items():
-            t = pa.table({"block": [k for k, _ in rows], "payload": [p for _, p in rows]})
-            for r in f((pa.scalar(b),), t).to_pylist():
-                got.setdefault(r["block"], {})[r["bucket"]] = r["answer"]
-        return got
 
-    first = route([m for b in made for m in exchange.anchor_messages(b.block, op.anchors(b)[0], one)], exchange.answer_anchors)
-    asked = [(k, b.block, p) for b in made for k, p in op.second(b, first.get(b.block, {}), one, two)]
-    second = route(asked, op.answer)
-    return sorted(r for b in made for r in op.finish(b, first.get(b.block, {}), second.get(b.block, {}), one, two))
+def simulated(op, docs, blocks, one=2, two=3):
+    """The rounds without Spark."""
+    made = blobs(docs, blocks)
+    first = routed([(b, k, p) for k, blob in made for b, p in op.first(k, blob, one, two)], op.answer_first)
+    second = routed([(b, k, p) for k, blob in made for b, p in op.second(k, blob, first.get(k, {}), one, two)], op.answer_second)
+    return sorted(r for k, blob in made for r in op.finish(k, blob, first.get(k, {}), second.get(k, {}), one, two))
+
+
+def recompressed(docs, blocks, n=3, window=20):
+    """The rounds of recompression without Spark."""
+    op, made = recompress.WordRepeats(window), blobs(docs, blocks)
+    by = lambda f: lambda b, blocks, p: f(p)
+    got = routed([(b, k, p) for k, blob in made for b, p in op.words(k, blob, n)], by(recompress.answer_words))
+    state = {k: op.begun(k, blob, got.get(k, {}), n) for k, blob in made}
+    for r in range(1, op.rounds + 1):
+        got = routed([(b, k, p) for k in state for b, p in op.symbols(state[k], r, n)], by(recompress.answer_symbols))
+        state = {k: op.renamed(s, got.get(k, {}), r, n) for k, s in state.items()}
+    got = routed([(b, k, p) for k, blob in made for b, p in op.anchors(k, blob, state[k], n)], by(exchange.answer_names))
+    plan = {k: op.plan(k, blob, state[k], got.get(k, {}), n) for k, blob in made}
+    told = routed([(b, k, p) for k in plan for b, p in plan[k].messages()], op.answer_plan)
+    return sorted(r for k in plan for r in plan[k].finish(told.get(k, {})))
 
 
 def byte_docs(rng, alphabet):
@@ -75,9 +92,11 @@ def byte_docs(rng, alphabet):
 
 
 @pytest.mark.parametrize("seed", range(6))
-@pytest.mark.parametrize("crowded", [0, 16])
-def test_bytes(seed, crowded, monkeypatch):
+@pytest.mark.parametrize(("crowded", "widespread"), [(0, 4096), (16, 4096), (16, 1), (2, 2)])
+def test_bytes(seed, crowded, widespread, monkeypatch):
     monkeypatch.setattr(exchange, "CROWDED", crowded)
+    monkeypatch.setattr(exchange, "WIDESPREAD", widespread)
+    monkeypatch.setattr(suffix, "SORTED", 50)
     rng = random.Random(seed)
     docs = byte_docs(rng, b"ab" if seed % 2 else b"abcdefgh \n\xc3\xa9")
     want = brute_bytes(docs)
@@ -98,12 +117,15 @@ def word_docs(rng, size):
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_words(seed):
+@pytest.mark.parametrize(("crowded", "widespread"), [(16, 4096), (0, 4096), (16, 1)])
+def test_words(seed, crowded, widespread, monkeypatch):
+    monkeypatch.setattr(exchange, "CROWDED", crowded)
+    monkeypatch.setattr(exchange, "WIDESPREAD", widespread)
     rng = random.Random(seed)
     docs = word_docs(rng, [2, 3, 50, 1000][seed % 4])
     want = brute_words(docs)
     rng.shuffle(docs)
-    assert simulated(recompress.WordRepeats(), docs, rng.choice([1, 3, 7])) == want
+    assert recompressed(docs, rng.choice([1, 3, 7])) == want
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -117,14 +139,32 @@ def test_long_documents(seed, monkeypatch):
     assert simulated(suffix.ByteRepeats(), docs, 2) == brute_bytes(docs)
     docs = word_docs(rng, [3, 60, 500][seed])
     docs += [(50, b" ".join(t for _, t in docs[:12])), (51, b"  ".join(t for _, t in docs[5:30])), (52, b"x" * 500 + b" y" * 300)]
-    assert simulated(recompress.WordRepeats(), docs, 2) == brute_words(docs)
+    assert recompressed(docs, 2) == brute_words(docs)
 
 
 @given(st.lists(st.text("ab ", max_size=120), min_size=1, max_size=6), st.integers(1, 3))
 @settings(max_examples=40, deadline=None)
 def test_small_words(texts, blocks):
     docs = [(i, t.encode()) for i, t in enumerate(texts)]
-    assert simulated(recompress.WordRepeats(), docs, blocks) == brute_words(docs)
+    assert recompressed(docs, blocks) == brute_words(docs)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_equal_hashes_decide_nothing(seed, monkeypatch):
+    """Where all hashes of windows, words and anchors are equal, the results are the same."""
+    import types
+
+    fixed = types.SimpleNamespace(xxh3_64_intdigest=lambda data: 7, xxh64_intdigest=lambda data: 7)
+    monkeypatch.setattr(exchange, "xxhash", fixed)
+    monkeypatch.setattr(recompress, "xxhash", fixed)
+    monkeypatch.setattr(recompress, "mix64", lambda x: x * np.uint64(0) + (x & np.uint64(1)) * np.uint64(1 << 63))
+    rng = random.Random(seed)
+    docs = word_docs(rng, [3, 200][seed])
+    assert recompressed(docs, 3) == brute_words(docs)
+    monkeypatch.setattr(exchange, "CROWDED", 0)
+    assert recompressed(docs, 3) == brute_words(docs)
+    docs = byte_docs(rng, b"abcd \n")
+    assert simulated(suffix.ByteRepeats(), docs, 3) == brute_bytes(docs)
 
 
 @given(st.text("ab", min_size=1, max_size=60))
@@ -158,6 +198,14 @@ def test_in_spark(spark, run, brute):
     assert got == brute([(i, (t or "").encode()) for i, t in texts.items()])
 
 
+@pytest.mark.parametrize(("run", "brute"), [(suffix.remove_repeats, brute_bytes), (recompress.remove_repeats, brute_words)])
+def test_driver_table(spark, sf_dir, run, brute):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute([(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()])
+    assert sum(r[2] for r in want) > 0
+    assert sorted(tuple(r) for r in run(docs).collect()) == want
+
+
 @pytest.mark.parametrize("run", [suffix.remove_repeats, recompress.remove_repeats])
 def test_edges(spark, run):
     assert run(frame(spark, [])).collect() == []
