@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx, text as X
 from .entities import hash_order
+from .ranges import running
 
-ANSWER_TYPES = ("explanation", "advice", "story")
 PER_CONTEXT = 5
 LEAST_OUTPUT = {"zh": 50, "en": 100}
 
-# What stands for missing fields, and names of groups in Chinese.
+# The kinds of answers, in turn; what stands for missing fields, and names of groups in Chinese.
+ANSWER_TYPES = ("cultural_behavior_explanation", "cultural_value_analysis", "cultural_norm_reasoning")
 MISSING = {
     "en": {"cultural_group": "General", "context": "everyday situations", "topic": "Culture", "actor_behavior": "various behaviors", "goal": "N/A", "relation": "N/A"},
     "zh": {"cultural_group": "一般", "context": "日常生活", "topic": "文化", "actor_behavior": "各种行为", "goal": "N/A", "relation": "N/A"},
@@ -78,13 +79,14 @@ def drawn(pool: DataFrame, contexts: DataFrame, per_context: int = PER_CONTEXT,
     return turns.join(dealt, "ctx_rn").select(context_key, "ctx_rn", "idioms")
 
 
-def answer_type(rn, key, seed: int = 42, share: float = 0.2) -> Column:
-    """Types in turn, but a seeded fifth by hash."""
+def with_answer_types(rows: DataFrame, rn: str, key: str, seed: int = 42, share: float = 0.2) -> DataFrame:
+    """rows with answer_type: a seeded fifth by hash; the others in turn, in order of rn, which random ones do not advance."""
     types = F.array(*(F.lit(t) for t in ANSWER_TYPES))
     spin = F.conv(F.substring(hash_order(seed, key), 1, 8), 16, 10).cast("long")
-    chosen = F.element_at(types, (F.pmod(spin, F.lit(len(ANSWER_TYPES))) + 1).cast("int"))
-    turn = F.element_at(types, (F.pmod(F.col(rn), F.lit(len(ANSWER_TYPES))) + 1).cast("int"))
-    return F.when(spin < share * (1 << 32), chosen).otherwise(turn)
+    chance = spin < share * (1 << 32)
+    turned = running(rows.withColumn("_own", F.when(chance, 0).otherwise(1)), rn, "_own", "_turn")
+    at = F.pmod(F.when(chance, spin).otherwise(F.col("_turn")), F.lit(len(ANSWER_TYPES))) + 1
+    return turned.withColumn("answer_type", F.element_at(types, at.cast("int"))).drop("_own", "_turn")
 
 
 def analysis_index(clusters: DataFrame) -> DataFrame:

@@ -149,3 +149,9 @@ def extracted_definitions(merged: DataFrame, sources: tuple[str, ...] = ("source
     none = "array<struct<definition:string,example:array<string>,source_input:string>>"
     flat = F.concat(*(F.coalesce(F.col(s), F.array().cast(none)) for s in sources))
     return merged.select("idiom", F.filter(flat, lambda e: X.non_empty(e["definition"]).isNotNull()).alias("meanings"))
+
+
+def sense_groups(lines: DataFrame, key: str = "page", pos: str = "line_no", line: str = "line", mark: str = "# ") -> DataFrame:
+    """lines with sense: how many lines that begin with the mark stand up to each; 0 before the first."""
+    w = Window.partitionBy(key).orderBy(pos)
+    return lines.withColumn("sense", F.sum(F.startswith(line, F.lit(mark)).cast("int")).over(w).cast("long"))

@@ -10,7 +10,9 @@ document's character n-grams and a check, in the JVM only.
 from __future__ import annotations
 
 import importlib.util
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,14 +61,9 @@ def _grams(docs, pats, body, key):
 
 
 def _automaton(docs, pats, body, key, word_boundary):
-    spark = docs.sparkSession
-    total = pats.count()
-    groups = max(1, -(-total // MAX_BROADCAST))
     kind = docs.schema[key].dataType.simpleString()
     out = None
-    for g in range(groups):
-        part = pats.where(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g) if groups > 1 else pats
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.select("pattern", "idiom").collect()])
+    for shared in _broadcasts(pats.select("pattern", "idiom")):
         found = docs.select(F.col(key), body.alias("_body")).mapInArrow(
             _searcher(shared, key), f"`{key}` {kind}, pattern string, idiom string"
         )
@@ -74,6 +71,14 @@ def _automaton(docs, pats, body, key, word_boundary):
     return out
 
 
+def _broadcasts(pats):
+    """The phrases in broadcasts of about MAX_BROADCAST."""
+    groups = max(1, -(-pats.count() // MAX_BROADCAST))
+    for g in range(groups):
+        part = pats.where(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g) if groups > 1 else pats
+        yield pats.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+
+
 def _searcher(shared, key):
     def run(batches):
         import ahocorasick
@@ -131,11 +136,39 @@ def doc_counts(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def matching_docs(docs: DataFrame, pats: DataFrame, language: str = "en", strategy: str | None = None, key: str = "doc_id") -> DataFrame:
-    """Documents that contain a phrase. For small lists a semi-join that stops at the first hit."""
+    """The rows of docs whose text contains a phrase; each row is judged by its own text, whatever its key.
+
+    A semi-join that stops at the first hit for small lists, a filter by the automaton
+    for others, and by n-grams a semi-join on the text itself.
+    """
     strategy = strategy or strategy_for(pats.limit(NESTED + 1).count())
+    body = _searched(docs, language, "text")
     if strategy == "nested":
-        return docs.join(F.broadcast(pats), F.contains(_searched(docs, language, "text"), F.col("pattern")), "left_semi")
-    return docs.join(match(docs, pats, language, strategy, key).select(key).distinct(), key, "left_semi")
+        return docs.join(F.broadcast(pats), F.contains(body, F.col("pattern")), "left_semi")
+    if strategy == "automaton":
+        found = F.lit(False)
+        for shared in _broadcasts(pats.select("pattern")):
+            found = found | _holds(shared)(body)
+        return docs.where(found)
+    named = docs.select(F.sha2(body, 256).alias("_body_key"), body.alias("text")).dropDuplicates(["_body_key"])
+    hits = _grams(named, pats, F.col("text"), "_body_key").select("_body_key").distinct()
+    return docs.join(hits, F.sha2(body, 256) == F.col("_body_key"), "left_semi")
+
+
+def _holds(shared):
+    @F.pandas_udf("boolean")
+    def holds(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for (p,) in shared.value:
+            machine.add_word(p, True)
+        if shared.value:
+            machine.make_automaton()
+        for part in bodies:
+            yield pd.Series([bool(shared.value) and next(machine.iter(b), None) is not None for b in part], dtype=bool)
+
+    return holds
 
 
 def ordinals(docs: DataFrame, key: str = "doc_id", skip: int = 0, limit: int = 0, name: str = "doc_index") -> DataFrame:
@@ -168,6 +201,28 @@ def index_report(docs: DataFrame, matched: DataFrame, language: str, dataset: st
     )
 
 
+def run_reports(docs: DataFrame, matched: DataFrame, language: str, dataset: str, size: int, split: str = "train") -> DataFrame:
+    """A report for each run of size documents; the list of a run has size indices at most."""
+    run = F.floor(F.col("doc_index") / size).cast("long").alias("run")
+    seen = docs.groupBy(run).agg(F.count("*").alias("total_processed"))
+    hits = matched.groupBy(run).agg(F.count("*").alias("total_matched"), F.sort_array(F.collect_list("doc_index")).alias("doc_indices"))
+    none = F.array().cast("array<long>")
+    return seen.join(hits, "run", "left").select(
+        F.lit(language).alias("lang"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), (F.col("run") * size).alias("skip_docs"),
+        "total_processed", F.coalesce("total_matched", F.lit(0)).alias("total_matched"), F.coalesce("doc_indices", none).alias("doc_indices"),
+    )
+
+
+def progress_log(docs: DataFrame, matched: DataFrame, every: int = 10_000) -> DataFrame:
+    """One row for each batch of documents (doc_index dense): how many were seen and matched, in it and up to its end."""
+    batch = F.floor(F.col("doc_index") / every).cast("long").alias("batch")
+    seen = docs.groupBy(batch).agg(F.count("*").alias("processed"))
+    log = seen.join(matched.groupBy(batch).agg(F.count("*").alias("matched")), "batch", "left").na.fill(0, ["matched"])
+    out = ranges.running(ranges.running(log, "batch", "processed", "p"), "batch", "matched", "m")
+    total = [(F.col(a) + F.col(b)).alias(f"total_{b}") for a, b in (("p", "processed"), ("m", "matched"))]
+    return out.select(((F.col("batch") + 1) * every).alias("upto"), "processed", "matched", *total)
+
+
 def progress(docs: DataFrame, matched: DataFrame) -> DataFrame:
     """One row of totals and the share of matched documents in percent."""
     a, b = docs.agg(F.count("*").alias("total_processed")), matched.agg(F.count("*").alias("total_matched"))

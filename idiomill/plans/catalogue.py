@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import session
 from ..functions import jsonx
 from ..functions import text as X
 from ..operators import clusters, entities, instruct, lexicon, match, models, stats, vectors, wikitext
 from ..sources import readers
 from ..streaming import filter as stream
 from . import pipelines, proxies
-from .proxies import IDIOMS, MEANINGS, PAIR_LISTS, PAIRS, PHRASES, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE_SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
-def shown(c, sep: str = "|"):
-    """An array as text."""
-    return F.array_join(c, sep)
-
+from .proxies import IDIOMS, MANY_PAIRS, MEANINGS, PAIR_LISTS, PAIRS, PHRASES, table
+from .registry import ORACLE_SQL, QUERIES, fresh_folder, query, shown  # noqa: F401
 
 # --- phrases in documents -----------------------------------------------------------
 
@@ -72,14 +49,41 @@ def filtered_docs(spark, d):
     return match.filtered(match.matching_docs(docs, match.patterns(proxies.phrases(spark, d))), "en")
 
 
-@query(f"""WITH {PAIRS}, part_ AS (SELECT * FROM num WHERE doc_index >= 100 AND doc_index < 600)
-SELECT 'en' AS lang, 'documents' AS dataset, 'train' AS split, 100::BIGINT AS skip_docs, count(*) AS total_processed,
+@query(f"WITH {MANY_PAIRS} SELECT idiom, count(*) AS doc_count FROM prs GROUP BY idiom")
+def idiom_doc_counts_many(spark, d):
+    """More phrases than are joined by contains: the default strategy is the automaton."""
+    return match.doc_counts(match.match(table(spark, d, "documents"), match.patterns(proxies.many_phrases(spark, d))))
+
+
+@query(f"WITH {MANY_PAIRS} SELECT text, '' AS url, '' AS timestamp, 'mc4-en' AS source, doc_index FROM hit")
+def filtered_docs_many(spark, d):
+    docs = match.ordinals(table(spark, d, "documents"))
+    return match.filtered(match.matching_docs(docs, match.patterns(proxies.many_phrases(spark, d))), "en")
+
+
+@query(f"""WITH {PAIRS} SELECT 'en' AS lang, 'documents' AS dataset, 'train' AS split, 0::BIGINT AS skip_docs, count(*) AS total_processed,
  count_if(doc_id IN (SELECT doc_id FROM prs))::BIGINT AS total_matched,
- string_agg(CASE WHEN doc_id IN (SELECT doc_id FROM prs) THEN doc_index::VARCHAR END, '|' ORDER BY doc_index) AS doc_indices FROM part_""")
+ string_agg(CASE WHEN doc_id IN (SELECT doc_id FROM prs) THEN doc_index::VARCHAR END, '|' ORDER BY doc_index) AS doc_indices FROM num""")
 def doc_indices(spark, d):
-    docs = match.ordinals(table(spark, d, "documents"), skip=100, limit=500)
+    docs = match.ordinals(table(spark, d, "documents"))
     hits = match.matching_docs(docs, match.patterns(proxies.phrases(spark, d)))
-    return match.index_report(docs, hits, "en", "documents", skip=100).withColumn("doc_indices", shown("doc_indices"))
+    return match.index_report(docs, hits, "en", "documents").withColumn("doc_indices", shown("doc_indices"))
+
+
+@query(f"""WITH {PAIRS} SELECT (cast(floor(doc_index / 250) AS BIGINT) + 1) * 250 AS upto, count(*) AS processed,
+ count_if(doc_id IN (SELECT doc_id FROM prs))::BIGINT AS matched, (sum(count(*)) OVER o)::BIGINT AS total_processed,
+ (sum(count_if(doc_id IN (SELECT doc_id FROM prs))) OVER o)::BIGINT AS total_matched FROM num GROUP BY cast(floor(doc_index / 250) AS BIGINT)
+ WINDOW o AS (ORDER BY cast(floor(doc_index / 250) AS BIGINT))""")
+def progress_log(spark, d):
+    docs = match.ordinals(table(spark, d, "documents"))
+    return match.progress_log(docs, match.matching_docs(docs, match.patterns(proxies.phrases(spark, d))), 250)
+
+
+@query(f"WITH {PHRASES} SELECT DISTINCT d.doc_id, p.idiom, 'mc4-hi' AS source FROM documents d JOIN (SELECT DISTINCT idiom FROM phr) p ON contains(d.text, p.idiom)")
+def hindi_pairs(spark, d):
+    """A language that is matched as it is written."""
+    found = match.match(table(spark, d, "documents"), match.patterns(proxies.phrases(spark, d), "hi"), "hi")
+    return found.select("doc_id", "idiom", F.lit("mc4-hi").alias("source"))
 
 
 @query(f"""WITH {PAIRS} SELECT (SELECT count(*) FROM documents) AS total_processed, count(*) AS total_matched,
@@ -105,8 +109,8 @@ def context_snippets(spark, d):
 @query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY idiom, doc_id % 4 ORDER BY doc_id) AS n FROM prs)
 SELECT idiom, doc_id, doc_id % 4 AS shard FROM r WHERE n <= 2""")
 def shard_capped_docs(spark, d):
-    w = Window.partitionBy("idiom", "shard").orderBy("doc_id")
-    return _pairs(spark, d).withColumn("shard", F.col("doc_id") % 4).withColumn("n", F.row_number().over(w)).where("n <= 2").select("idiom", "doc_id", "shard")
+    pairs = _pairs(spark, d).withColumn("shard", F.col("doc_id") % 4)
+    return match.snippets(table(spark, d, "documents"), pairs, 50, 2, shard="shard").select("idiom", "doc_id", (F.col("doc_id") % 4).alias("shard"))
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY substr(text, 1, 500)")
@@ -161,15 +165,12 @@ def occurrence_report(spark, d):
     return match.occurrence_report(docs, phrases, "en").unionByName(match.occurrence_report(docs, phrases, "hi"))
 
 
-@query(f"""WITH {PAIRS}, r AS (SELECT *, cast(floor(doc_index / 300) AS BIGINT) AS run FROM num)
-SELECT 'en' AS lang, 'documents' AS dataset, count(*) AS total_processed, count_if(doc_id IN (SELECT doc_id FROM prs))::BIGINT AS total_matched,
- string_agg(CASE WHEN doc_id IN (SELECT doc_id FROM prs) THEN doc_index::VARCHAR END, '|' ORDER BY doc_index) AS doc_indices FROM r WHERE run < 2""")
+@query(f"""WITH {PAIRS} SELECT 'en' AS lang, 'documents' AS dataset, count(*) AS total_processed, count_if(doc_id IN (SELECT doc_id FROM prs))::BIGINT AS total_matched,
+ string_agg(CASE WHEN doc_id IN (SELECT doc_id FROM prs) THEN doc_index::VARCHAR END, '|' ORDER BY doc_index) AS doc_indices FROM num""")
 def merged_doc_indices(spark, d):
-    parts = []
-    for skip in (300, 0):
-        docs = match.ordinals(table(spark, d, "documents"), skip=skip, limit=300)
-        parts.append(match.index_report(docs, match.matching_docs(docs, match.patterns(proxies.phrases(spark, d))), "en", "documents", skip=skip))
-    return match.merged_reports(parts[0].unionByName(parts[1])).withColumn("doc_indices", shown("doc_indices"))
+    docs = match.ordinals(table(spark, d, "documents"))
+    hits = match.matching_docs(docs, match.patterns(proxies.phrases(spark, d)))
+    return match.merged_reports(match.run_reports(docs, hits, "en", "documents", 300)).withColumn("doc_indices", shown("doc_indices"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents ORDER BY doc_id LIMIT 300 OFFSET 200")
@@ -181,19 +182,16 @@ def range_slice(spark, d):
 
 
 def _sources(spark, d):
+    """Names, names with a capital letter, and brands of all parts."""
     part = table(spark, d, "part")
-    row = lambda df, name: df.select(name.alias("idiom"), F.col("p_type").alias("definition"), F.array("p_brand").alias("patterns"), F.col("p_partkey").alias("row_pos"))
+    row = lambda name: part.select(name.alias("idiom"), F.col("p_type").alias("definition"), F.array("p_brand").alias("patterns"), F.col("p_partkey").alias("row_pos"))
     upper = F.concat(F.upper(F.left("p_name", F.lit(1))), F.substr("p_name", F.lit(2)))
-    return [
-        ("a", row(part.where("p_partkey % 2 = 0"), F.col("p_name"))),
-        ("wiktionary", row(part.where("p_partkey % 3 = 0"), upper)),
-        ("c", row(part.where("p_partkey % 5 = 0"), F.col("p_name"))),
-    ]
+    return [("a", row(F.col("p_name"))), ("wiktionary", row(upper)), ("c", row(F.col("p_brand")))]
 
 
-_MERGE = """src AS (SELECT p_name AS idiom, 'a' AS source, 0 AS f, p_partkey AS r, p_type AS def FROM part WHERE p_partkey % 2 = 0
-UNION ALL SELECT upper(left(p_name, 1)) || substr(p_name, 2), 'wiktionary', 1, p_partkey, p_type FROM part WHERE p_partkey % 3 = 0
-UNION ALL SELECT p_name, 'c', 2, p_partkey, p_type FROM part WHERE p_partkey % 5 = 0),
+_MERGE = """src AS (SELECT p_name AS idiom, 'a' AS source, 0 AS f, p_partkey AS r, p_type AS def FROM part
+UNION ALL SELECT upper(left(p_name, 1)) || substr(p_name, 2), 'wiktionary', 1, p_partkey, p_type FROM part
+UNION ALL SELECT p_brand, 'c', 2, p_partkey, p_type FROM part),
 key AS (SELECT *, lower(left(idiom, 1)) || substr(idiom, 2) AS k FROM src),
 mrg AS (SELECT k, coalesce(arg_max(idiom, r) FILTER (WHERE source = 'wiktionary'), arg_min(idiom, f * 100000000 + r)) AS idiom,
  count(*) AS n, string_agg(source || ':' || def, '|' ORDER BY f, r) AS sources FROM key GROUP BY k)"""
@@ -218,22 +216,22 @@ def lexicon_wide(spark, d):
     return out.select("idiom", text("source1"), text("source2"))
 
 
-@query("""WITH s AS (SELECT p_name AS idiom, p_partkey % 4 AS k, p_brand AS v FROM part WHERE p_partkey % 3 <> 0)
+@query("""WITH s AS (SELECT p_name AS idiom, p_partkey % 4 AS k, p_brand AS v FROM part)
 SELECT idiom, string_agg(v, '|' ORDER BY v) FILTER (WHERE k = 0) AS source1, string_agg(v, '|' ORDER BY v) FILTER (WHERE k = 1) AS source2,
  string_agg(v, '|' ORDER BY v) FILTER (WHERE k = 2) AS source3, string_agg(v, '|' ORDER BY v) FILTER (WHERE k = 3) AS source4 FROM s GROUP BY idiom""")
 def four_way_merge(spark, d):
-    rows = table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_name").alias("idiom"), F.col("p_brand").alias("value"), (F.col("p_partkey") % 4).alias("k"))
+    rows = table(spark, d, "part").select(F.col("p_name").alias("idiom"), F.col("p_brand").alias("value"), (F.col("p_partkey") % 4).alias("k"))
     out = lexicon.full_outer([rows.where(F.col("k") == k).drop("k") for k in range(4)])
     return out.select("idiom", *(shown(F.array_sort(f"source{k}")).alias(f"source{k}") for k in range(1, 5)))
 
 
-@query("""WITH a AS (SELECT p_name AS key, arg_max(p_brand, p_partkey) AS definition FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name),
-b AS (SELECT p_name AS key, string_agg(p_type, '|' ORDER BY p_partkey) AS sentences FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name)
+@query("""WITH a AS (SELECT p_name AS key, arg_max(p_brand, p_partkey) AS definition FROM part GROUP BY p_name),
+b AS (SELECT p_brand AS key, string_agg(p_type, '|' ORDER BY p_partkey) AS sentences FROM part GROUP BY p_brand)
 SELECT coalesce(a.key, b.key) AS key, definition, sentences FROM a FULL JOIN b ON a.key = b.key""")
 def definitions_with_sentences(spark, d):
     part = table(spark, d, "part")
-    row = lambda m, v: part.where(f"p_partkey % {m} = 0").select(F.col("p_name").alias("key"), F.col(v).alias("value"), F.col("p_partkey").alias("pos"))
-    out = lexicon.definitions_with_sentences(row(2, "p_brand"), row(3, "p_type"))
+    row = lambda k, v: part.select(F.col(k).alias("key"), F.col(v).alias("value"), F.col("p_partkey").alias("pos"))
+    out = lexicon.definitions_with_sentences(row("p_name", "p_brand"), row("p_brand", "p_type"))
     return out.withColumn("sentences", shown("sentences"))
 
 
@@ -243,14 +241,15 @@ def resume_anti(spark, d):
     return lexicon.unprocessed(rows, rows.where("index % 3 = 0"))
 
 
-@query("""WITH n AS (SELECT lower(left(p_name, 1)) || substr(p_name, 2) AS idiom, p_partkey AS pos, p_type AS meaning FROM part WHERE p_partkey % 2 = 0),
+@query("""WITH n AS (SELECT lower(left(p_name, 1)) || substr(p_name, 2) AS idiom, p_partkey AS pos, p_type AS meaning FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY idiom ORDER BY pos) AS k FROM n WHERE idiom NOT IN
- (SELECT lower(left(p_name, 1)) || substr(p_name, 2) FROM part WHERE p_partkey % 31 = 0)) SELECT idiom, pos, meaning FROM r WHERE k = 1""")
+ (SELECT lower(left(c_name, 1)) || substr(c_name, 2) FROM customer UNION ALL SELECT p_name FROM part WHERE p_size = 1)) SELECT idiom, pos, meaning FROM r WHERE k = 1""")
 def kb_append(spark, d):
     part = table(spark, d, "part")
     upper = F.concat(F.upper(F.left("p_name", F.lit(1))), F.substr("p_name", F.lit(2)))
-    new = part.where("p_partkey % 2 = 0").select(upper.alias("idiom"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("meaning"))
-    return lexicon.appended(part.where("p_partkey % 31 = 0").select(F.col("p_name").alias("idiom")), new)
+    new = part.select(upper.alias("idiom"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("meaning"))
+    known = table(spark, d, "customer").select(F.col("c_name").alias("idiom")).unionByName(part.where("p_size = 1").select(F.col("p_name").alias("idiom")))
+    return lexicon.appended(known, new)
 
 
 @query("""WITH q AS (SELECT p_partkey AS "index", p_name AS idiom, cast(floor((p_partkey - 1) / 10) AS BIGINT) AS chunk, p_type FROM part),
@@ -644,9 +643,79 @@ def bilingual_clusters(spark, d):
     return pipelines.same_meaning(proxies.meanings(spark, d, 0), proxies.meanings(spark, d, 1), SIM, SIM)["clusters"]
 
 
-@query()
+_CLAIMED = """pr AS (SELECT n_nationkey AS pair_id, n_nationkey * 3 % 25 AS zh_idx, (n_nationkey * 7 + n_regionkey) % 25 AS en_idx FROM nation),
+nr AS (SELECT n_nationkey AS pair_id, n_regionkey, unnest(range(4)) AS k FROM nation),
+zn AS (SELECT pair_id, list_sort(list_distinct(list((pair_id * 5 + k * (n_regionkey + 2)) % 25))) AS near FROM nr GROUP BY pair_id),
+en AS (SELECT pair_id, list_sort(list_distinct(list((pair_id * 11 + k * 3) % 25))) AS near FROM nr GROUP BY pair_id)"""
+
+
+def _claimed(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pair_id"), F.col("n_regionkey").cast("long").alias("r"))
+    pairs = n.select("pair_id", (F.col("pair_id") * 3 % 25).alias("zh_idx"), ((F.col("pair_id") * 7 + F.col("r")) % 25).alias("en_idx"))
+    near = n.select("pair_id", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
+    zh = near.select("pair_id", ((F.col("pair_id") * 5 + F.col("k") * (F.col("r") + 2)) % 25).alias("idx")).distinct()
+    en = near.select("pair_id", ((F.col("pair_id") * 11 + F.col("k") * 3) % 25).alias("idx")).distinct()
+    return pairs, clusters.claim_clusters(pairs, zh, en)
+
+
+_CLAIMS = f"""WITH RECURSIVE {_CLAIMED}, c AS (SELECT pr.pair_id, zh_idx, en_idx, zn.near AS z, en.near AS e FROM pr JOIN zn USING (pair_id) JOIN en USING (pair_id)),
+s AS (SELECT -1::BIGINT AS pair_id, []::BIGINT[] AS uz, []::BIGINT[] AS ue, []::BIGINT[] AS mz, []::BIGINT[] AS me
+UNION ALL SELECT pair_id, list_concat(uz, mz), list_concat(ue, me), mz, me FROM (
+ SELECT c.pair_id, uz, ue,
+  CASE WHEN list_contains(uz, zh_idx) OR list_contains(ue, en_idx) THEN [] ELSE list_concat([zh_idx], list_filter(z, lambda x: x <> zh_idx AND NOT list_contains(uz, x))) END AS mz,
+  CASE WHEN list_contains(uz, zh_idx) OR list_contains(ue, en_idx) THEN [] ELSE list_concat([en_idx], list_filter(e, lambda x: x <> en_idx AND NOT list_contains(ue, x))) END AS me
+ FROM s JOIN c ON c.pair_id = s.pair_id + 1)),
+cl AS (SELECT pair_id, 'zh' AS side, unnest(mz) AS idx FROM s UNION ALL SELECT pair_id, 'en', unnest(me) FROM s)"""
+
+
+@query(f"{_CLAIMS} SELECT pair_id, side, idx FROM cl")
+def claimed_clusters(spark, d):
+    return _claimed(spark, d)[1]
+
+
+@query(f"""{_CLAIMS}, n AS (SELECT pair_id, count_if(side = 'zh') AS zh, count_if(side = 'en') AS en FROM cl GROUP BY pair_id)
+SELECT count(*) AS clusters, min(zh) AS zh_min, max(zh) AS zh_max, round(avg(zh), 6) AS zh_avg, sum(zh)::BIGINT AS zh_sum,
+ min(en) AS en_min, max(en) AS en_max, round(avg(en), 6) AS en_avg, sum(en)::BIGINT AS en_sum FROM n""")
 def cluster_sizes(spark, d):
-    return clusters.size_summary(bilingual_clusters(spark, d))
+    return clusters.size_summary(_claimed(spark, d)[1])
+
+
+@query(f"""{_CLAIMS}, m AS (SELECT n_nationkey AS idx, n_name AS idiom FROM nation),
+g AS (SELECT pair_id, side, count(*) AS n, string_agg(idiom, '|' ORDER BY idx) AS names FROM cl JOIN m USING (idx) GROUP BY pair_id, side)
+SELECT CASE WHEN pr.pair_id % 2 = 0 THEN 'm' || pr.pair_id ELSE 'first of ' || (SELECT idiom FROM m WHERE idx = en_idx) END AS shared_meaning, z.n AS zh_idiom_count, e.n AS en_idiom_count,
+ z.names AS zh_names, e.names AS en_names, (SELECT idiom FROM m WHERE idx = zh_idx) AS anchor_zh_idiom, (SELECT idiom FROM m WHERE idx = en_idx) AS anchor_en_idiom
+FROM pr JOIN g z ON z.pair_id = pr.pair_id AND z.side = 'zh' JOIN g e ON e.pair_id = pr.pair_id AND e.side = 'en'""")
+def formatted_clusters(spark, d):
+    pairs, made = _claimed(spark, d)
+    meta = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("idiom"),
+        F.array(F.concat(F.lit("first of "), "n_name"), "n_name").alias("figurative_meanings"), F.array("n_name").alias("entities"),
+    )
+    name = lambda side: meta.select(F.col("idx").alias(f"{side}_idx"), F.col("idiom").alias(f"{side}_idiom"), F.col("figurative_meanings").alias(f"{side}_figurative_meanings"))
+    matched = F.when(F.col("pair_id") % 2 == 0, F.concat(F.lit("m"), F.col("pair_id").cast("string")))
+    rows = pairs.join(name("zh"), "zh_idx").join(name("en"), "en_idx").withColumn("en_matched_meaning", matched).withColumn("zh_matched_meaning", F.lit(""))
+    out = clusters.formatted(made, meta, meta, rows)
+    names = lambda c: shown(F.transform(c, lambda x: x["idiom"]))
+    return out.select("shared_meaning", "zh_idiom_count", "en_idiom_count", names("zh_idioms").alias("zh_names"), names("en_idioms").alias("en_names"), "anchor_zh_idiom", "anchor_en_idiom")
+
+
+@query("""WITH RECURSIVE c AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'en_to_zh' ELSE 'zh_to_en' END AS direction, 's' || (n_nationkey * 3 % 10) AS seed,
+ ['s' || (n_nationkey * 3 % 10), 's' || (n_nationkey % 7)] AS members, CASE WHEN n_nationkey % 6 = 5 THEN [] ELSE ['s' || (n_nationkey * 2 % 10)] END AS targets FROM nation),
+s AS (SELECT -1::BIGINT AS k, []::VARCHAR[] AS en, []::VARCHAR[] AS zh, false AS kept
+UNION ALL SELECT k, CASE WHEN NOT ok THEN en WHEN direction = 'en_to_zh' THEN list_concat(en, members, [seed]) ELSE list_concat(en, targets) END,
+ CASE WHEN NOT ok THEN zh WHEN direction = 'en_to_zh' THEN list_concat(zh, targets) ELSE list_concat(zh, members, [seed]) END, ok FROM (
+ SELECT c.*, en, zh, len(targets) > 0 AND NOT list_contains(CASE WHEN direction = 'en_to_zh' THEN en ELSE zh END, seed)
+  AND NOT list_has_any(CASE WHEN direction = 'en_to_zh' THEN zh ELSE en END, targets) AS ok FROM s JOIN c ON c.k = s.k + 1))
+SELECT c.k AS "order", direction, seed, array_to_string(members, '|') AS members, array_to_string(targets, '|') AS targets FROM c JOIN s USING (k) WHERE kept""")
+def claimed_entity_pairs(spark, d):
+    k = F.col("n_nationkey").cast("long")
+    name = lambda x: F.concat(F.lit("s"), x.cast("string"))
+    seed = name(k * 3 % 10)
+    rows = table(spark, d, "nation").select(
+        k.alias("order"), F.when(k % 2 == 0, "en_to_zh").otherwise("zh_to_en").alias("direction"), seed.alias("seed"), F.array(seed, name(k % 7)).alias("members"),
+        F.when(k % 6 == 5, F.array().cast("array<string>")).otherwise(F.array(name(k * 2 % 10))).alias("targets"),
+    )
+    return clusters.claim_entity_pairs(rows).withColumn("members", shown("members")).withColumn("targets", shown("targets"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS a_idx, p_partkey + 1 AS b_idx, p_size / 50 AS similarity FROM part)
@@ -729,11 +798,6 @@ def joined_or_null(spark, d):
     return table(spark, d, "part").select("p_partkey", X.joined_or_null(a, b).alias("j"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS shown FROM documents ORDER BY doc_id LIMIT 50")
-def peek_rows(spark, d):
-    return table(spark, d, "documents").orderBy("doc_id").limit(50).select("doc_id", X.preview("text").alias("shown"))
-
-
 @query("SELECT doc_id, length(text)::BIGINT AS chars, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS words FROM documents")
 def word_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), X.word_count("text").alias("words"))
@@ -776,12 +840,13 @@ def props_parse(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)
-SELECT doc_id, p::BIGINT AS p, (sum(CASE WHEN starts_with(line, 'T') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p))::BIGINT AS grp FROM l""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS p FROM documents),
+h AS (SELECT doc_id, p, CASE WHEN length(line) % 3 = 0 THEN '# ' || line ELSE '#: ' || line END AS line FROM l)
+SELECT doc_id, p, line, (sum(CASE WHEN starts_with(line, '# ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p))::BIGINT AS sense FROM h""")
 def sense_groups(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
-    w = Window.partitionBy("doc_id").orderBy("p")
-    return lines.select("doc_id", (F.col("p") + 1).cast("long").alias("p"), F.sum(F.when(F.startswith("line", F.lit("T")), 1).otherwise(0)).over(w).alias("grp"))
+    marked = F.when(F.length("line") % 3 == 0, F.concat(F.lit("# "), "line")).otherwise(F.concat(F.lit("#: "), "line"))
+    return lexicon.sense_groups(lines.select("doc_id", (F.col("p") + 1).cast("long").alias("p"), marked.alias("line")), "doc_id", "p", "line")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 1 WHEN p_size % 4 = 1 THEN 0 WHEN p_size % 4 = 2 THEN 1 ELSE 0 END AS m, p_type AS shared FROM part")
@@ -841,10 +906,11 @@ def pool_assign(spark, d):
     return instruct.drawn(pool, _contexts(spark, d)).withColumn("idioms", shown("idioms"))
 
 
-@query("""WITH c AS (SELECT c_custkey AS ctx_id, ('0x' || substr(md5('42|' || c_custkey::VARCHAR), 1, 8))::BIGINT AS spin FROM customer)
-SELECT ctx_id, ['explanation', 'advice', 'story'][(CASE WHEN spin < 0.2 * 4294967296 THEN spin ELSE ctx_id END) % 3 + 1] AS answer_type FROM c""")
+@query("""WITH c AS (SELECT c_custkey AS ctx_id, ('0x' || substr(md5('42|' || c_custkey::VARCHAR), 1, 8))::BIGINT AS spin FROM customer),
+t AS (SELECT *, coalesce(sum((spin >= 0.2 * 4294967296)::INT) OVER (ORDER BY ctx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS turn FROM c)
+SELECT ctx_id, ['cultural_behavior_explanation', 'cultural_value_analysis', 'cultural_norm_reasoning'][(CASE WHEN spin < 0.2 * 4294967296 THEN spin ELSE turn END) % 3 + 1] AS answer_type FROM t""")
 def answer_types(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("ctx_id")).select("ctx_id", instruct.answer_type("ctx_id", "ctx_id").alias("answer_type"))
+    return instruct.with_answer_types(table(spark, d, "customer").select(F.col("c_custkey").alias("ctx_id")), "ctx_id", "ctx_id")
 
 
 @query("""WITH x AS (SELECT n_nationkey AS pos, unnest([n_name, 'R' || n_regionkey]) AS entity, n_name AS s FROM nation WHERE n_nationkey % 5 <> 0),
@@ -871,7 +937,7 @@ def prompt_render(spark, d):
     one = F.struct(F.col("c_name").alias("idiom"), words("f", 4).alias("figurative_meanings"), words("l", 3).alias("literal_meanings"))
     two = F.struct(F.lit("plain").alias("idiom"), words("f", 1).alias("figurative_meanings"), none.alias("literal_meanings"))
     rows = _contexts(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("ctx_id"), "c_name"), "ctx_id")
-    text = instruct.prompt("en", F.array(one, two), F.lit("advice"))[1]["content"]
+    text = instruct.prompt("en", F.array(one, two), F.lit("cultural_value_analysis"))[1]["content"]
     return rows.select("ctx_id", F.split_part(text, F.lit("\n\nChoose"), F.lit(1)).alias("head"))
 
 
@@ -950,14 +1016,45 @@ def wikitext_parse(spark, d):
 
 @query(f"WITH {PAIRS} SELECT doc_id, idiom FROM prs")
 def stream_filter(spark, d):
+    folder = fresh_folder(spark, "stream")
+    stream.run_filter(_document_stream(spark, d), match.patterns(proxies.phrases(spark, d)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "idiom")
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, idiom FROM prs")
+def stream_resume(spark, d):
+    """A stream that is stopped and started again goes on behind what it has done: nothing comes twice."""
+    folder = fresh_folder(spark, "resume")
     docs = table(spark, d, "documents")
-    source, folder = spark.readStream.schema(docs.schema), f"{session.shared_folder(spark)}/idiomill-stream-{uuid.uuid4().hex}"
-    path = f"{d}/documents.parquet"
-    files = source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", "documents.parquet").parquet(d)
-    stream.run_filter(files, match.patterns(proxies.phrases(spark, d)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    for k in range(2):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k).write.mode("append").parquet(f"{folder}/in")
+        files = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        stream.run_filter(files, match.patterns(proxies.phrases(spark, d)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", "idiom")
 
 
+@query(COUNTS)
+def stream_counts(spark, d):
+    """Document counts that a stream keeps as its state."""
+    name = f"counts_{fresh_folder(spark, 'c')[-32:]}"
+    stream.run_counts(_document_stream(spark, d), match.patterns(proxies.phrases(spark, d)), name, f"{fresh_folder(spark, 'counts')}/checkpoint").awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT DISTINCT md5(substr(text, 1, 500)) AS head FROM documents")
+def stream_prefix(spark, d):
+    """The first characters that a stream has seen are its state."""
+    folder = fresh_folder(spark, "prefix")
+    new = stream.unique_prefix(_document_stream(spark, d)).select(F.md5(F.substring("text", 1, 500)).alias("head"))
+    new.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("head")
+
+
+def _document_stream(spark, d):
+    source, path = spark.readStream.schema(table(spark, d, "documents").schema), f"{d}/documents.parquet"
+    return source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", "documents.parquet").parquet(d)
+
+
 def _is_folder(spark, path):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -976,3 +1073,6 @@ def entity_cluster_pairs(spark, d):
     back = words.select(F.col("translation").alias("entity"), F.col("entity").alias("translation"))
     out = pipelines.same_entity(rows, zh, words, back)
     return out.select("order", "direction", "seed", F.size("idioms_en").alias("n_en"), F.size("idioms_zh").alias("n_zh"))
+
+
+from . import files  # noqa: E402, F401  its queries join the list

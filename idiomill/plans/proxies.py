@@ -23,6 +23,18 @@ num AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS doc_index FROM docu
 hit AS (SELECT * FROM num WHERE doc_id IN (SELECT doc_id FROM prs))"""
 
 
+def many_phrases(spark, d):
+    """Each two neighbouring words of each benchmark text's first nine, in lower case."""
+    words = F.split(F.lower("text"), " ")
+    at = F.sequence(F.lit(0), F.least(F.size(words), F.lit(9)) - 2)
+    two = F.transform(F.when(F.size(words) >= 2, at).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i + 1, 2), " "))
+    return table(spark, d, "benchmark").select("item_id", F.explode(two).alias("idiom"))
+
+
+MANY_PAIRS = PAIRS.replace(PHRASES, """wrd AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
+plc AS (SELECT item_id, w, unnest(range(1, least(len(w), 9))) AS i FROM wrd), phr AS (SELECT item_id, w[i] || ' ' || w[i + 1] AS idiom FROM plc)""")
+
+
 def idioms(spark, d):
     """Parts as idioms: the words of the name are entities, type and brand are figurative meanings."""
     return table(spark, d, "part").select(

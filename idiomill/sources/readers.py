@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import warnings
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -116,6 +121,26 @@ def vectors(spark: SparkSession, path) -> DataFrame:
     return spark.read.parquet(path).withColumn("embedding", F.transform("embedding", lambda x: x.cast("float")))
 
 
+def vector_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The vectors of a store of .npz and _meta.json files, in single precision, with the columns of schema beside them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "vectors-*").load(path)
+    name = F.regexp_extract("path", r"(vectors-\d+)(?:\.npz|_meta\.json)$", 1)
+    of = lambda ending: files.where(F.col("path").endswith(ending)).select(name.alias("name"), "content")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                with np.load(io.BytesIO(batch.column(1)[i].as_py())) as z:
+                    v = z["embeddings"].astype(np.float32)
+                at = pa.array(range(len(v)), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(v)), at, pa.array(list(v), pa.list_(pa.float32()))], names=["name", "at", "embedding"])
+
+    vectors = of(".npz").mapInArrow(run, "name string, at long, embedding array<float>")
+    rows = F.from_json(F.col("content").cast("string"), f"array<struct<{_struct(schema)}>>")
+    meta = of("_meta.json").select("name", F.posexplode(rows).alias("at", "m")).select("name", F.col("at").cast("long").alias("at"), "m.*")
+    return meta.join(vectors, ["name", "at"]).drop("name", "at")
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """A corpus in Parquet or JSON lines, by the ending."""
     return spark.read.parquet(path) if path.endswith("parquet") else spark.read.json(path)
@@ -159,12 +184,16 @@ def crawled(spark: SparkSession, fetch_page: Callable, fetch_text: Callable, att
         if not token:
             break
 
-    @F.udf("string")
-    def text(title):
+    def one(title):
         try:
             return fetch_text(title) or ""
         except Exception:  # noqa: BLE001  a page that fails has no text
             return ""
 
+    @F.pandas_udf("string")
+    def text(part: pd.Series) -> pd.Series:
+        with ThreadPoolExecutor(8) as pool:
+            return pd.Series(list(pool.map(one, part)), dtype=object)
+
     rows = spark.createDataFrame([(t,) for t in titles], "idiom string")
     return rows.repartition(min(64, max(1, len(titles) // 50 + 1))).select("idiom", text("idiom").alias("wikitext"))

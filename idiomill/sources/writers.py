@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.match import chunked
+from ..operators.match import chunked, ordinals
 
 
 def jsonl(df: DataFrame, path: str, mode: str = "errorifexists", compress: bool = False) -> None:
@@ -35,10 +39,44 @@ def vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
-def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Flat rows with a header; nested columns as JSON."""
+def csv(df: DataFrame, path: str, mode: str = "overwrite", mark: bool = True) -> None:
+    """Flat rows with a header; nested columns as JSON. mark: files begin with a byte order mark, as spreadsheets expect."""
     nested = [F.to_json(n).alias(n) if t.startswith(("array", "map", "struct")) else F.col(n) for n, t in df.dtypes]
-    df.select(*nested).write.mode(mode).option("header", True).csv(path)
+    out = df.select(*nested)
+    if mark:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
+    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+
+
+def vector_store(df: DataFrame, path: str, rows: int = 100_000, key: str = "vec_id", vector: str = "embedding") -> None:
+    """Vectors in half precision: numbered .npz files of at most rows vectors each, and a _meta.json beside each with the other columns.
+
+    Files are made in tasks and pass through the driver one at a time, as they are no
+    format that Spark writes.
+    """
+    spark = df.sparkSession
+    others = [c for c in df.columns if c != vector]
+    parted = ordinals(df, key, name="_at").withColumn("_file", F.floor(F.col("_at") / rows).cast("long"))
+    meta = parted.select("_file", "_at", F.to_json(F.struct(*others)).alias("meta"), F.col(vector).cast("array<float>").alias("v"))
+    made = meta.groupBy("_file").applyInArrow(_npz, "name string, data binary, meta string")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in made.toLocalIterator():
+        for ending, data in ((".npz", bytes(r.data)), ("_meta.json", r.meta.encode())):
+            out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.name}{ending}"), True)
+            try:
+                out.write(data)
+            finally:
+                out.close()
+
+
+def _npz(key, t):
+    order = np.argsort(t.column("_at").to_numpy())
+    vectors = np.array(t.column("v").to_pylist(), np.float32)[order].astype(np.float16)
+    meta = t.column("meta").to_pylist()
+    data = io.BytesIO()
+    np.savez_compressed(data, embeddings=vectors)
+    text = "[" + ",".join(meta[k] for k in order.tolist()) + "]"
+    return pa.table({"name": [f"vectors-{key[0].as_py():06d}"], "data": pa.array([data.getvalue()], pa.binary()), "meta": [text]})
 
 
 def counts(df: DataFrame, language: str, total: int, path: str, mode: str = "overwrite") -> bool:
