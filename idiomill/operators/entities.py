@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, text as X
+from . import match
 
 
 def mentions(idioms: DataFrame, array: str = "entities") -> DataFrame:
@@ -48,6 +49,14 @@ def idioms_with(entities: DataFrame, idioms: DataFrame, most: int = 20, seed: in
     return sampled(found, most, seed, "idiom", by=("entity",))
 
 
+def _containing(idioms: DataFrame, words: DataFrame) -> DataFrame:
+    """Idioms joined with the rows of words (entity) whose entity their text contains; each idiom is read once."""
+    names = idioms.select("idiom").distinct()
+    pats = words.select(F.col("entity").alias("pattern"), F.col("entity").alias("idiom")).distinct()
+    found = match.match(names.select(F.col("idiom").alias("name")), pats, "", key="name", text="name")
+    return found.select(F.col("name").alias("idiom"), F.col("pattern").alias("entity")).join(words, "entity")
+
+
 def idioms_for_clusters(clusters: DataFrame, idioms: DataFrame, most: int = 20, seed: int = 42) -> DataFrame:
     """(cluster_id, idiom, how): idioms that have an entity of the cluster (cluster_id, entity).
 
@@ -56,7 +65,7 @@ def idioms_for_clusters(clusters: DataFrame, idioms: DataFrame, most: int = 20,
     """
     exact = clusters.join(mentions(idioms), "entity").select("cluster_id", "idiom").distinct().withColumn("how", F.lit("exact"))
     left = clusters.join(exact.select("cluster_id").distinct(), "cluster_id", "left_anti").where("entity <> ''")
-    inside = idioms.select("idiom").distinct().join(F.broadcast(left), F.contains("idiom", "entity"))
+    inside = _containing(idioms, left)
     loose = inside.select("cluster_id", "idiom").distinct().withColumn("how", F.lit("text"))
     return sampled(exact.unionByName(loose), most, seed, "idiom", by=("cluster_id",))
 
@@ -67,7 +76,7 @@ def idioms_for_translations(translations: DataFrame, idioms: DataFrame, most: in
     exact = ready.join(mentions(idioms).distinct(), "entity")
     capped = sampled(exact, most, seed, "idiom", by=("source", "entity"))
     rest = ready.join(capped.select("source").distinct(), "source", "left_anti").where("entity <> ''")
-    loose = idioms.select("idiom").distinct().join(F.broadcast(rest), F.contains("idiom", "entity"))
+    loose = _containing(idioms, rest)
     loose = sampled(loose.select("entity", "source", "idiom"), most, seed, "idiom", by=("source",))
     both = capped.select("source", "entity", "idiom").unionByName(loose.select("source", "entity", "idiom"))
     return both.groupBy(F.col("source").alias("entity")).agg(

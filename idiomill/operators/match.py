@@ -60,7 +60,8 @@ def _grams(docs, pats, body, key):
     return found.unionByName(_nested(named, short, F.col("_body")).select(key, "pattern", "idiom"))
 
 
-def _automaton(docs, pats, body, key, word_boundary):
+def searched(docs: DataFrame, pats: DataFrame, body, key: str) -> DataFrame:
+    """(key, pattern, idiom): the phrases in each row's body, each once, by the automaton."""
     kind = docs.schema[key].dataType.simpleString()
     out = None
     for shared in _broadcasts(pats.select("pattern", "idiom")):
@@ -122,7 +123,7 @@ def match(
     elif strategy == "grams":
         found = _grams(docs, pats, body, key)
     elif strategy == "automaton":
-        found = _automaton(docs, pats, body, key, word_boundary)
+        found = searched(docs, pats, body, key)
     else:
         raise ValueError(f"no such strategy: {strategy}")
     if word_boundary:
@@ -246,10 +247,20 @@ def unique_prefix(docs: DataFrame, length: int = 500, key: str = "doc_id") -> Da
     return docs.join(first, F.col(key) == F.col("_first"), "left_semi")
 
 
+SALTS = 64
+"""Parts in which the pairs of an idiom are ranked before they meet."""
+
+
 def capped(pairs: DataFrame, ranking: DataFrame, cap: int = 10_000, key: str = "doc_id", order=("quality", "n_chars")) -> DataFrame:
-    """At most cap documents of each idiom, those that rank first: higher values of order, then smaller keys."""
-    w = Window.partitionBy("idiom").orderBy(*(F.col(c).desc_nulls_last() for c in order), F.col(key))
-    return pairs.join(ranking.select(key, *order), key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    """At most cap documents of each idiom, those that rank first: higher values of order, then smaller keys.
+
+    The pairs of an idiom are first capped in parts, so a very frequent one does not gather in one task.
+    """
+    best = [*(F.col(c).desc_nulls_last() for c in order), F.col(key)]
+    rows = pairs.join(ranking.select(key, *order), key).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    for by in (("idiom", "_salt"), ("idiom",)):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("rank") <= cap)
+    return rows.drop("_salt")
 
 
 def tagged(docs: DataFrame, pairs: DataFrame, meanings: DataFrame, key: str = "doc_id") -> DataFrame:

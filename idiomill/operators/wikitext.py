@@ -235,7 +235,8 @@ def parse_pages(pages: DataFrame, tolerant: bool = False) -> DataFrame:
             }
         )
 
-    got = pages.select("idiom", parse("wikitext").alias("p"))
+    likely = F.contains("wikitext", F.lit("English" if tolerant else "==English=="))
+    got = pages.where(likely).select("idiom", parse("wikitext").alias("p"))
     return got.where("p.patterns is not null").select("idiom", "p.definition", "p.patterns")
 
 

@@ -17,9 +17,14 @@ def documents(spark: SparkSession, folder: str, schema: str, files: int = 16) ->
 
 
 def matching(stream: DataFrame, pats: DataFrame, language: str = "en") -> DataFrame:
-    """Stream of (doc_id, idiom, text): a static phrase list joined with the documents."""
-    body = F.lower("text") if language == "en" else F.col("text")
-    return stream.join(F.broadcast(pats), F.contains(body, F.col("pattern"))).select("doc_id", "idiom", "text")
+    """Stream of (doc_id, idiom): the pairs of the batch join, by its strategies that keep no state.
+
+    Small phrase lists are joined by contains, others searched by the automaton.
+    """
+    body = F.coalesce(F.lower("text") if language == "en" else F.col("text"), F.lit(""))
+    if match.strategy_for(pats.limit(match.NESTED + 1).count()) == "nested":
+        return stream.join(F.broadcast(pats), F.contains(body, F.col("pattern"))).select("doc_id", "idiom")
+    return match.searched(stream, pats, body, "doc_id").select("doc_id", "idiom")
 
 
 def run_filter(stream: DataFrame, pats: DataFrame, out: str, checkpoint: str, language: str = "en") -> StreamingQuery:
@@ -39,7 +44,7 @@ def run_counts(stream: DataFrame, pats: DataFrame, name: str, checkpoint: str, l
 
 def unique_prefix(stream: DataFrame, length: int = 500, watermark: tuple[str, str] | None = None) -> DataFrame:
     """Documents whose first characters are new. With (time column, delay) the state forgets what is older."""
-    keyed = stream.withColumn("_head", F.substring("text", 1, length))
+    keyed = stream.withColumn("_head", F.substring(F.coalesce("text", F.lit("")), 1, length))
     if watermark:
         return keyed.withWatermark(*watermark).dropDuplicatesWithinWatermark(["_head"]).drop("_head")
     return keyed.dropDuplicates(["_head"]).drop("_head")

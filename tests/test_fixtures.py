@@ -490,3 +490,40 @@ def test_entity_cluster_pairs_takes_all_frequent_entities(spark, sf_dir):
     best = {r.entity for r in entities.top(entities.counts(proxies.idioms(spark, sf_dir)), 500).collect()}
     got = catalogue.QUERIES["entity_cluster_pairs"](spark, sf_dir).collect()
     assert len(best) > 5 and {r.seed for r in got if r.direction == "en_to_zh"} == best
+
+
+@pytest.mark.parametrize("strategy", ["nested", "automaton", "grams"])
+def test_rows_are_judged_by_their_own_text(spark, strategy):
+    """Null and repeated keys make no difference to which rows match."""
+    rows = [(None, "kick the bucket"), (1, "he KICKS the bucket"), (1, "nothing"), (2, None), (3, "kick the bucket")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pats = match.patterns(spark.createDataFrame([("the bucket",), ("it",)], "idiom string"))
+    got = match.matching_docs(docs, pats, strategy=strategy).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "he KICKS the bucket"), ("3", "kick the bucket"), ("None", "kick the bucket")]
+
+
+@pytest.mark.parametrize("most", [0, 64])
+def test_stream_strategies(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(match, "NESTED", most)
+    spark.createDataFrame([(1, "Kick it"), (2, None), (3, "kick and kick it")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
+    source = stream.documents(spark, f"{tmp_path}/in", "doc_id long, text string")
+    pats = match.patterns(spark.createDataFrame([("kick",), ("it",)], "idiom string"))
+    name = f"strategy_{most}"
+    stream.run_counts(source, pats, name, f"{tmp_path}/check").awaitTermination()
+    assert {(r.idiom, r.doc_count) for r in spark.table(name).collect()} == {("kick", 2), ("it", 2)}
+
+
+def test_cap_over_parts(spark):
+    pairs = spark.createDataFrame([("a", "a", i) for i in range(500)], "pattern string, idiom string, doc_id long")
+    ranking = spark.createDataFrame([(i, i % 2, i % 10) for i in range(500)], "doc_id long, quality int, n_chars int")
+    got = [(r.rank, r.doc_id) for r in match.capped(pairs, ranking, 100).collect()]
+    want = sorted(range(500), key=lambda i: (-(i % 2), -(i % 10), i))[:100]
+    assert sorted(got) == list(enumerate(want, 1))
+
+
+def test_large_sides_are_not_broadcast(spark):
+    from idiomill.operators import sizes
+
+    df = spark.range(20)
+    assert sizes.is_small(df, 20) and not sizes.is_small(df, 19)
+    assert spark.range(5).join(sizes.small(df, 3), "id").count() == 5
