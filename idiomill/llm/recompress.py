@@ -36,7 +36,8 @@ ids that cannot be cast to long are an error; an empty table gives an empty resu
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from collections import Counter
+from itertools import compress, repeat
 
 import numpy as np
 import xxhash
@@ -51,6 +52,8 @@ from .exchange import (
 WINDOW = 20
 ROUNDS = 5
 PART = 1 << 18
+STEP = 1 << 16
+"""Bytes and words that are in arrays at once."""
 FAR = (1 << 31) - 1
 """Stands for words beyond a document's end, on which a symbol at the end depends."""
 ANCHOR_BYTES = 24
@@ -84,41 +87,60 @@ def spans(block: Block):
     return starts, ends, np.searchsorted(starts, np.append(block.starts, len(data)))
 
 
+def windows_of(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers lo[k] .. lo[k] + n[k] - 1 of all k, end to end."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+
+
+def spaced(block: Block, starts: np.ndarray, ends: np.ndarray):
+    """The words of a block, each with one space behind it, in parts of bounded size."""
+    data = np.frombuffer(block.data, np.uint8)
+    for i in range(0, len(starts), STEP):
+        n = ends[i : i + STEP] - starts[i : i + STEP]
+        at = windows_of(starts[i : i + STEP], n)
+        out = np.full(len(at) + len(n), 32, np.uint8)
+        out[np.arange(len(at)) + np.repeat(np.arange(len(n)), n)] = data[at]
+        yield out.tobytes()
+
+
 def vocabulary(block: Block):
-    """The distinct words of a block in the order of buckets, their keys, how often each occurs, and the number of each word."""
-    starts, ends, _ = spans(block)
+    """The distinct words of a block in the order of buckets, their keys, how often each occurs, the number of each word, and the first word of each document."""
+    starts, ends, first = spans(block)
     known: dict[bytes, int] = {}
-    ids = np.empty(len(starts), np.int64)
-    for at in range(0, len(starts), PART):
-        cut = zip(starts[at : at + PART].tolist(), ends[at : at + PART].tolist(), strict=True)
-        ids[at : at + PART] = [known.setdefault(block.data[a:b], len(known)) for a, b in cut]
+    ids = [np.empty(0, np.int64)]
+    for part in spaced(block, starts, ends):
+        words = part.split(b" ")[:-1]
+        for w in dict.fromkeys(words):
+            if w not in known:
+                known[w] = len(known)
+        ids.append(np.array(list(map(known.__getitem__, words)), np.int64))
     words = list(known)
-    keys = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    keys = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
     order = np.argsort(keys, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    ids = rank[ids]
-    return [words[k] for k in order.tolist()], keys[order], np.bincount(ids, minlength=len(words)), ids
+    ids = rank[np.concatenate(ids)]
+    return list(map(words.__getitem__, order.tolist())), keys[order], np.bincount(ids, minlength=len(words)), ids, first
 
 
 def word_messages(block: Block, buckets: int):
-    words, keys, times, _ = vocabulary(block)
+    words, keys, times, *_ = vocabulary(block)
     for b, part in slices(by_bucket(keys, buckets), buckets):
-        yield b, squeeze(np.array([len(w) for w in words[part]], "<u4"), b"".join(words[part]), bits(times[part] > 1))
+        yield b, squeeze(np.array(list(map(len, words[part])), "<u4"), b"".join(words[part]), bits(times[part] > 1))
 
 
 def answer_words(payloads) -> list[bytes]:
     """In a bucket: the number of each sent word in the table of words that occur again; 0 for others."""
-    sent, total = [], {}
+    sent, total = [], Counter()
     for p in payloads:
         size, data, twice = unsqueeze(p)
         ends = np.cumsum(np.frombuffer(size, "<u4").astype(np.int64)).tolist()
         words = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         sent.append(words)
-        for w, t in zip(words, unbits(twice, len(words)).tolist(), strict=True):
-            total[w] = total.get(w, 0) + 1 + t
+        total.update(words)
+        total.update(compress(words, unbits(twice, len(words)).tolist()))
     number = {w: k for k, w in enumerate(sorted(w for w, n in total.items() if n > 1), 1)}
-    return [np.array([number.get(w, 0) for w in words], "<u4").tobytes() for words in sent]
+    return [np.array(list(map(number.get, words, repeat(0))), "<u4").tobytes() for words in sent]
 
 
 def named(parts, got, r: int, n: int) -> np.ndarray:
@@ -133,13 +155,13 @@ def named(parts, got, r: int, n: int) -> np.ndarray:
 class State:
     """A block between rounds: the string of symbols over all its documents, and the windows that are left.
 
-    h: the symbols' names, 0 for none. doc: their documents. [lo, hi): the words that each
-    depends on; lo is -1 and hi FAR beyond a document. live: for each word, whether the
-    window that starts there is left; anchor: the name of its anchor; back: how many words
-    into the window what that depends on begins.
+    h: the symbols' names, 0 for none; neighbours without a name are one symbol. doc: their
+    documents. [lo, hi): the words that each depends on; lo is -1 and hi FAR beyond a
+    document. live: where the windows that are left start, rising; anchor: the names of
+    their anchors; back: how many words into the window what that depends on begins.
     """
 
-    fields = (("h", "<u8"), ("doc", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("live", "?"), ("anchor", "<u8"), ("back", "u1"))
+    fields = (("size", "<i8"), ("h", "<u8"), ("doc", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("live", "<i4"), ("anchor", "<u8"), ("back", "u1"))
 
     def __init__(self, window: int):
         self.window = window
@@ -148,16 +170,16 @@ class State:
     def of_words(cls, block: Block, window: int, buckets: int, got):
         """After the round that names words."""
         self = cls(window)
-        _, keys, _, ids = vocabulary(block)
+        _, keys, _, ids, first = vocabulary(block)
         name = named(slices(by_bucket(keys, buckets), buckets), got, 0, len(keys))
-        first = spans(block)[2]
         n = np.diff(first)
+        self.size = np.array([len(ids)])
         self.h = name[ids]
         self.doc = np.repeat(np.arange(len(n)), n).astype(np.int32)
         self.lo = np.arange(len(ids), dtype=np.int32)
         self.hi = self.lo + 1
-        self.live = np.arange(len(ids)) + window <= np.repeat(first[1:], n)
-        self.anchor, self.back = self.h.copy(), np.zeros(len(ids), np.uint8)
+        self.live = np.flatnonzero(np.arange(len(ids)) + window <= np.repeat(first[1:], n))
+        self.anchor, self.back = self.h[self.live], np.zeros(len(self.live), np.uint8)
         self._drop(self.h == 0)
         return self
 
@@ -169,26 +191,36 @@ class State:
         return self
 
     def bytes(self) -> bytes:
+        self._shorten()
         return squeeze(*(getattr(self, name).astype(kind) for name, kind in self.fields))
 
+    def _shorten(self):
+        """Makes one symbol of neighbours without a name."""
+        if len(self.h):
+            head, _ = self._edges()
+            none = self.h == 0
+            a = np.flatnonzero(head | ~none | ~np.append(False, none[:-1]))
+            b = np.append(a[1:], len(self.h)) - 1
+            self.h, self.doc, self.lo, self.hi = self.h[a], self.doc[a], self.lo[a], self.hi[b]
+
     def _inside(self):
         return (self.lo >= 0) & (self.hi < FAR) & (self.hi - self.lo <= self.window)
 
     def _drop(self, dead):
         """Ends the windows around all that dead symbols depend on."""
         dead = dead & self._inside()
-        edge = np.zeros(len(self.live) + 1, np.int32)
+        edge = np.zeros(int(self.size[0]) + 1, np.int32)
         np.add.at(edge, np.maximum(self.hi[dead] - self.window, 0), 1)
         np.add.at(edge, self.lo[dead] + 1, -1)
-        self.live &= np.cumsum(edge[:-1]) == 0
+        left = np.cumsum(edge)[self.live] == 0
+        self.live, self.anchor, self.back = self.live[left], self.anchor[left], self.back[left]
         self._forget()
 
     def _forget(self):
         """Takes the name from symbols that no window left depends on."""
-        some = np.concatenate([[0], np.cumsum(self.live)])
         fine = self._inside()
         used = np.zeros(len(self.h), bool)
-        used[fine] = some[self.lo[fine] + 1] > some[np.maximum(self.hi[fine] - self.window, 0)]
+        used[fine] = np.searchsorted(self.live, self.lo[fine], side="right") > np.searchsorted(self.live, self.hi[fine] - self.window)
         self.h[~used] = 0
 
     def _edges(self):
@@ -255,18 +287,18 @@ class State:
         self.h[self.new] = named(parts, got, r, made.shape[1])[at]
         self._drop(self.new & (self.h == 0))
         fine = np.flatnonzero(self._inside() & (self.h > 0))
-        s = np.flatnonzero(self.live)
+        s = self.live
         if not fine.size or not s.size:
             return self
         h, lo, hi = mix64(self.h[fine]), self.lo[fine], self.hi[fine]
         begin, end = np.searchsorted(lo, s, side="left"), np.searchsorted(hi, s + self.window, side="right")
-        some = end > begin
-        s, begin, span = s[some], begin[some], (end - begin)[some]
+        some = np.flatnonzero(end > begin)
+        begin, span = begin[some], (end - begin)[some]
         best = begin.copy()
         for j in range(1, int(span.max(initial=0))):
             k = begin + np.minimum(j, span - 1)
             best = np.where(h[k] < h[best], k, best)
-        self.anchor[s], self.back[s] = self.h[fine][best], lo[best] - s
+        self.anchor[some], self.back[some] = self.h[fine][best], lo[best] - s[some]
         return self
 
 
@@ -292,26 +324,23 @@ class Pieces:
 
     def __init__(self, block: Block, state: State):
         self.block, self.window = block, state.window
-        self.starts, self.ends, self.first = spans(block)
-        s = np.flatnonzero(state.live)
-        anchor, place = state.anchor[s], s + state.back[s]
+        starts, ends, self.first = spans(block)
+        self.data = b"".join(spaced(block, starts, ends))
+        self.begin = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        s = state.live.astype(np.int64)
+        place = s + state.back
         new = np.ones(len(s), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1)
+        new[1:] = (state.anchor[1:] != state.anchor[:-1]) | (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1)
         a = np.flatnonzero(new)
-        self.keys, self.lo, self.n = mix64(anchor[a]), s[a], np.diff(np.append(a, len(s)))
+        self.keys, self.lo, self.n = mix64(state.anchor[a]), s[a], np.diff(np.append(a, len(s)))
         self.names = Names(self.keys)
 
     def words(self, a: int, b: int) -> bytes:
         """The words [a, b), joined by one space."""
-        return b" ".join(self.block.data[self.starts[a] : self.ends[b - 1]].split())
+        return self.data[self.begin[a] : self.begin[b] - 1]
 
     def text(self, k: int) -> bytes:
-        return self.words(int(self.lo[k]), int(self.lo[k] + self.n[k]) + self.window - 1)
-
-
-def windows_of(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The starts lo[k] .. lo[k] + n[k] - 1 of all pieces, end to end."""
-    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+        return self.words(self.lo[k], self.lo[k] + self.n[k] + self.window - 1)
 
 
 class Plan:
@@ -321,10 +350,12 @@ class Plan:
         self.block, self.window = block, state.window
         self.pieces = pieces = Pieces(block, state)
         again, hot = pieces.names.read(buckets, got)
-        self.late = np.zeros(len(pieces.starts) + 1, bool)
+        self.late = np.zeros(len(pieces.begin), bool)
         seen, first, self.texts = set(), [], []
-        for k in np.flatnonzero(again & ~hot).tolist():
-            t = pieces.text(k)
+        cold = np.flatnonzero(again & ~hot)
+        a, b = pieces.begin[pieces.lo[cold]], pieces.begin[pieces.lo[cold] + pieces.n[cold] + self.window - 1] - 1
+        for k, x, y in zip(cold.tolist(), a.tolist(), b.tolist(), strict=True):
+            t = pieces.data[x:y]
             if t in seen:
                 self.late[pieces.lo[k] : pieces.lo[k] + pieces.n[k]] = True
             else:
@@ -338,7 +369,8 @@ class Plan:
         self.keys, self.lo, self.n = pieces.keys[first], pieces.lo[first], pieces.n[first]
         self.parts = list(slices(by_bucket(self.keys, buckets), buckets))
         begin = windows_of(pieces.lo[hot], pieces.n[hot])
-        self.windows = Windows([pieces.words(s, s + self.window) for s in begin.tolist()], begin, buckets)
+        ends = pieces.begin[begin + self.window] - 1
+        self.windows = Windows([pieces.data[x:y] for x, y in zip(pieces.begin[begin].tolist(), ends.tolist(), strict=True)], begin, buckets)
         self.late[self.windows.later] = True
 
     def _docs(self, word):
@@ -370,13 +402,15 @@ class Plan:
         for k in range(len(block)):
             a, b = int(first[k]), int(first[k + 1])
             digest, kept = hashlib.sha256(), 0
-            for at in range(a, b, PART):
-                end = min(at + PART, b)
-                words = block.data[self.pieces.starts[at] : self.pieces.ends[end - 1]].split()
-                words = list(compress(words, (~gone[at:end]).tolist())) if gone[at:end].any() else words
-                if words:
-                    digest.update(b" " * bool(kept) + b" ".join(words))
-                    kept += len(words)
+            for at in range(a, b, STEP):
+                end = min(at + STEP, b)
+                text, n = self.pieces.words(at, end), end - at
+                if gone[at:end].any():
+                    words = list(compress(text.split(b" "), (~gone[at:end]).tolist()))
+                    text, n = b" ".join(words), len(words)
+                if n:
+                    digest.update(b" " * bool(kept) + text)
+                    kept += n
             yield None if block.null[k] else int(block.ids[k]), b - a, b - a - kept, digest.hexdigest()
 
 
