@@ -258,7 +258,8 @@ def answer_pieces(payloads, length: int = LENGTH) -> list[bytes]:
     pieces = [text[a:b] for a, b in zip((ends - size)[order].tolist(), ends[order].tolist(), strict=True)]
     repeated = later_pieces(pieces)
     late[windows_of(out[:-1][order[repeated]], n[order[repeated]])] = True
-    # What is left of each anchor; the windows of different anchors differ, so a batch may hold several.
+    # What is left of each anchor. The windows of different anchors differ, so a batch may hold several; those of one
+    # piece differ, too, as equal windows have their anchors at equal offsets.
     rest = np.flatnonzero(~repeated)
     rest = rest[np.argsort(keys[order[rest]], kind="stable")]
     edges = np.flatnonzero(np.diff(keys[order[rest]], prepend=~keys[order[rest[:1]]], append=~keys[order[rest[-1:]]]))
@@ -272,10 +273,7 @@ def answer_pieces(payloads, length: int = LENGTH) -> list[bytes]:
 
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if b - a < 2:
-            # Within one piece, too, a window may be repeated: a text of one byte has one anchor for all of them.
-            k = rest[a]
-            if n[order[k]] < 2:
-                continue
+            continue
         group += rest[a:b].tolist()
         windows += int(n[order[rest[a:b]]].sum())
         if windows >= SORTED:
