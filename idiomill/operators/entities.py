@@ -175,6 +175,11 @@ def site_tabs(analysed: DataFrame) -> DataFrame:
     return analysed.where(F.col("direction").isin("en_to_zh", "zh_to_en")).withColumn("analysis", parsed).drop("cultural_analysis")
 
 
+def site_page(tabs: DataFrame, direction: str, page: int, size: int = 20, key: str = "cluster_id") -> DataFrame:
+    """The records of one page (0-based) of a tab, in order of key."""
+    return match.ordinals(tabs.where(F.col("direction") == direction), key, skip=page * size, limit=size, name="row")
+
+
 def direction_counts(analysed: DataFrame) -> DataFrame:
     return analysed.groupBy("direction").agg(F.count("*").alias("n"))
 

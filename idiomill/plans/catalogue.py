@@ -493,6 +493,14 @@ def site_tabs(spark, d):
     return entities.site_tabs(_analysed(spark, d)).select("cluster_id", "direction", "analysis.summary")
 
 
+@query(f"""WITH {_AN} SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) + 2 AS "row", summary FROM
+ (SELECT cluster_id, CASE WHEN k = 2 THEN NULL ELSE n_name END AS summary FROM an WHERE direction = 'zh_to_en' ORDER BY cluster_id LIMIT 3 OFFSET 3)""")
+def site_page(spark, d):
+    """The second page of a tab, three records to a page."""
+    tabs = entities.site_tabs(_analysed(spark, d))
+    return entities.site_page(tabs, "zh_to_en", 1, 3).select("cluster_id", "row", "analysis.summary")
+
+
 @query(f"WITH {_AN} SELECT direction, count(*) AS n FROM an GROUP BY direction")
 def direction_counts(spark, d):
     return entities.direction_counts(_analysed(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import match, models, vectors
-from ..sources import readers, writers
+from ..sources import mirror, readers, writers
 from . import proxies
 from .proxies import table
 from .registry import fresh_folder, query, shown
@@ -287,3 +287,21 @@ def meaning_vectors(spark, d):
     two = models.embedded(one, models.HashEmbedder, "again", "b", batch=3)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return two.select("p_partkey", F.size("v").cast("long").alias("size"), F.round(norm, 4).alias("norm"), (F.col("v") == F.col("embedding")).alias("same"))
+
+
+@query("SELECT p_partkey AS pos, p_name AS idiom, p_type AS kind, 'a/rows_' || (p_partkey % 2) || '.jsonl' AS file FROM part")
+def mirrored_files(spark, d):
+    """A folder copied by patterns, then again without what has gone from the source."""
+    source, target = fresh_folder(spark, "source"), fresh_folder(spark, "target")
+    for k in range(2):
+        _text_file(spark, _lines(spark, d).where(F.col("pos") % 2 == k), f"{source}/a", f"rows_{k}.jsonl")
+    _text_file(spark, _lines(spark, d), f"{source}/a", "rows_old.jsonl")
+    _text_file(spark, _lines(spark, d), f"{source}/a", "other.txt")
+    patterns = ("a/rows*",), ("*/_*",)
+    first = mirror.copied(spark, source, target, *patterns)
+    second = mirror.copied(spark, source, target, ("a/rows_?.jsonl",), delete=True)
+    if len(first) != 3 or second or len(mirror.listed(spark, target)) != 2:
+        raise RuntimeError(f"copied {first}, then {second}")
+    name = F.concat(F.lit("a/"), F.element_at(F.split(F.input_file_name(), "/"), -1))
+    rows = spark.read.schema("pos long, idiom string, kind string").json([f"{target}/{n}" for n in mirror.listed(spark, target)])
+    return rows.select("pos", "idiom", "kind", name.alias("file")).where("pos is not null")
