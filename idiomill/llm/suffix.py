@@ -195,15 +195,15 @@ class Plan:
         again, hot = pieces.names.read(one, got)
         self.block, self.length = block, length
         self.late = np.zeros(len(block.data) + 1, bool)
-        cold = np.flatnonzero(again & ~hot)
-        cold = cold[np.argsort(pieces.lo[cold], kind="stable")]
-        repeated = later_pieces([pieces.text(k) for k in cold.tolist()])
-        gone, first = cold[repeated], cold[~repeated]
+        some = np.flatnonzero(again)
+        some = some[np.argsort(pieces.lo[some], kind="stable")]
+        repeated = later_pieces([pieces.text(k) for k in some.tolist()])
+        gone, first = some[repeated], some[~repeated]
         self.late[windows_of(pieces.lo[gone], pieces.hi[gone] - pieces.lo[gone] + 1)] = True
+        crowd, first = first[hot[first]], first[~hot[first]]
         order = first[np.argsort(by_bucket(pieces.keys[first], two), kind="stable")]
         self.keys, self.lo, self.n = pieces.keys[order], pieces.lo[order], pieces.hi[order] - pieces.lo[order] + 1
         self.parts = list(slices(by_bucket(self.keys, two), two))
-        crowd = np.flatnonzero(hot)
         begin = np.sort(windows_of(pieces.lo[crowd], pieces.hi[crowd] - pieces.lo[crowd] + 1))
         self.windows = Windows([block.data[s : s + length] for s in begin.tolist()], begin, two)
         self.late[self.windows.later] = True
