@@ -151,12 +151,12 @@ ANSWER = [("block", "long"), ("bucket", "long"), ("answer", "binary")]
 
 
 def ask(df: DataFrame, send, answer, name: str) -> DataFrame:
-    """(block, name): for each block the buckets' answers.
+    """(block, name): for each block the buckets' answers to what send(block, ...) yields, (bucket, payload), for a row of df."""
+    return told(each(df, lambda block, *rest: ((b, block, p) for b, p in send(block, *rest)), SENT), answer, name)
 
-    send(block, ...) yields (bucket, payload) for a row of df; answer(bucket, blocks,
-    payloads) gives an answer for each payload.
-    """
-    said = each(df, lambda block, *rest: ((b, block, p) for b, p in send(block, *rest)), SENT)
+
+def told(said: DataFrame, answer, name: str) -> DataFrame:
+    """(block, name): for each block the buckets' answers to messages. answer(bucket, blocks, payloads) gives one for each payload."""
 
     def run(key, t):
         bucket, blocks = key[0].as_py(), t.column("block").to_pylist()
@@ -165,8 +165,45 @@ def ask(df: DataFrame, send, answer, name: str) -> DataFrame:
         got = answer(bucket, [blocks[k] for k in order], [payloads[k] for k in order])
         return pa.Table.from_batches([batch([(blocks[k], bucket, a) for k, a in zip(order, got, strict=True)], ANSWER)])
 
-    told = said.groupBy("bucket").applyInArrow(run, schema(ANSWER))
-    return told.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
+    out = said.groupBy("bucket").applyInArrow(run, schema(ANSWER))
+    return out.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
+
+
+STEP = [("block", "long"), ("state", "binary"), ("bucket", "long"), ("payload", "binary")]
+
+
+class Steps:
+    """Rounds in which a block keeps a state, so that its documents need not be read again.
+
+    In a step, f yields for a block its new state, (None, state), and its messages to
+    buckets, (bucket, payload). Both are written to the shared folder.
+    """
+
+    def __init__(self, scratch: Scratch, df: DataFrame, f, wait=lambda: None):
+        self.scratch, self.wait = scratch, wait
+        self.table = self._made(df, f)
+
+    def _made(self, df, f):
+        rows = each(df, lambda block, *rest: ((block, p, None, None) if b is None else (block, None, b, p) for b, p in f(block, *rest)), STEP)
+        return self.scratch.keep(rows, "step", **{"parquet.block.size": str(8 << 20)})
+
+    def states(self) -> DataFrame:
+        return self.table.where("state is not null").select("block", "state")
+
+    def got(self, answer) -> DataFrame:
+        """(block, got): the answers to the messages of the last step."""
+        return told(self.table.where("bucket is not null").select("bucket", "block", "payload"), answer, "got")
+
+    def next(self, answer, f, *others: DataFrame) -> None:
+        """The next step: f(block, state, answers, columns of others by block ...)."""
+        both = self.states().join(self.got(answer), "block", "left").select("block", "state", "got")
+        for other in others:
+            both = both.join(other, "block")
+        new = self._made(both, lambda block, state, got, *rest: f(block, state, answers(got), *rest))
+        self.scratch.drop(self.table)
+        self.table = new
+        del both
+        self.wait()
 
 
 def answers(cell) -> dict[int, bytes]:

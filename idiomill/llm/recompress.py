@@ -36,16 +36,16 @@ ids that cannot be cast to long are an error; an empty table gives an empty resu
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from itertools import compress, repeat
+from itertools import accumulate, compress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
 from .common import GOLDEN, U64, Scratch, mix64
 from .exchange import (
-    WORTH_WAITING, Block, Names, Windows, answer_names, answer_windows, answers, ask, bits, blocks_of, by_bucket, each,
+    WORTH_WAITING, Block, Names, Steps, Windows, answer_names, answer_windows, answers, bits, blocks_of, by_bucket, each,
     grown, positions, slices, squeeze, unbits, unsqueeze,
 )
 
@@ -60,7 +60,6 @@ ANCHOR_BYTES = 24
 BUCKET_BYTES = (8 << 20, 64 << 20)
 """Bytes of text for each bucket, at least and at most."""
 COLUMNS = [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
-STATE = [("block", "long"), ("state", "binary")]
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -92,55 +91,54 @@ def windows_of(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
 
 
-def spaced(block: Block, starts: np.ndarray, ends: np.ndarray):
-    """The words of a block, each with one space behind it, in parts of bounded size."""
-    data = np.frombuffer(block.data, np.uint8)
-    for i in range(0, len(starts), STEP):
-        n = ends[i : i + STEP] - starts[i : i + STEP]
-        at = windows_of(starts[i : i + STEP], n)
-        out = np.full(len(at) + len(n), 32, np.uint8)
-        out[np.arange(len(at)) + np.repeat(np.arange(len(n)), n)] = data[at]
-        yield out.tobytes()
+def binaries(size: np.ndarray, data: bytes) -> pa.Array:
+    """Byte strings of these sizes that stand end to end, without copies."""
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype("<i8")
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def parts_of(words: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Sizes and bytes of an array of byte strings."""
+    ends = np.frombuffer(words.buffers()[1], "<i8")[words.offset : words.offset + len(words) + 1]
+    return np.diff(ends).astype("<u4"), words.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes()
 
 
 def vocabulary(block: Block):
-    """The distinct words of a block in the order of buckets, their keys, how often each occurs, the number of each word, and the first word of each document."""
+    """The distinct words of a block in the order of buckets, their keys, the number of each word, and the first word of each document."""
     starts, ends, first = spans(block)
-    known: dict[bytes, int] = {}
-    ids = [np.empty(0, np.int64)]
-    for part in spaced(block, starts, ends):
-        words = part.split(b" ")[:-1]
-        for w in dict.fromkeys(words):
-            if w not in known:
-                known[w] = len(known)
-        ids.append(np.array(list(map(known.__getitem__, words)), np.int64))
-    words = list(known)
-    keys = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
+    data = np.frombuffer(block.data, np.uint8)
+    coded = binaries(ends - starts, data[~_SPACE[data]].tobytes()).dictionary_encode()
+    size, text = parts_of(coded.dictionary)
+    at = np.cumsum(size, dtype=np.int64)
+    distinct = [text[a:b] for a, b in zip((at - size).tolist(), at.tolist(), strict=True)]
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
     order = np.argsort(keys, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    ids = rank[np.concatenate(ids)]
-    return list(map(words.__getitem__, order.tolist())), keys[order], np.bincount(ids, minlength=len(words)), ids, first
+    return coded.dictionary.take(pa.array(order)), keys[order], rank[coded.indices.to_numpy()], first
 
 
-def word_messages(block: Block, buckets: int):
-    words, keys, times, *_ = vocabulary(block)
-    for b, part in slices(by_bucket(keys, buckets), buckets):
-        yield b, squeeze(np.array(list(map(len, words[part])), "<u4"), b"".join(words[part]), bits(times[part] > 1))
+def begin(block: Block, buckets: int):
+    """The first step: the state is the words as numbers, the messages are the distinct words."""
+    words, keys, ids, first = vocabulary(block)
+    where = by_bucket(keys, buckets)
+    yield None, squeeze(ids.astype("<i4"), first.astype("<i8"), np.bincount(where, minlength=buckets).astype("<i8"))
+    times = np.bincount(ids, minlength=len(words))
+    for b, part in slices(where, buckets):
+        yield b, squeeze(*parts_of(words.slice(part.start, part.stop - part.start)), bits(times[part] > 1))
 
 
 def answer_words(payloads) -> list[bytes]:
     """In a bucket: the number of each sent word in the table of words that occur again; 0 for others."""
-    sent, total = [], Counter()
+    words, twice = [], []
     for p in payloads:
-        size, data, twice = unsqueeze(p)
-        ends = np.cumsum(np.frombuffer(size, "<u4").astype(np.int64)).tolist()
-        words = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        sent.append(words)
-        total.update(words)
-        total.update(compress(words, unbits(twice, len(words)).tolist()))
-    number = {w: k for k, w in enumerate(sorted(w for w, n in total.items() if n > 1), 1)}
-    return [np.array(list(map(number.get, words, repeat(0))), "<u4").tobytes() for words in sent]
+        size, data, again = unsqueeze(p)
+        words.append(binaries(np.frombuffer(size, "<u4"), data))
+        twice.append(unbits(again, len(words[-1])))
+    ids = pa.concat_arrays(words).dictionary_encode().indices.to_numpy()
+    again = np.bincount(ids, 1 + np.concatenate(twice)) > 1
+    number = np.where(again, np.cumsum(again), 0).astype("<u4")[ids]
+    return [x.tobytes() for x in np.split(number, np.cumsum(list(map(len, words)))[:-1])]
 
 
 def named(parts, got, r: int, n: int) -> np.ndarray:
@@ -167,14 +165,15 @@ class State:
         self.window = window
 
     @classmethod
-    def of_words(cls, block: Block, window: int, buckets: int, got):
-        """After the round that names words."""
+    def of_words(cls, state: bytes, window: int, got):
+        """After the round that names words, from the state of begin()."""
         self = cls(window)
-        _, keys, _, ids, first = vocabulary(block)
-        name = named(slices(by_bucket(keys, buckets), buckets), got, 0, len(keys))
+        ids, first, sizes = (np.frombuffer(x, kind) for x, kind in zip(unsqueeze(state), ("<i4", "<i8", "<i8"), strict=True))
+        ends = np.cumsum(sizes)
+        parts = [(b, slice(int(ends[b] - sizes[b]), int(ends[b]))) for b in np.flatnonzero(sizes).tolist()]
         n = np.diff(first)
         self.size = np.array([len(ids)])
-        self.h = name[ids]
+        self.h = named(parts, got, 0, int(sizes.sum()))[ids]
         self.doc = np.repeat(np.arange(len(n)), n).astype(np.int32)
         self.lo = np.arange(len(ids), dtype=np.int32)
         self.hi = self.lo + 1
@@ -188,11 +187,22 @@ class State:
         self = cls(window)
         for (name, kind), raw in zip(cls.fields, unsqueeze(data), strict=True):
             setattr(self, name, np.frombuffer(raw, kind).copy())
+        self.live = np.cumsum(self.live)
+        if len(self.anchor) < len(self.live):
+            self.anchor, self.back = self._first_words(), np.zeros(len(self.live), np.uint8)
         return self
 
     def bytes(self) -> bytes:
         self._shorten()
-        return squeeze(*(getattr(self, name).astype(kind) for name, kind in self.fields))
+        arrays = {name: getattr(self, name).astype(kind) for name, kind in self.fields}
+        arrays["live"] = np.diff(arrays["live"], prepend=np.int32(0))
+        if not (self.back.any() or (self.anchor != self._first_words()).any()):
+            arrays["anchor"], arrays["back"] = self.anchor[:0], self.back[:0]
+        return squeeze(*arrays.values())
+
+    def _first_words(self):
+        """The names of the words that windows left begin with, if they are all still symbols; else of other symbols."""
+        return self.h[np.minimum(np.searchsorted(self.lo, self.live), len(self.h) - 1)] if len(self.h) else self.h
 
     def _shorten(self):
         """Makes one symbol of neighbours without a name."""
@@ -320,98 +330,118 @@ def answer_symbols(payloads) -> list[bytes]:
 
 
 class Pieces:
-    """Runs of the windows left that have the same anchor: their keys, first windows and numbers of windows."""
-
-    def __init__(self, block: Block, state: State):
-        self.block, self.window = block, state.window
-        starts, ends, self.first = spans(block)
-        self.data = b"".join(spaced(block, starts, ends))
-        self.begin = np.concatenate([[0], np.cumsum(ends - starts + 1)])
-        s = state.live.astype(np.int64)
+    """Runs of the windows left that have the same anchor: their keys, first windows, numbers of windows, and words joined by one space."""
+
+    fields = (("keys", "<u8"), ("lo", "<i4"), ("n", "<i4"), ("size", "<i4"))
+
+    def __init__(self, window: int):
+        self.window = window
+
+    @classmethod
+    def of(cls, block: Block, state: State):
+        self = cls(state.window)
+        starts, ends, _ = spans(block)
+        s = state.live
         place = s + state.back
         new = np.ones(len(s), bool)
         new[1:] = (state.anchor[1:] != state.anchor[:-1]) | (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1)
         a = np.flatnonzero(new)
-        self.keys, self.lo, self.n = mix64(state.anchor[a]), s[a], np.diff(np.append(a, len(s)))
-        self.names = Names(self.keys)
-
-    def words(self, a: int, b: int) -> bytes:
-        """The words [a, b), joined by one space."""
-        return self.data[self.begin[a] : self.begin[b] - 1]
-
-    def text(self, k: int) -> bytes:
-        return self.words(self.lo[k], self.lo[k] + self.n[k] + self.window - 1)
-
-
-class Plan:
-    """What a block knows after the round of anchors: which windows are later copies within it, and what it sends."""
-
-    def __init__(self, block: Block, state: State, got, buckets: int):
-        self.block, self.window = block, state.window
-        self.pieces = pieces = Pieces(block, state)
-        again, hot = pieces.names.read(buckets, got)
-        self.late = np.zeros(len(pieces.begin), bool)
-        seen, first, self.texts = set(), [], []
-        cold = np.flatnonzero(again & ~hot)
-        a, b = pieces.begin[pieces.lo[cold]], pieces.begin[pieces.lo[cold] + pieces.n[cold] + self.window - 1] - 1
-        for k, x, y in zip(cold.tolist(), a.tolist(), b.tolist(), strict=True):
-            t = pieces.data[x:y]
-            if t in seen:
-                self.late[pieces.lo[k] : pieces.lo[k] + pieces.n[k]] = True
-            else:
-                seen.add(t)
-                first.append(k)
-                self.texts.append(t)
-        first = np.array(first, np.int64)
-        order = np.argsort(by_bucket(pieces.keys[first], buckets), kind="stable")
-        self.texts = [self.texts[k] for k in order.tolist()]
-        first = first[order]
-        self.keys, self.lo, self.n = pieces.keys[first], pieces.lo[first], pieces.n[first]
-        self.parts = list(slices(by_bucket(self.keys, buckets), buckets))
-        begin = windows_of(pieces.lo[hot], pieces.n[hot])
-        ends = pieces.begin[begin + self.window] - 1
-        self.windows = Windows([pieces.data[x:y] for x, y in zip(pieces.begin[begin].tolist(), ends.tolist(), strict=True)], begin, buckets)
-        self.late[self.windows.later] = True
-
-    def _docs(self, word):
-        return np.searchsorted(self.pieces.first, word, side="right") - 1
-
-    def messages(self):
-        """Pieces go to even buckets, single windows to odd ones."""
-        block = self.block
-        for b, part in self.parts:
-            doc, at = np.unique(self._docs(self.lo[part]), return_inverse=True)
-            size = np.array([len(t) for t in self.texts[part]], "<u4")
-            yield 2 * b, squeeze(block.ids[doc], block.tie[doc], at.astype("<u4"), self.lo[part].astype("<i8"), self.n[part].astype("<u4"), size, b"".join(self.texts[part]))
-        for b, payload in self.windows.messages(block, self._docs(self.windows.first)):
-            yield 2 * b + 1, payload
-
-    def finish(self, got):
-        """The result rows of the block's documents."""
-        late, first = self.late, self.pieces.first
-        for b, part in self.parts:
-            at = windows_of(self.lo[part], self.n[part])
-            late[at[unbits(got[2 * b], len(at))]] = True
-        late[self.windows.read(lambda b: got[2 * b + 1])] = True
-        edge = np.zeros(len(late) + self.window, np.int32)
-        s = np.flatnonzero(late)
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + self.window, -1)
-        gone = np.cumsum(edge) > 0
-        block = self.block
-        for k in range(len(block)):
-            a, b = int(first[k]), int(first[k + 1])
-            digest, kept = hashlib.sha256(), 0
-            for at in range(a, b, STEP):
-                end = min(at + STEP, b)
-                text, n = self.pieces.words(at, end), end - at
-                if gone[at:end].any():
-                    words = list(compress(text.split(b" "), (~gone[at:end]).tolist()))
-                    text, n = b" ".join(words), len(words)
-                if n:
-                    digest.update(b" " * bool(kept) + text)
-                    kept += n
-            yield None if block.null[k] else int(block.ids[k]), b - a, b - a - kept, digest.hexdigest()
+        self.keys, self.lo, self.n = mix64(state.anchor[a]), s[a].astype(np.int64), np.diff(np.append(a, len(s)))
+        data = block.data
+        cut = zip(starts[self.lo].tolist(), ends[self.lo + self.n + self.window - 2].tolist(), strict=True)
+        self.texts = [b" ".join(data[x:y].split()) for x, y in cut]
+        return self
+
+    @classmethod
+    def read(cls, data: bytes, window: int):
+        self = cls(window)
+        *arrays, text = unsqueeze(data)
+        for (name, kind), raw in zip(cls.fields, arrays, strict=True):
+            setattr(self, name, np.frombuffer(raw, kind))
+        self.lo, self.n = self.lo.astype(np.int64), self.n.astype(np.int64)
+        ends = np.cumsum(self.size, dtype=np.int64).tolist()
+        self.texts = [text[a:b] for a, b in zip([0, *ends][:-1], ends, strict=True)]
+        return self
+
+    def bytes(self) -> bytes:
+        self.size = np.array(list(map(len, self.texts)), "<i4")
+        return squeeze(*(getattr(self, name).astype(kind) for name, kind in self.fields), b"".join(self.texts))
+
+    def names(self) -> Names:
+        return Names(self.keys)
+
+
+def windows_in(text: bytes, n: int, window: int) -> list[bytes]:
+    """The n windows of words joined by one space."""
+    words = list(accumulate(map(len, text.split(b" ")), lambda at, size: at + size + 1, initial=0))
+    return [text[words[j] : words[j + window] - 1] for j in range(n)]
+
+
+def plan(block: Block, pieces: Pieces, got, buckets: int):
+    """The step after the round of anchors: the state is what finish() needs; pieces go to even buckets, single windows to odd ones."""
+    again, hot = pieces.names().read(buckets, got)
+    window, late, seen, first = pieces.window, [], set(), []
+    for k in np.flatnonzero(again).tolist():
+        t = pieces.texts[k]
+        if t in seen:
+            late.append(k)
+        else:
+            seen.add(t)
+            first.append(k)
+    late, first = np.array(late, np.int64), np.array(first, np.int64)
+    crowd, first = first[hot[first]], first[~hot[first]]
+    first = first[np.argsort(by_bucket(pieces.keys[first], buckets), kind="stable")]
+    lo, n, where = pieces.lo[first], pieces.n[first], by_bucket(pieces.keys[first], buckets)
+    texts = []
+    for k in crowd.tolist():
+        texts += windows_in(pieces.texts[k], int(pieces.n[k]), window)
+    windows = Windows(texts, windows_of(pieces.lo[crowd], pieces.n[crowd]), buckets)
+    sizes = np.zeros(2 * buckets, np.int64)
+    for b, part in slices(where, buckets):
+        sizes[2 * b] = n[part].sum()
+    for b, part in windows.parts:
+        sizes[2 * b + 1] = part.stop - part.start
+    places = [np.concatenate([np.empty(0, np.int64), *(windows_of(lo[part], n[part]) for _, part in slices(where, buckets))]), windows.first]
+    late = np.concatenate([windows_of(pieces.lo[late], pieces.n[late]), windows.later])
+    yield None, squeeze(late.astype("<i4"), sizes, *(x.astype("<i4") for x in places))
+    limits = spans(block)[2]
+    docs = lambda word: np.searchsorted(limits, word, side="right") - 1
+    for b, part in slices(where, buckets):
+        own = [pieces.texts[k] for k in first[part].tolist()]
+        doc, at = np.unique(docs(lo[part]), return_inverse=True)
+        size = np.array(list(map(len, own)), "<u4")
+        yield 2 * b, squeeze(block.ids[doc], block.tie[doc], at.astype("<u4"), lo[part].astype("<i8"), n[part].astype("<u4"), size, b"".join(own))
+    for b, payload in windows.messages(block, docs(windows.first)):
+        yield 2 * b + 1, payload
+
+
+def finish(block: Block, state: bytes, got, window: int):
+    """The result rows of the block's documents."""
+    late, sizes, *places = (np.frombuffer(x, kind) for x, kind in zip(unsqueeze(state), ("<i4", "<i8", "<i4", "<i4"), strict=True))
+    starts, ends, first = spans(block)
+    parts = [late]
+    for odd, place in enumerate(places):
+        stop = np.cumsum(sizes[odd::2])
+        for b in np.flatnonzero(sizes[odd::2]).tolist():
+            n = int(sizes[2 * b + odd])
+            parts.append(place[stop[b] - n : stop[b]][unbits(got[2 * b + odd], n)])
+    s = np.concatenate(parts).astype(np.int64)
+    edge = np.zeros(len(starts) + window + 1, np.int32)
+    np.add.at(edge, s, 1)
+    np.add.at(edge, s + window, -1)
+    gone = np.cumsum(edge) > 0
+    for k in range(len(block)):
+        a, b = int(first[k]), int(first[k + 1])
+        digest, kept = hashlib.sha256(), 0
+        for at in range(a, b, STEP):
+            end = min(at + STEP, b)
+            words = block.data[starts[at] : ends[end - 1]].split()
+            if gone[at:end].any():
+                words = list(compress(words, (~gone[at:end]).tolist()))
+            if words:
+                digest.update(b" " * bool(kept) + b" ".join(words))
+                kept += len(words)
+        yield None if block.null[k] else int(block.ids[k]), b - a, b - a - kept, digest.hexdigest()
 
 
 def answer_pieces(payloads, window: int = WINDOW) -> list[bytes]:
@@ -430,44 +460,51 @@ def answer_pieces(payloads, window: int = WINDOW) -> list[bytes]:
             late[out[k] : out[k + 1]] = True
             continue
         pieces.add(t)
-        words = np.cumsum([0, *(len(w) + 1 for w in t.split(b" "))]).tolist()
-        for j in range(int(n[k])):
-            w = t[words[j] : words[j + window] - 1]
+        for j, w in enumerate(windows_in(t, int(n[k]), window), int(out[k])):
             if w in windows:
-                late[out[k] + j] = True
+                late[j] = True
             else:
                 windows.add(w)
     return [bits(late[out[a] : out[b]]) for a, b in zip(np.cumsum([0, *counts[:-1]]).tolist(), np.cumsum(counts).tolist(), strict=True)]
 
 
 class WordRepeats:
-    """The rounds, as functions of a block or of a bucket's messages."""
+    """The steps, as functions of a block's documents, state and answers."""
 
     def __init__(self, window: int = WINDOW, rounds: int = ROUNDS):
         self.window, self.rounds = window, rounds
 
-    def words(self, block, blob, n):
-        return word_messages(Block(block, blob), n)
+    def begin(self, block, blob, n):
+        return begin(Block(block, blob), n)
 
-    def begun(self, block, blob, got, n):
-        return State.of_words(Block(block, blob), self.window, n, got).bytes()
+    def round(self, r, state, got, n):
+        """After the answers of round r (0: of words): the string renamed, and what round r + 1 asks."""
+        if r:
+            now = State.read(state, self.window).collapse(r).apply(r, n, got)
+        else:
+            now = State.of_words(state, self.window, got)
+        yield None, (data := now.bytes())
+        if r < self.rounds:
+            yield from State.read(data, self.window).collapse(r + 1).messages(n)
 
-    def symbols(self, state, r, n):
-        return State.read(state, self.window).collapse(r).messages(n)
+    @staticmethod
+    def answer(r):
+        return lambda bucket, blocks, payloads: answer_symbols(payloads) if r else answer_words(payloads)
 
-    def renamed(self, state, got, r, n):
-        return State.read(state, self.window).collapse(r).apply(r, n, got).bytes()
-
-    def anchors(self, block, blob, state, n):
-        pieces = Pieces(Block(block, blob), State.read(state, self.window))
-        return pieces.names.messages(n, pieces.text)
+    def pieces(self, block, blob, state, n):
+        pieces = Pieces.of(Block(block, blob), State.read(state, self.window))
+        yield None, pieces.bytes()
+        yield from pieces.names().messages(n, pieces.texts.__getitem__)
 
     def plan(self, block, blob, state, got, n):
-        return Plan(Block(block, blob), State.read(state, self.window), got, n)
+        return plan(Block(block, blob), Pieces.read(state, self.window), got, n)
 
     def answer_plan(self, bucket, blocks, payloads):
         return answer_windows(payloads) if bucket & 1 else answer_pieces(payloads, self.window)
 
+    def finish(self, block, blob, state, got):
+        return finish(Block(block, blob), state, got, self.window)
+
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): one row for each row of docs."""
@@ -475,31 +512,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ro
     blocks, total = blocks_of(docs, text, scratch)
     n = max(1, round(total / grown(total, ANCHOR_BYTES, *BUCKET_BYTES)))
     wait = scratch.release if total > WORTH_WAITING else lambda: None
-    got = ask(blocks, lambda b, blob: op.words(b, blob, n), lambda b, blocks, p: answer_words(p), "got")
-    state = blocks.join(got, "block", "left").select("block", "blob", "got")
-    state = scratch.keep(each(state, lambda b, blob, g: [(b, op.begun(b, blob, answers(g), n))], STATE), "state")
-    del got
-    for r in range(1, rounds + 1):
-        wait()
-        state = _next(op, scratch, state, r, n)
-    wait()
-    both = blocks.join(state, "block").select("block", "blob", "state")
-    got1 = scratch.keep(ask(both, lambda b, blob, s: op.anchors(b, blob, s, n), lambda b, blocks, p: answer_names(p), "got1"), "got1")
-    del both
+    steps = Steps(scratch, blocks, lambda b, blob: op.begin(b, blob, n), wait)
+    for r in range(rounds + 1):
+        steps.next(op.answer(r), lambda b, state, got, r=r: op.round(r, state, got, n))
+    found = Steps(scratch, steps.states().join(blocks, "block"), lambda b, state, blob: op.pieces(b, blob, state, n), wait)
+    scratch.drop(steps.table)
     wait()
-    asked = blocks.join(state, "block").join(got1, "block", "left").select("block", "blob", "state", "got1")
-    got2 = ask(asked, lambda b, blob, s, g: op.plan(b, blob, s, answers(g), n).messages(), op.answer_plan, "got2")
-    got = scratch.keep(got1.join(got2, "block", "left"), "got2")
-    del asked, got2
-    wait()
-    whole = blocks.join(state, "block").join(got, "block", "left").select("block", "blob", "state", "got1", "got2")
-    return each(whole, lambda b, blob, s, g1, g2: op.plan(b, blob, s, answers(g1), n).finish(answers(g2)), COLUMNS)
-
-
-def _next(op: WordRepeats, scratch: Scratch, state: DataFrame, r: int, n: int) -> DataFrame:
-    """The blocks after round r of naming."""
-    got = ask(state, lambda b, s: op.symbols(s, r, n), lambda b, blocks, p: answer_symbols(p), "got")
-    told = state.join(got, "block", "left").select("block", "state", "got")
-    new = scratch.keep(each(told, lambda b, s, g: [(b, op.renamed(s, answers(g), r, n))], STATE), "state")
-    scratch.drop(state)
-    return new
+    found.next(lambda b, blocks, payloads: answer_names(payloads), lambda b, state, got, blob: op.plan(b, blob, state, got, n), blocks)
+    whole = found.states().join(found.got(op.answer_plan), "block", "left").join(blocks, "block").select("block", "blob", "state", "got")
+    return each(whole, lambda b, blob, state, got: op.finish(b, blob, state, answers(got)), COLUMNS)

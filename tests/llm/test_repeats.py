@@ -68,18 +68,20 @@ def simulated(op, docs, blocks, one=2, two=3):
 
 
 def recompressed(docs, blocks, n=3, window=20):
-    """The rounds of recompression without Spark."""
-    op, made = recompress.WordRepeats(window), blobs(docs, blocks)
-    by = lambda f: lambda b, blocks, p: f(p)
-    got = routed([(b, k, p) for k, blob in made for b, p in op.words(k, blob, n)], by(recompress.answer_words))
-    state = {k: op.begun(k, blob, got.get(k, {}), n) for k, blob in made}
-    for r in range(1, op.rounds + 1):
-        got = routed([(b, k, p) for k in state for b, p in op.symbols(state[k], r, n)], by(recompress.answer_symbols))
-        state = {k: op.renamed(s, got.get(k, {}), r, n) for k, s in state.items()}
-    got = routed([(b, k, p) for k, blob in made for b, p in op.anchors(k, blob, state[k], n)], by(exchange.answer_names))
-    plan = {k: op.plan(k, blob, state[k], got.get(k, {}), n) for k, blob in made}
-    told = routed([(b, k, p) for k in plan for b, p in plan[k].messages()], op.answer_plan)
-    return sorted(r for k in plan for r in plan[k].finish(told.get(k, {})))
+    """The steps of recompression without Spark."""
+    op, made = recompress.WordRepeats(window), dict(blobs(docs, blocks))
+
+    def step(rows, answer):
+        rows = {k: list(r) for k, r in rows.items()}
+        got = routed([(b, k, p) for k, r in rows.items() for b, p in r if b is not None], answer)
+        return {k: (next(p for b, p in r if b is None), got.get(k, {})) for k, r in rows.items()}
+
+    now = step({k: op.begin(k, blob, n) for k, blob in made.items()}, op.answer(0))
+    for r in range(op.rounds + 1):
+        now = step({k: op.round(r, *x, n) for k, x in now.items()}, op.answer(r + 1))
+    now = step({k: op.pieces(k, made[k], x[0], n) for k, x in now.items()}, lambda b, blocks, p: exchange.answer_names(p))
+    now = step({k: op.plan(k, made[k], *x, n) for k, x in now.items()}, op.answer_plan)
+    return sorted(r for k, x in now.items() for r in op.finish(k, made[k], *x))
 
 
 def byte_docs(rng, alphabet):
