@@ -214,6 +214,44 @@ def test_all_confident_rows_are_exchanged():
     assert view.w[2] / view.dev[1] > 1
 
 
+def plain_cotraining(xs, y, pools, rounds):
+    """Scores by a loop that puts labelled and pseudo-labelled rows together and fits each view anew."""
+    fold = np.arange(len(y)) % 4 == 3
+    train = [(x[~fold], y[~fold]) for x in xs]
+    given = [([], []) for _ in xs]
+    free = np.ones(len(pools[0]), bool)
+    views = [cotrain.View().fit(*t) for t in train]
+    for _ in range(rounds):
+        taken = []
+        for k in (0, 1):
+            p = 1 / (1 + np.exp(-views[k].raw(pools[k])))
+            for i in np.flatnonzero(free):
+                if max(p[i], 1 - p[i]) >= cotrain.CONFIDENT and i not in taken:
+                    taken.append(i)
+                    given[1 - k][0].append(pools[1 - k][i])
+                    given[1 - k][1].append(float(p[i] >= 0.5))
+        free[taken] = False
+        views = []
+        for (x, t), (more, labels) in zip(train, given, strict=True):
+            views.append(cotrain.View().fit(np.concatenate([x, np.array(more).reshape(-1, x.shape[1])]), np.concatenate([t, labels])))
+    for v, x in zip(views, xs, strict=True):
+        v.slope = tuple(toxicity.logistic(v.raw(x[fold])[:, None], y[fold]))
+    mix = toxicity.logistic(np.column_stack([v.logit(x[fold]) for v, x in zip(views, xs, strict=True)]), y[fold])
+    z = [v.logit(x) for v, x in zip(views, pools, strict=True)]
+    return 1 / (1 + np.exp(-(mix[0] + mix[1] * z[0] + mix[2] * z[1])))
+
+
+def test_cotraining_against_a_plain_loop():
+    rng = np.random.default_rng(11)
+    truth = rng.integers(0, 2, 900).astype(float)
+    xs = [np.column_stack([truth + rng.normal(0, s, 900), rng.normal(size=900), truth * 0.5 + rng.normal(size=900)]) for s in (0.5, 0.7)]
+    y, known = truth[:200], [x[:200] for x in xs]
+    pools = [x[200:] for x in xs]
+    for rounds in (1, 4):
+        model = cotrain.CoTrained().fit(known, y, pools, rounds)
+        assert np.allclose(model.predict(pools)[:, 0], plain_cotraining(known, y, pools, rounds), atol=2e-3)
+
+
 def test_pool_sums_in_spark(spark):
     docs = frame(spark, [(i, f"text {i} " * (i % 7), "en", "s", i) for i in range(40)])
     count = lambda xs: np.array([len(xs[0]), xs[0].sum(), xs[1].sum()])

@@ -124,6 +124,58 @@ def test_edited_texts(spark, sf_dir):
         assert r.near_edited == cws.likeness(own, changed) and r.near_next == cws.likeness(own, following)
 
 
+def plain_samples(text, sampler):
+    """The samples of a text by loops over samples and terms; only the tables of quantiles are the operator's."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = ((x ^ x >> shift) * factor) & mask
+        return x
+
+    golden, one = 0x9E3779B97F4A7C15, np.float32(1)
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()]
+    pairs = hashes if len(hashes) == 1 else [(a * golden + (b ^ b >> 29)) & mask for a, b in zip(hashes, hashes[1:], strict=False)]
+    bag = {}
+    for p in pairs:
+        bag[mix(p)] = bag.get(mix(p), 0) + 1
+    out = []
+    for j in range(sampler.samples):
+        best = None
+        for term, weight in sorted(bag.items()):
+            z = mix(term ^ mix((j + 1) * golden & mask))
+            r, b, ln_c = sampler.r[z & 0xFFFF], (np.float32(z >> 16 & 0xFFFF) + np.float32(0.5)) * np.float32(1 / 65536), sampler.ln_c[z >> 44]
+            if weight == 1:
+                t, value = 0, ln_c - (one - b) * r
+            else:
+                t = np.floor(np.float32(np.log(weight)) / r + b)
+                value = ln_c - r * (t - b) - r
+            if best is None or value < best[0]:
+                best = (value, term, int(t))
+        out.append(mix(best[1] ^ (best[2] * golden & mask)) >> 48)
+    return "".join(f"{x:04x}" for x in out) if bag else "0" * 4 * sampler.samples
+
+
+def test_fingerprints_against_loops(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 1500")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = cws.fingerprint_edits(docs).collect()
+    some = [r for r in got if r.doc_id % 7 == 0]
+    assert len(some) > 5
+    for r in some:
+        assert r.fingerprint == plain_samples(texts[r.doc_id], cws.sampler())
+    near = []
+    bags = {i: dict(zip(*(x.tolist() for x in cws.terms_of(t.encode())), strict=True)) for i, t in texts.items()}
+    order = sorted(texts, reverse=True)
+    by_id = {r.doc_id: r for r in got}
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        keys = bags[a].keys() | bags[b].keys()
+        low, high = (sum(f(bags[a].get(k, 0), bags[b].get(k, 0)) for k in keys) for f in (min, max))
+        if high:
+            near.append(by_id[a].near_next - low / high)
+    assert abs(np.mean(near)) < 0.02 and np.std(near) < 0.08
+
+
 def test_collision_rate():
     """Over many samples the share of collisions is the generalised Jaccard similarity."""
     s = cws.Sampler(4096)
