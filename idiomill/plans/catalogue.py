@@ -641,7 +641,21 @@ def pair_degrees(spark, d):
     return clusters.degrees(vectors.intra_pairs(proxies.meanings(spark, d, 0), SIM))
 
 
-@query()
+_CLIQUES = f"""WITH RECURSIVE {_INTRA}, both_ AS (SELECT a_idx AS a, b_idx AS b FROM prs UNION ALL SELECT b_idx, a_idx FROM prs),
+rk AS (SELECT a AS idx, row_number() OVER (ORDER BY count(*) DESC, a) - 1 AS r FROM both_ GROUP BY a),
+adj AS (SELECT x.r, list(y.r) AS near FROM both_ JOIN rk x ON x.idx = a JOIN rk y ON y.idx = b GROUP BY x.r), nn AS (SELECT count(*) AS n FROM rk),
+s AS (SELECT -1::BIGINT AS seed, []::BIGINT[] AS used, []::BIGINT[] AS members, []::BIGINT[] AS todo, []::BIGINT[] AS done
+UNION ALL SELECT seed2, used2, CASE WHEN grow THEN list_append(members, c) ELSE [c] END,
+ CASE WHEN grow THEN list_filter(todo, lambda x: x <> c AND list_contains(near, x)) ELSE list_filter(coalesce(near, []), lambda x: NOT list_contains(used2, x)) END,
+ CASE WHEN grow THEN [] ELSE members END
+FROM (SELECT *, CASE WHEN grow THEN list_min(todo) ELSE seed2 END AS c FROM (
+ SELECT *, CASE WHEN grow THEN seed ELSE list_min(list_filter(range(seed + 1, n), lambda x: NOT list_contains(used2, x))) END AS seed2 FROM (
+  SELECT *, len(todo) > 0 AS grow, CASE WHEN len(todo) = 0 AND len(members) > 1 THEN list_concat(used, members) ELSE used END AS used2 FROM s, nn WHERE seed IS NOT NULL)))
+ LEFT JOIN adj ON adj.r = c),
+cl AS (SELECT done[1] AS head, unnest(done) AS r FROM s WHERE len(done) > 1)"""
+
+
+@query(f"{_CLIQUES} SELECT h.idx AS clique, m.idx FROM cl JOIN rk h ON h.r = head JOIN rk m ON m.r = cl.r")
 def greedy_cliques(spark, d):
     return clusters.greedy_cliques(vectors.intra_pairs(proxies.meanings(spark, d, 0), SIM))
 
