@@ -63,7 +63,7 @@ def _remove_scratch() -> None:
             if s.spark.sparkContext._jsc is not None:
                 s._delete(s.root)
         except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            return
+            continue
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
