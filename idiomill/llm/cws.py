@@ -13,7 +13,10 @@ collide once in 65,536.
 
 Defined results: null texts count as empty; texts without a word have the all-zero
 fingerprint, which is fully alike to itself and unlike any other; a text of one word has
-that word as its only term; whole texts are used, in slices of terms of bounded memory.
+that word as its only term; whole texts are used, in slices of terms of bounded memory;
+rows that share a doc_id are in order of their text, null ids come last, and rows of one
+id or without one are one range, which streams through one task; ids that cannot be cast
+to long are an error.
 """
 
 from __future__ import annotations
