@@ -10,6 +10,7 @@ document's character n-grams and a check, in the JVM only.
 from __future__ import annotations
 
 import importlib.util
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -327,11 +328,47 @@ def phrase_occurrences(docs: DataFrame, phrases: DataFrame, key: str = "doc_id",
     return out
 
 
+def _gram_counts(docs, grams, text):
+    """(gram, n) of every occurrence of grams as consecutive words; each text is read once, and tasks add up what they find."""
+    body = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), " "), F.lit(" "))
+    out = None
+    for shared in _broadcasts(grams.select(F.col("gram").alias("pattern"))):
+        found = docs.select(body.alias("_body")).mapInArrow(_tally(shared), "gram string, n long")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _tally(shared):
+    def run(batches):
+        import ahocorasick
+
+        machine, total = ahocorasick.Automaton(), Counter()
+        for (g,) in shared.value:
+            machine.add_word(f" {g} ", g)
+        if shared.value:
+            machine.make_automaton()
+            for batch in batches:
+                for body in batch.column(0).to_pylist():
+                    total.update(g for _, g in machine.iter(body))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+
+    return run
+
+
 def occurrence_counts(docs: DataFrame, phrases: DataFrame, min_count: int = 0, key: str = "doc_id", column: str = "idiom") -> DataFrame:
-    """(idiom, count) of occurrences in the corpus, zero included; min_count keeps the frequent ones."""
-    found = phrase_occurrences(docs, phrases, key, column).groupBy("idiom").agg(F.count("*").alias("count"))
+    """(idiom, count) of occurrences in the corpus, zero included; min_count keeps the frequent ones.
+
+    Counted by the automaton over the words of each text, or from the inverted index without that library.
+    """
     every = phrases.select(F.col(column).alias("idiom")).where("idiom <> ''").distinct()
-    return every.join(found, "idiom", "left").select("idiom", F.coalesce("count", F.lit(0)).cast("long").alias("count")).where(F.col("count") >= min_count)
+    if strategy_for(NESTED + 1) == "automaton":
+        named = every.select("idiom", F.array_join(tokens("idiom"), " ").alias("gram"))
+        grams = named.where("gram <> ''").select("gram").distinct()
+        counted = named.join(_gram_counts(docs, grams, "text"), "gram", "left").select("idiom", F.col("n").alias("count"))
+    else:
+        found = phrase_occurrences(docs, phrases, key, column).groupBy("idiom").agg(F.count("*").alias("count"))
+        counted = every.join(found, "idiom", "left")
+    return counted.select("idiom", F.coalesce("count", F.lit(0)).cast("long").alias("count")).where(F.col("count") >= min_count)
 
 
 def occurrence_report(docs: DataFrame | None, phrases: DataFrame, language: str, min_count: int = 1, languages: tuple[str, ...] = ("en",)) -> DataFrame:

@@ -580,10 +580,10 @@ def intra_pairs(spark, d):
     return _flat(vectors.intra_pairs(proxies.meanings(spark, d, 0), SIM, 64))
 
 
-@query(f"""WITH {MEANINGS} SELECT a.vec_id AS anchor_id, b.idiom_idx, round(max(list_dot_product(a.v, b.v)), 6) AS similarity FROM men a JOIN men b ON a.vec_id % 25 = 0 AND b.lang = 0
+@query(f"""WITH {MEANINGS} SELECT a.vec_id AS anchor_id, b.idiom_idx, round(max(list_dot_product(a.v, b.v)), 6) AS similarity FROM men a JOIN men b ON a.vec_id % 50 = 0 AND b.lang = 0
  WHERE list_dot_product(a.v, b.v) >= {SIM} GROUP BY 1, 2""")
 def anchor_expand(spark, d):
-    anchors = proxies.meanings(spark, d).where("vec_id % 25 = 0").select(F.col("vec_id").alias("anchor_id"), "embedding")
+    anchors = proxies.meanings(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("anchor_id"), "embedding")
     out = vectors.near_anchor(anchors, proxies.meanings(spark, d, 0), SIM)
     return out.withColumn("similarity", F.round("similarity", 6))
 
