@@ -41,17 +41,30 @@ WIDESPREAD = 4096
 
 
 def squeeze(*parts) -> bytes:
-    """Byte strings and arrays, compressed together."""
-    parts = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
-    head = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    """Byte strings and arrays, compressed together. Numbers are stored byte by byte of all of them, which are more alike."""
+    raw, width = [], []
+    for p in parts:
+        if isinstance(p, bytes):
+            raw.append(p)
+            width.append(1)
+        else:
+            p = np.ascontiguousarray(p)
+            raw.append(p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes())
+            width.append(p.itemsize)
+    head = np.array([len(parts), *map(len, raw), *width], "<u8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(raw))
 
 
 def unsqueeze(data: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int.from_bytes(raw[:8], "little")
-    ends = np.cumsum(np.concatenate([[8 * (n + 1)], np.frombuffer(raw[8 : 8 * (n + 1)], "<u8").astype(np.int64)])).tolist()
-    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    head = np.frombuffer(raw[8 : 8 * (2 * n + 1)], "<u8").astype(np.int64)
+    ends = np.cumsum(np.concatenate([[8 * (2 * n + 1)], head[:n]])).tolist()
+    out = []
+    for a, b, width in zip(ends[:-1], ends[1:], head[n:].tolist(), strict=True):
+        part = raw[a:b]
+        out.append(part if width == 1 else np.frombuffer(part, np.uint8).reshape(width, -1).T.tobytes())
+    return out
 
 
 class Block:

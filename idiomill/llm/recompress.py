@@ -187,7 +187,8 @@ class State:
         self = cls(window)
         for (name, kind), raw in zip(cls.fields, unsqueeze(data), strict=True):
             setattr(self, name, np.frombuffer(raw, kind).copy())
-        self.live = np.cumsum(self.live)
+        self.lo, self.live = np.cumsum(self.lo, dtype=np.int32), np.cumsum(self.live, dtype=np.int64)
+        self.hi += self.lo
         if len(self.anchor) < len(self.live):
             self.anchor, self.back = self._first_words(), np.zeros(len(self.live), np.uint8)
         return self
@@ -195,7 +196,9 @@ class State:
     def bytes(self) -> bytes:
         self._shorten()
         arrays = {name: getattr(self, name).astype(kind) for name, kind in self.fields}
-        arrays["live"] = np.diff(arrays["live"], prepend=np.int32(0))
+        arrays["hi"] -= arrays["lo"]
+        for name in ("lo", "live"):
+            arrays[name] = np.diff(arrays[name], prepend=np.int32(0))
         if not (self.back.any() or (self.anchor != self._first_words()).any()):
             arrays["anchor"], arrays["back"] = self.anchor[:0], self.back[:0]
         return squeeze(*arrays.values())
