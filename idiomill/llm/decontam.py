@@ -275,3 +275,17 @@ def _overlapped(shared, settings):
             yield pd.Series([bool(index.find(t)) for t in part], dtype=bool)
 
     return any_overlap
+
+
+# Every item laid over every document at every diagonal with an equal word.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+tw AS (SELECT doc_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM t),
+bw AS (SELECT item_id, len(w) AS own, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS j FROM b),
+m AS (SELECT doc_id, item_id, size, own, p - j AS d, j FROM tw JOIN bw USING (word)),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, d ORDER BY j RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS near FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, d) >= ceil(0.8 * least(own, 13))),
+g AS (SELECT doc_id, item_id, d, count(*) AS matched, max(near) AS best, greatest(d, 0) AS first_word, least(any_value(size), d + any_value(own)) - greatest(d, 0) AS compared, least(any_value(own), 13) AS w FROM c GROUP BY doc_id, item_id, d),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, d) AS n FROM g WHERE compared >= w AND 5 * best >= 4 * w)
+SELECT doc_id, item_id, first_word::BIGINT AS first_word, matched::BIGINT AS matched_words, compared::BIGINT AS compared_words, best / w AS best_identity FROM f WHERE n = 1
+"""

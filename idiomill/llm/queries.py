@@ -75,4 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL = {"op5_line_dedup": linededup.ORACLE}
+ORACLE_SQL = {
+    "op2_suffix_dedup": suffix.ORACLE,
+    "op4_recompression_dedup": recompress.ORACLE,
+    "op5_line_dedup": linededup.ORACLE,
+    "op10_decontamination": decontam.ORACLE,
+}

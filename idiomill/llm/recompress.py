@@ -524,3 +524,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ro
     found.next(lambda b, blocks, payloads: answer_names(payloads), lambda b, state, got, blob: op.plan(b, blob, state, got, n), blocks)
     whole = found.states().join(found.got(op.answer_plan), "block", "left").join(blocks, "block").select("block", "blob", "state", "got")
     return each(whole, lambda b, blob, state, got: op.finish(b, blob, state, answers(got)), COLUMNS)
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+a AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS j FROM t),
+b AS (SELECT *, w || ' ' || lead(w) OVER o AS w2 FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+c AS (SELECT *, w2 || ' ' || lead(w2, 2) OVER o AS w4 FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+d AS (SELECT *, w4 || ' ' || lead(w4, 4) OVER o AS w8 FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+e AS (SELECT doc_id, j, w, w8 || ' ' || lead(w8, 8) OVER o || ' ' || lead(w4, 16) OVER o AS k FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+r AS (SELECT doc_id, j, w, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, j) > 1 AS late FROM e),
+g AS (SELECT doc_id, j, w, bool_or(late) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+s AS (SELECT doc_id, count(*) AS n, count_if(gone) AS gone, string_agg(w, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS text FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(s.text, '')) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)
+"""

@@ -326,3 +326,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     wait()
     whole = blocks.join(got, "block", "left").select("block", "blob", "got1", "got2")
     return each(whole, lambda b, blob, g1, g2: op.finish(b, blob, answers(g1), answers(g2), n, n), COLUMNS)
+
+
+# Sixteen bytes are a number of 128 bits, so windows are compared whole.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+a AS (SELECT doc_id, unnest(h) AS x, generate_subscripts(h, 1) AS j FROM t),
+b AS (SELECT doc_id, j, x, ('0x' || x)::UBIGINT AS n FROM a),
+c AS (SELECT doc_id, j, x, n * 256 + lead(n) OVER o AS n FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+d AS (SELECT doc_id, j, x, n * 65536 + lead(n, 2) OVER o AS n FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+e AS (SELECT doc_id, j, x, n AS n4, n * 4294967296::UBIGINT + lead(n, 4) OVER o AS n FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+f AS (SELECT doc_id, j, x, n4, n::UHUGEINT * 18446744073709551616::UHUGEINT + lead(n, 8) OVER o AS n FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+k AS (SELECT doc_id, j, x, n, lead(n, 16) OVER o AS n1, lead(n, 32) OVER o AS n2, lead(n, 48) OVER o AS n3, lead(n, 64) OVER o AS n4_, lead(n, 80) OVER o AS n5, lead(n4, 96) OVER o AS n6 FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+r AS (SELECT doc_id, j, x, n6 IS NOT NULL AND row_number() OVER (PARTITION BY n, n1, n2, n3, n4_, n5, n6 ORDER BY doc_id, j) > 1 AS late FROM k),
+g AS (SELECT doc_id, j, x, bool_or(late) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+s AS (SELECT doc_id, count(*) AS n, count_if(gone) AS gone, count_if(gone AND NOT before) AS spans, string_agg(x, '' ORDER BY j) FILTER (WHERE NOT gone) AS kept
+ FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS before FROM g) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)
+"""

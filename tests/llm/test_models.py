@@ -344,6 +344,10 @@ def test_overlaps_against_all_diagonals(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
     got = {tuple(r) for r in queries.op10_decontamination(spark, sf_dir).collect()}
     assert got == plain_overlaps([tuple(r) for r in docs], [(r.item_id, r.text) for r in items])
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    assert set(con.sql(decontam.ORACLE).fetchall()) == got
 
 
 @pytest.mark.parametrize("chunk", [7, 1 << 20])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -200,6 +201,14 @@ def test_in_spark(spark, run, brute):
     assert got == brute([(i, (t or "").encode()) for i, t in texts.items()])
 
 
+@pytest.mark.parametrize(("sql", "brute"), [(suffix.ORACLE, brute_bytes), (recompress.ORACLE, brute_words)])
+def test_sql(sf_dir, sql, brute):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    docs = con.sql("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
+    assert sorted(con.sql(sql).fetchall()) == brute([(i, t.encode()) for i, t in docs])
+
+
 @pytest.mark.parametrize(("run", "brute"), [(suffix.remove_repeats, brute_bytes), (recompress.remove_repeats, brute_words)])
 def test_driver_table(spark, sf_dir, run, brute):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
