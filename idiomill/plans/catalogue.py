@@ -660,7 +660,22 @@ def greedy_cliques(spark, d):
     return clusters.greedy_cliques(vectors.intra_pairs(proxies.meanings(spark, d, 0), SIM))
 
 
-@query()
+_BILINGUAL = f"""WITH RECURSIVE {MEANINGS}, x AS (SELECT a.idiom_idx AS a_idx, b.idiom_idx AS b_idx, a.meaning_pos AS a_pos, b.meaning_pos AS b_pos, list_dot_product(a.v, b.v) AS s
+ FROM men a JOIN men b ON a.lang = 0 AND b.lang = 1 AND list_dot_product(a.v, b.v) >= {SIM}),
+pr AS (SELECT *, row_number() OVER (ORDER BY s DESC, a_idx, b_idx) - 1 AS pair_id FROM (SELECT *, row_number() OVER (PARTITION BY a_idx, b_idx ORDER BY s DESC, a_pos, b_pos) AS k FROM x) WHERE k = 1),
+zn AS (SELECT pair_id, list_sort(list(DISTINCT m.idiom_idx)) AS z FROM pr JOIN men a ON a.lang = 0 AND a.idiom_idx = a_idx AND a.meaning_pos = a_pos JOIN men m ON m.lang = 0 AND list_dot_product(a.v, m.v) >= {SIM} GROUP BY pair_id),
+en AS (SELECT pair_id, list_sort(list(DISTINCT m.idiom_idx)) AS e FROM pr JOIN men b ON b.lang = 1 AND b.idiom_idx = b_idx AND b.meaning_pos = b_pos JOIN men m ON m.lang = 1 AND list_dot_product(b.v, m.v) >= {SIM} GROUP BY pair_id),
+c AS (SELECT pair_id, a_idx, b_idx, z, e FROM pr JOIN zn USING (pair_id) JOIN en USING (pair_id)),
+s AS (SELECT -1::BIGINT AS pair_id, []::BIGINT[] AS uz, []::BIGINT[] AS ue, []::BIGINT[] AS mz, []::BIGINT[] AS me
+UNION ALL SELECT pair_id, list_concat(uz, mz), list_concat(ue, me), mz, me FROM (
+ SELECT c.pair_id, uz, ue,
+  CASE WHEN list_contains(uz, a_idx) OR list_contains(ue, b_idx) THEN [] ELSE list_concat([a_idx], list_filter(z, lambda i: i <> a_idx AND NOT list_contains(uz, i))) END AS mz,
+  CASE WHEN list_contains(uz, a_idx) OR list_contains(ue, b_idx) THEN [] ELSE list_concat([b_idx], list_filter(e, lambda i: i <> b_idx AND NOT list_contains(ue, i))) END AS me
+ FROM s JOIN c ON c.pair_id = s.pair_id + 1)),
+cl AS (SELECT pair_id, 'zh' AS side, unnest(mz) AS idx FROM s UNION ALL SELECT pair_id, 'en', unnest(me) FROM s)"""
+
+
+@query(f"{_BILINGUAL} SELECT pair_id, side, idx FROM cl")
 def bilingual_clusters(spark, d):
     return pipelines.same_meaning(proxies.meanings(spark, d, 0), proxies.meanings(spark, d, 1), SIM, SIM)["clusters"]
 
