@@ -207,12 +207,10 @@ class Steps:
         """(block, got): the answers to the messages of the last step."""
         return told(self.table.where("bucket is not null").select("bucket", "block", "payload"), answer, "got")
 
-    def next(self, answer, f, *others: DataFrame) -> None:
-        """The next step: f(block, state, answers, columns of others by block ...)."""
+    def next(self, answer, f) -> None:
+        """The next step: f(block, state, answers)."""
         both = self.states().join(self.got(answer), "block", "left").select("block", "state", "got")
-        for other in others:
-            both = both.join(other, "block")
-        new = self._made(both, lambda block, state, got, *rest: f(block, state, answers(got), *rest))
+        new = self._made(both, lambda block, state, got: f(block, state, answers(got)))
         self.scratch.drop(self.table)
         self.table = new
         del both
@@ -323,8 +321,8 @@ class Windows:
         self.first = np.array(list(seen.values()), np.int64)[order]
         self.parts = list(slices(by_bucket(keys[order], buckets), buckets))
 
-    def messages(self, block: Block, doc: np.ndarray):
-        """doc: the number of the document of each first window."""
+    def messages(self, block, doc: np.ndarray):
+        """block: has ids and tie of documents; doc: the number of the document of each first window."""
         for b, part in self.parts:
             texts = self.texts[part]
             own, at = np.unique(doc[part], return_inverse=True)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 
 from .common import GOLDEN, U64, Scratch, mix64
 from .exchange import (
-    WORTH_WAITING, Block, Names, Steps, Windows, answer_names, answer_windows, answers, bits, blocks_of, by_bucket, each,
+    WORTH_WAITING, Block, Names, Steps, Windows, answer_names, answer_windows, answers, ask, bits, blocks_of, by_bucket, each,
     grown, positions, slices, squeeze, unbits, unsqueeze,
 )
 
@@ -333,9 +333,12 @@ def answer_symbols(payloads) -> list[bytes]:
 
 
 class Pieces:
-    """Runs of the windows left that have the same anchor: their keys, first windows, numbers of windows, and words joined by one space."""
+    """Runs of the windows left that have the same anchor: their keys, first windows, numbers of windows, and words joined by one space.
 
-    fields = (("keys", "<u8"), ("lo", "<i4"), ("n", "<i4"), ("size", "<i4"))
+    ids, tie, first: of the block's documents, what orders them and their first words.
+    """
+
+    fields = (("ids", "<i8"), ("tie", "<u8"), ("first", "<i8"), ("keys", "<u8"), ("lo", "<i4"), ("n", "<i4"), ("size", "<i4"))
 
     def __init__(self, window: int):
         self.window = window
@@ -343,7 +346,8 @@ class Pieces:
     @classmethod
     def of(cls, block: Block, state: State):
         self = cls(state.window)
-        starts, ends, _ = spans(block)
+        starts, ends, self.first = spans(block)
+        self.ids, self.tie = block.ids, block.tie
         s = state.live
         place = s + state.back
         new = np.ones(len(s), bool)
@@ -380,71 +384,68 @@ def windows_in(text: bytes, n: int, window: int) -> list[bytes]:
     return [text[words[j] : words[j + window] - 1] for j in range(n)]
 
 
-def plan(block: Block, pieces: Pieces, got, buckets: int):
-    """The step after the round of anchors: the state is what finish() needs; pieces go to even buckets, single windows to odd ones."""
-    again, hot = pieces.names().read(buckets, got)
-    window, late, seen, first = pieces.window, [], set(), []
-    for k in np.flatnonzero(again).tolist():
-        t = pieces.texts[k]
-        if t in seen:
-            late.append(k)
-        else:
-            seen.add(t)
-            first.append(k)
-    late, first = np.array(late, np.int64), np.array(first, np.int64)
-    crowd, first = first[hot[first]], first[~hot[first]]
-    first = first[np.argsort(by_bucket(pieces.keys[first], buckets), kind="stable")]
-    lo, n, where = pieces.lo[first], pieces.n[first], by_bucket(pieces.keys[first], buckets)
-    texts = []
-    for k in crowd.tolist():
-        texts += windows_in(pieces.texts[k], int(pieces.n[k]), window)
-    windows = Windows(texts, windows_of(pieces.lo[crowd], pieces.n[crowd]), buckets)
-    sizes = np.zeros(2 * buckets, np.int64)
-    for b, part in slices(where, buckets):
-        sizes[2 * b] = n[part].sum()
-    for b, part in windows.parts:
-        sizes[2 * b + 1] = part.stop - part.start
-    places = [np.concatenate([np.empty(0, np.int64), *(windows_of(lo[part], n[part]) for _, part in slices(where, buckets))]), windows.first]
-    late = np.concatenate([windows_of(pieces.lo[late], pieces.n[late]), windows.later])
-    yield None, squeeze(late.astype("<i4"), sizes, *(x.astype("<i4") for x in places))
-    limits = spans(block)[2]
-    docs = lambda word: np.searchsorted(limits, word, side="right") - 1
-    for b, part in slices(where, buckets):
-        own = [pieces.texts[k] for k in first[part].tolist()]
-        doc, at = np.unique(docs(lo[part]), return_inverse=True)
-        size = np.array(list(map(len, own)), "<u4")
-        yield 2 * b, squeeze(block.ids[doc], block.tie[doc], at.astype("<u4"), lo[part].astype("<i8"), n[part].astype("<u4"), size, b"".join(own))
-    for b, payload in windows.messages(block, docs(windows.first)):
-        yield 2 * b + 1, payload
-
+class Plan:
+    """What a block knows after the round of anchors: which windows are later copies within it, and what it sends."""
 
-def finish(block: Block, state: bytes, got, window: int):
-    """The result rows of the block's documents."""
-    late, sizes, *places = (np.frombuffer(x, kind) for x, kind in zip(unsqueeze(state), ("<i4", "<i8", "<i4", "<i4"), strict=True))
-    starts, ends, first = spans(block)
-    parts = [late]
-    for odd, place in enumerate(places):
-        stop = np.cumsum(sizes[odd::2])
-        for b in np.flatnonzero(sizes[odd::2]).tolist():
-            n = int(sizes[2 * b + odd])
-            parts.append(place[stop[b] - n : stop[b]][unbits(got[2 * b + odd], n)])
-    s = np.concatenate(parts).astype(np.int64)
-    edge = np.zeros(len(starts) + window + 1, np.int32)
-    np.add.at(edge, s, 1)
-    np.add.at(edge, s + window, -1)
-    gone = np.cumsum(edge) > 0
-    for k in range(len(block)):
-        a, b = int(first[k]), int(first[k + 1])
-        digest, kept = hashlib.sha256(), 0
-        for at in range(a, b, STEP):
-            end = min(at + STEP, b)
-            words = block.data[starts[at] : ends[end - 1]].split()
-            if gone[at:end].any():
-                words = list(compress(words, (~gone[at:end]).tolist()))
-            if words:
-                digest.update(b" " * bool(kept) + b" ".join(words))
-                kept += len(words)
-        yield None if block.null[k] else int(block.ids[k]), b - a, b - a - kept, digest.hexdigest()
+    def __init__(self, pieces: Pieces, got, buckets: int):
+        again, hot = pieces.names().read(buckets, got)
+        self.pieces, seen, late, first = pieces, set(), [], []
+        for k in np.flatnonzero(again).tolist():
+            t = pieces.texts[k]
+            if t in seen:
+                late.append(k)
+            else:
+                seen.add(t)
+                first.append(k)
+        late, first = np.array(late, np.int64), np.array(first, np.int64)
+        crowd, first = first[hot[first]], first[~hot[first]]
+        self.first = first[np.argsort(by_bucket(pieces.keys[first], buckets), kind="stable")]
+        self.lo, self.n = pieces.lo[self.first], pieces.n[self.first]
+        self.parts = list(slices(by_bucket(pieces.keys[self.first], buckets), buckets))
+        texts = []
+        for k in crowd.tolist():
+            texts += windows_in(pieces.texts[k], int(pieces.n[k]), pieces.window)
+        self.windows = Windows(texts, windows_of(pieces.lo[crowd], pieces.n[crowd]), buckets)
+        self.late = np.concatenate([windows_of(pieces.lo[late], pieces.n[late]), self.windows.later])
+
+    def _docs(self, word):
+        return np.searchsorted(self.pieces.first, word, side="right") - 1
+
+    def messages(self):
+        """Pieces go to even buckets, single windows to odd ones."""
+        for b, part in self.parts:
+            own = [self.pieces.texts[k] for k in self.first[part].tolist()]
+            doc, at = np.unique(self._docs(self.lo[part]), return_inverse=True)
+            size = np.array(list(map(len, own)), "<u4")
+            yield 2 * b, squeeze(self.pieces.ids[doc], self.pieces.tie[doc], at.astype("<u4"), self.lo[part].astype("<i8"), self.n[part].astype("<u4"), size, b"".join(own))
+        for b, payload in self.windows.messages(self.pieces, self._docs(self.windows.first)):
+            yield 2 * b + 1, payload
+
+    def finish(self, block: Block, got):
+        """The result rows of the block's documents."""
+        parts, window = [self.late], self.pieces.window
+        for b, part in self.parts:
+            at = windows_of(self.lo[part], self.n[part])
+            parts.append(at[unbits(got[2 * b], len(at))])
+        parts.append(self.windows.read(lambda b: got[2 * b + 1]))
+        s = np.concatenate(parts)
+        starts, ends, first = spans(block)
+        edge = np.zeros(len(starts) + window + 1, np.int32)
+        np.add.at(edge, s, 1)
+        np.add.at(edge, s + window, -1)
+        gone = np.cumsum(edge) > 0
+        for k in range(len(block)):
+            a, b = int(first[k]), int(first[k + 1])
+            digest, kept = hashlib.sha256(), 0
+            for at in range(a, b, STEP):
+                end = min(at + STEP, b)
+                words = block.data[starts[at] : ends[end - 1]].split()
+                if gone[at:end].any():
+                    words = list(compress(words, (~gone[at:end]).tolist()))
+                if words:
+                    digest.update(b" " * bool(kept) + b" ".join(words))
+                    kept += len(words)
+            yield None if block.null[k] else int(block.ids[k]), b - a, b - a - kept, digest.hexdigest()
 
 
 def answer_pieces(payloads, window: int = WINDOW) -> list[bytes]:
@@ -499,15 +500,12 @@ class WordRepeats:
         yield None, pieces.bytes()
         yield from pieces.names().messages(n, pieces.texts.__getitem__)
 
-    def plan(self, block, blob, state, got, n):
-        return plan(Block(block, blob), Pieces.read(state, self.window), got, n)
+    def plan(self, state, got, n):
+        return Plan(Pieces.read(state, self.window), got, n)
 
     def answer_plan(self, bucket, blocks, payloads):
         return answer_windows(payloads) if bucket & 1 else answer_pieces(payloads, self.window)
 
-    def finish(self, block, blob, state, got):
-        return finish(Block(block, blob), state, got, self.window)
-
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): one row for each row of docs."""
@@ -518,12 +516,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ro
     steps = Steps(scratch, blocks, lambda b, blob: op.begin(b, blob, n), wait)
     for r in range(rounds + 1):
         steps.next(op.answer(r), lambda b, state, got, r=r: op.round(r, state, got, n))
-    found = Steps(scratch, steps.states().join(blocks, "block"), lambda b, state, blob: op.pieces(b, blob, state, n), wait)
+    found = Steps(scratch, steps.states().join(blocks, "block"), lambda b, state, blob: op.pieces(b, blob, state, n))
     scratch.drop(steps.table)
+    del steps
+    wait()
+    got1 = scratch.keep(found.got(lambda b, blocks, payloads: answer_names(payloads)), "got1")
+    asked = found.states().join(got1, "block", "left")
+    got2 = scratch.keep(ask(asked, lambda b, state, got: op.plan(state, answers(got), n).messages(), op.answer_plan, "got2"), "got2")
+    del asked
     wait()
-    found.next(lambda b, blocks, payloads: answer_names(payloads), lambda b, state, got, blob: op.plan(b, blob, state, got, n), blocks)
-    whole = found.states().join(found.got(op.answer_plan), "block", "left").join(blocks, "block").select("block", "blob", "state", "got")
-    return each(whole, lambda b, blob, state, got: op.finish(b, blob, state, answers(got)), COLUMNS)
+    whole = found.states().join(got1, "block", "left").join(got2, "block", "left").join(blocks, "block")
+    whole = whole.select("block", "blob", "state", "got", "got2")
+    return each(whole, lambda b, blob, state, g1, g2: op.plan(state, answers(g1), n).finish(Block(b, blob), answers(g2)), COLUMNS)
 
 
 ORACLE = r"""

@@ -81,8 +81,9 @@ def recompressed(docs, blocks, n=3, window=20):
     for r in range(op.rounds + 1):
         now = step({k: op.round(r, *x, n) for k, x in now.items()}, op.answer(r + 1))
     now = step({k: op.pieces(k, made[k], x[0], n) for k, x in now.items()}, lambda b, blocks, p: exchange.answer_names(p))
-    now = step({k: op.plan(k, made[k], *x, n) for k, x in now.items()}, op.answer_plan)
-    return sorted(r for k, x in now.items() for r in op.finish(k, made[k], *x))
+    plans = {k: op.plan(*x, n) for k, x in now.items()}
+    got = routed([(b, k, p) for k in plans for b, p in plans[k].messages()], op.answer_plan)
+    return sorted(r for k in plans for r in plans[k].finish(Block(k, made[k]), got.get(k, {})))
 
 
 def byte_docs(rng, alphabet):
