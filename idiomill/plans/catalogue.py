@@ -978,7 +978,17 @@ def prompt_render(spark, d):
     return rows.select("ctx_id", F.split_part(text, F.lit("\n\nChoose"), F.lit(1)).alias("head"))
 
 
-@query()
+@query("""WITH i AS (SELECT p_name || ' ' || p_partkey AS idiom, p_type, p_brand FROM part),
+ir AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || idiom) || '|' || idiom) - 1 AS rn FROM i),
+c AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || c_custkey::VARCHAR) || '|' || c_custkey::VARCHAR) - 1 AS rn, ('0x' || substr(md5('42|' || c_custkey::VARCHAR), 1, 8))::BIGINT AS spin FROM customer WHERE c_custkey % 4 = 2),
+n AS (SELECT least((SELECT count(*) FROM c), floor((SELECT count(*) FROM ir) / 5)) AS n),
+k AS (SELECT cast(floor(rn / 5) AS BIGINT) AS ctx, string_agg('- "' || idiom || '": ' || p_type || '; ' || p_brand || ' (literal: ' || p_type || ')', chr(10) ORDER BY rn) AS knowledge FROM ir GROUP BY 1),
+r AS (SELECT *, coalesce(sum((spin >= 0.2 * 4294967296)::INT) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS turn FROM c JOIN k ON rn = ctx, n WHERE rn < n),
+t AS (SELECT *, ['cultural_behavior_explanation', 'cultural_value_analysis', 'cultural_norm_reasoning'][(CASE WHEN spin < 0.2 * 4294967296 THEN spin ELSE turn END) % 3 + 1] AS answer_type FROM r),
+m AS (SELECT answer_type, md5('Group: English teachers' || chr(10) || 'Situation: ' || CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'everyday situations' END || chr(10) || 'Topic: Culture' || chr(10)
+ || 'Behaviour: various behaviors' || chr(10) || 'Goal: goal' || chr(10) || 'Relation: N/A' || chr(10) || '- Full Description: ' || left(repeat(c_name, 60), 600) || chr(10) || chr(10) || 'Expressions:' || chr(10) || knowledge
+ || chr(10) || chr(10) || 'Choose the expression that fits best and write one question and its answer of the kind ' || chr(39) || answer_type || chr(39) || '. Return {"input": "...", "output": "..."} in a json fence.') AS h FROM t)
+SELECT 'question ' || left(h, 8) AS instruction, repeat('answer ' || h || ' ', 5) AS output, answer_type FROM m""")
 def instruction_records(spark, d):
     pool = proxies.idioms(spark, d).withColumn("idiom", F.concat_ws(" ", "idiom", "index")).drop("index")
     n = table(spark, d, "nation")
