@@ -40,7 +40,11 @@ WIDESPREAD = 4096
 """or if more blocks than that have it. So at most CROWDED * WIDESPREAD pieces of an anchor that is not crowded meet."""
 
 
-def squeeze(*parts) -> bytes:
+_press = {level: zstandard.ZstdCompressor(level=level) for level in (1, 3)}
+_open = zstandard.ZstdDecompressor()
+
+
+def squeeze(*parts, level: int = 1) -> bytes:
     """Byte strings and arrays, compressed together. Numbers are stored byte by byte of all of them, which are more alike."""
     raw, width = [], []
     for p in parts:
@@ -52,11 +56,11 @@ def squeeze(*parts) -> bytes:
             raw.append(p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes())
             width.append(p.itemsize)
     head = np.array([len(parts), *map(len, raw), *width], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(raw))
+    return _press[level].compress(head + b"".join(raw))
 
 
 def unsqueeze(data: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = _open.decompress(data)
     n = int.from_bytes(raw[:8], "little")
     head = np.frombuffer(raw[8 : 8 * (2 * n + 1)], "<u8").astype(np.int64)
     ends = np.cumsum(np.concatenate([[8 * (2 * n + 1)], head[:n]])).tolist()

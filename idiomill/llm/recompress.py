@@ -57,7 +57,7 @@ STEP = 1 << 16
 FAR = (1 << 31) - 1
 """Stands for words beyond a document's end, on which a symbol at the end depends."""
 ANCHOR_BYTES = 24
-BUCKET_BYTES = (8 << 20, 64 << 20)
+BUCKET_BYTES = (16 << 20, 64 << 20)
 """Bytes of text for each bucket, at least and at most."""
 COLUMNS = [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
 
@@ -417,7 +417,7 @@ class Plan:
             own = [self.pieces.texts[k] for k in self.first[part].tolist()]
             doc, at = np.unique(self._docs(self.lo[part]), return_inverse=True)
             size = np.array(list(map(len, own)), "<u4")
-            yield 2 * b, squeeze(self.pieces.ids[doc], self.pieces.tie[doc], at.astype("<u4"), self.lo[part].astype("<i8"), self.n[part].astype("<u4"), size, b"".join(own))
+            yield 2 * b, squeeze(self.pieces.ids[doc], self.pieces.tie[doc], at.astype("<u4"), self.lo[part].astype("<i8"), self.n[part].astype("<u4"), size, b"".join(own), level=3)
         for b, payload in self.windows.messages(self.pieces, self._docs(self.windows.first)):
             yield 2 * b + 1, payload
 
