@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import GOLDEN, U64, Scratch, mix64
 from .graph import components
 
 DISTANCE = 2
@@ -61,6 +61,19 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(bits.tobytes(), "little")
 
 
+def wide(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The SimHash fingerprint of 64 * lanes bits of a set of hashes, as that many unsigned integers.
+
+    As in fingerprint() a bit is 1 if set in over half the hashes; each lane takes hashes of its own.
+    """
+    factors = mix64((np.arange(1, lanes + 1, dtype=np.uint64) << U64(32)) * GOLDEN) | U64(1)
+    votes = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        part = mix64(hashes[at : at + 255, None] * factors)
+        votes += np.add.reduce(np.unpackbits(part.reshape(-1).view(np.uint8), bitorder="little").reshape(len(part), -1), axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")
+
+
 def _fingerprints(batches):
     for batch in batches:
         ids = batch.column(0)

@@ -64,6 +64,35 @@ def test_edited_copies(spark, sf_dir):
     assert not kept & {i for i in range(80) if i % 4}
 
 
+def test_simhash_alone(spark, sf_dir, monkeypatch):
+    """SimHash blocks find nearly all links of the stage, and none that are wrong; the bands are only for the rest."""
+    stated = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(nearcopies, "bands", lambda s: nearcopies.np.zeros(0, int))
+    for docs in (spark.createDataFrame(list(edited().items()), "doc_id long, text string"), stated):
+        want = slow_groups({r.doc_id: r.text for r in docs.collect()})
+        got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, rest=False).collect()}
+        assert got.keys() == want.keys()
+        assert all(want[g] == want[i] for i, g in got.items())
+        copies = [i for i, g in want.items() if g != i]
+        assert sum(got[i] == want[i] for i in copies) >= 0.97 * len(copies)
+        kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()}
+        assert sum(i in kept for i in copies) <= 0.03 * len(copies)
+
+
+def test_simhash_distance():
+    """The share of bits in which fingerprints differ follows the similarity; equal sets have equal ones."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    s = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    other = np.concatenate([s[100:], rng.integers(0, 1 << 63, 100).astype(np.uint64)])  # 800 of 1000 in common
+    differ = lambda x, y: np.bitwise_count(x ^ y).sum() / (64 * len(x))
+    f = nearcopies.wide(s, 64)
+    assert (nearcopies.wide(s[::-1], 64) == f).all() and not nearcopies.wide(s[:0], 64).any()
+    assert abs(differ(f, nearcopies.wide(other, 64)) - np.arccos(8 / 9) / np.pi) < 0.03
+    assert abs(differ(f, nearcopies.wide(rng.integers(0, 1 << 63, 900).astype(np.uint64), 64)) - 0.5) < 0.04
+
+
 def test_wordy_edits(spark):
     """A group whose members are near the threshold on both sides."""
     rng = random.Random(9)
