@@ -53,7 +53,9 @@ def squeeze(*parts, level: int = 1) -> bytes:
             width.append(1)
         else:
             p = np.ascontiguousarray(p)
-            raw.append(p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes())
+            planes = np.empty((p.itemsize, p.size), np.uint8)
+            planes[:] = p.view(np.uint8).reshape(-1, p.itemsize).T  # much faster than .T.tobytes()
+            raw.append(planes.data.cast("B") if p.size else b"")
             width.append(p.itemsize)
     head = np.array([len(parts), *map(len, raw), *width], "<u8").tobytes()
     return _press[level].compress(head + b"".join(raw))
@@ -67,7 +69,13 @@ def unsqueeze(data: bytes) -> list[bytes]:
     out = []
     for a, b, width in zip(ends[:-1], ends[1:], head[n:].tolist(), strict=True):
         part = raw[a:b]
-        out.append(part if width == 1 else np.frombuffer(part, np.uint8).reshape(width, -1).T.tobytes())
+        if width == 1:
+            out.append(part)
+        else:
+            whole = np.empty(((b - a) // width, width), np.uint8)
+            for k, plane in enumerate(np.frombuffer(part, np.uint8).reshape(width, -1)):
+                whole[:, k] = plane
+            out.append(whole.tobytes())
     return out
 
 

@@ -36,7 +36,7 @@ ids that cannot be cast to long are an error; an empty table gives an empty resu
 from __future__ import annotations
 
 import hashlib
-from itertools import accumulate, compress
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,7 @@ from .exchange import (
 WINDOW = 20
 ROUNDS = 5
 PART = 1 << 18
-STEP = 1 << 16
-"""Bytes and words that are in arrays at once."""
+"""Bytes that are in arrays at once."""
 FAR = (1 << 31) - 1
 """Stands for words beyond a document's end, on which a symbol at the end depends."""
 ANCHOR_BYTES = 24
@@ -61,18 +60,19 @@ BUCKET_BYTES = (16 << 20, 64 << 20)
 """Bytes of text for each bucket, at least and at most."""
 COLUMNS = [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SPACES = b" \t\n\v\f\r"
+_SOLID = bytes(b not in _SPACES for b in range(256))
+_PLAIN = bytes.maketrans(_SPACES, b" " * len(_SPACES))
 
 
 def spans(block: Block):
     """Where each word of a block starts and ends, and the first word of each document and of the end."""
-    data = np.frombuffer(block.data, np.uint8)
+    data = np.frombuffer(block.data.translate(_SOLID), bool)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     heads, tails = block.starts[block.starts < block.ends], block.ends[block.starts < block.ends] - 1
     for at in range(0, len(data), PART):
         end = min(at + PART, len(data))
-        near = ~_SPACE[data[max(at - 1, 0) : end + 1]]  # with a byte before and after
+        near = data[max(at - 1, 0) : end + 1]  # with a byte before and after
         solid, before, after = (near[k : k + end - at] for k in ((1, 0, 2) if at else (0, 0, 1)))
         opens, closes = solid.copy(), solid.copy()
         opens[0 if at else 1 :] &= ~before[: len(opens) - (0 if at else 1)]
@@ -106,8 +106,7 @@ def parts_of(words: pa.Array) -> tuple[np.ndarray, bytes]:
 def vocabulary(block: Block):
     """The distinct words of a block in the order of buckets, their keys, the number of each word, and the first word of each document."""
     starts, ends, first = spans(block)
-    data = np.frombuffer(block.data, np.uint8)
-    coded = binaries(ends - starts, data[~_SPACE[data]].tobytes()).dictionary_encode()
+    coded = binaries(ends - starts, block.data.translate(None, _SPACES)).dictionary_encode()
     size, text = parts_of(coded.dictionary)
     at = np.cumsum(size, dtype=np.int64)
     distinct = [text[a:b] for a, b in zip((at - size).tolist(), at.tolist(), strict=True)]
@@ -233,9 +232,14 @@ class State:
         """Takes the name from symbols that no window left depends on."""
         fine = self._inside()
         used = np.zeros(len(self.h), bool)
-        used[fine] = np.searchsorted(self.live, self.lo[fine], side="right") > np.searchsorted(self.live, self.hi[fine] - self.window)
+        before = self._before(self.live)
+        used[fine] = before[self.lo[fine] + 1] > before[np.maximum(self.hi[fine] - self.window, 0)]
         self.h[~used] = 0
 
+    def _before(self, places):
+        """For each place in the block and two beyond, how many of these places come before it."""
+        return np.cumsum(np.bincount(places + 1, minlength=int(self.size[0]) + 2), dtype=np.int32)
+
     def _edges(self):
         """For each symbol, whether it is the first and the last of its document."""
         head = np.ones(len(self.h), bool)
@@ -277,14 +281,23 @@ class State:
         self.new = (self.h > 0) & (pair | (size[keep] > 1))
         return self
 
+    @staticmethod
+    def _fresh(made):
+        """Which columns differ from the one before."""
+        fresh = np.ones(made.shape[1], bool)
+        fresh[1:] = (made[0, 1:] != made[0, :-1]) | (made[1, 1:] != made[1, :-1]) | (made[2, 1:] != made[2, :-1])
+        return fresh
+
     def _listed(self, buckets: int):
         """The distinct things to be named in the order of buckets, how often each occurs, and the number of each."""
         made = self.makes[:, self.new]
         keys = mix64(mix64(made[0] * GOLDEN + made[1]) ^ made[2] * GOLDEN)
-        order = np.lexsort((*made[::-1], keys))
+        order = np.argsort(keys, kind="stable")
+        fresh = self._fresh(made[:, order])
+        if (fresh[1:] & (keys[order[1:]] == keys[order[:-1]])).any():  # different things of one key
+            order = np.lexsort((*made[::-1], keys))
+            fresh = self._fresh(made[:, order])
         made, keys = made[:, order], keys[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (made[:, 1:] != made[:, :-1]).any(axis=0)
         at = np.empty(len(order), np.int64)
         at[order] = np.cumsum(fresh) - 1
         return made[:, fresh], slices(by_bucket(keys[fresh], buckets), buckets), np.bincount(at), at
@@ -304,7 +317,7 @@ class State:
         if not fine.size or not s.size:
             return self
         h, lo, hi = mix64(self.h[fine]), self.lo[fine], self.hi[fine]
-        begin, end = np.searchsorted(lo, s, side="left"), np.searchsorted(hi, s + self.window, side="right")
+        begin, end = self._before(lo)[s], self._before(hi)[s + self.window + 1]
         some = np.flatnonzero(end > begin)
         begin, span = begin[some], (end - begin)[some]
         best = begin.copy()
@@ -354,9 +367,10 @@ class Pieces:
         new[1:] = (state.anchor[1:] != state.anchor[:-1]) | (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1)
         a = np.flatnonzero(new)
         self.keys, self.lo, self.n = mix64(state.anchor[a]), s[a].astype(np.int64), np.diff(np.append(a, len(s)))
-        data = block.data
-        cut = zip(starts[self.lo].tolist(), ends[self.lo + self.n + self.window - 2].tolist(), strict=True)
-        self.texts = [b" ".join(data[x:y].split()) for x, y in cut]
+        data, last = block.data.translate(_PLAIN), self.lo + self.n + self.window - 2
+        wide = np.cumsum(np.append(0, starts[1:] - ends[:-1] != 1))  # gaps of more than one byte before each word
+        cut = zip(starts[self.lo].tolist(), ends[last].tolist(), (wide[last] > wide[self.lo]).tolist(), strict=True)
+        self.texts = [b" ".join(data[x:y].split()) if odd else data[x:y] for x, y, odd in cut]
         return self
 
     @classmethod
@@ -380,8 +394,8 @@ class Pieces:
 
 def windows_in(text: bytes, n: int, window: int) -> list[bytes]:
     """The n windows of words joined by one space."""
-    words = list(accumulate(map(len, text.split(b" ")), lambda at, size: at + size + 1, initial=0))
-    return [text[words[j] : words[j + window] - 1] for j in range(n)]
+    at = list(accumulate(map(len, text.split(b" ")), initial=0))
+    return [text[at[j] + j : at[j + window] + j + window - 1] for j in range(n)]
 
 
 class Plan:
@@ -434,18 +448,25 @@ class Plan:
         np.add.at(edge, s, 1)
         np.add.at(edge, s + window, -1)
         gone = np.cumsum(edge) > 0
+        # Runs of kept words that one byte separates are in the text as they are to be.
+        kept = ~gone[: len(starts)]
+        opens = kept.copy()
+        opens[1:] &= ~kept[:-1] | (starts[1:] - ends[:-1] != 1)
+        opens[first[:-1][first[:-1] < first[1:]]] = True
+        opens &= kept
+        run = np.flatnonzero(opens)
+        closes = kept & np.append(opens[1:] | ~kept[1:], True)[: len(kept)]
+        begins, stops = starts[run].tolist(), ends[np.flatnonzero(closes)].tolist()
+        at, left = np.searchsorted(run, first).tolist(), np.cumsum(np.append(0, kept))[first].tolist()
+        data = memoryview(block.data.translate(_PLAIN))
         for k in range(len(block)):
-            a, b = int(first[k]), int(first[k + 1])
-            digest, kept = hashlib.sha256(), 0
-            for at in range(a, b, STEP):
-                end = min(at + STEP, b)
-                words = block.data[starts[at] : ends[end - 1]].split()
-                if gone[at:end].any():
-                    words = list(compress(words, (~gone[at:end]).tolist()))
-                if words:
-                    digest.update(b" " * bool(kept) + b" ".join(words))
-                    kept += len(words)
-            yield None if block.null[k] else int(block.ids[k]), b - a, b - a - kept, digest.hexdigest()
+            digest = hashlib.sha256()
+            for j in range(at[k], at[k + 1]):
+                if j > at[k]:
+                    digest.update(b" ")
+                digest.update(data[begins[j] : stops[j]])
+            n = int(first[k + 1] - first[k])
+            yield None if block.null[k] else int(block.ids[k]), n, n - (left[k + 1] - left[k]), digest.hexdigest()
 
 
 def answer_pieces(payloads, window: int = WINDOW) -> list[bytes]:
@@ -487,9 +508,9 @@ class WordRepeats:
             now = State.read(state, self.window).collapse(r).apply(r, n, got)
         else:
             now = State.of_words(state, self.window, got)
-        yield None, (data := now.bytes())
+        yield None, now.bytes()
         if r < self.rounds:
-            yield from State.read(data, self.window).collapse(r + 1).messages(n)
+            yield from now.collapse(r + 1).messages(n)
 
     @staticmethod
     def answer(r):

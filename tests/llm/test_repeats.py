@@ -132,6 +132,15 @@ def test_words(seed, crowded, widespread, monkeypatch):
     assert recompressed(docs, rng.choice([1, 3, 7])) == want
 
 
+def test_a_round_reads_its_state_once(monkeypatch):
+    """A round does not unpack again the state that it has just packed; odd gaps between words leave no trace."""
+    reads, read = [], recompress.State.read.__func__
+    monkeypatch.setattr(recompress.State, "read", classmethod(lambda cls, *x: reads.append(1) or read(cls, *x)))
+    docs = [(i, t.replace(b" ", gap) + end) for (i, t), gap, end in zip(word_docs(random.Random(8), 60), [b" ", b"\t", b" \n", b"\r\n\v", b"\f"] * 99, [b"", b"\n", b"\xc2\xa0"] * 99, strict=False)]
+    assert recompressed(docs, 3) == brute_words(docs)
+    assert len(reads) == len(blobs(docs, 3)) * (recompress.ROUNDS + 1)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_long_documents(seed, monkeypatch):
     """Documents that are taken in stretches give the same as whole ones."""
